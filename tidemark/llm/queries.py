@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, rules, winnow
+from . import chat, langid, packing, pii, rules, winnow
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    net = langid.train(docs.where(third != 1))
+    out = langid.identify(docs, net)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.drop("item_ids")
@@ -26,4 +35,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op6_quality_rules)}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op6_quality_rules, op9_packing, op10_pii)}
