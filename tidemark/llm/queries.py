@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, pii, rules, winnow
+from . import chat, langid, packing, pii, rules, simhash, winnow
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text", "rejected_by")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("root")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -43,4 +47,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op6_quality_rules, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op6_quality_rules, op8_simhash, op9_packing, op10_pii)}
