@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, pii, rules, simhash, winnow
+from . import chat, langid, ngramlm, packing, pii, rules, simhash, warc, winnow
 from .common import table
 
 
@@ -30,11 +30,24 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns.unionByName(probe)))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality(table(spark, sf_dir, "documents"))
     return out.drop("text", "rejected_by")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngramlm.Model(docs.where(ngramlm.seventh("doc_id") != 2))
+    out = ngramlm.score(docs, model)
+    held_out = F.coalesce(ngramlm.seventh("doc_id") == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("root")
 
@@ -47,4 +60,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op6_quality_rules, op8_simhash, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii)}

@@ -60,4 +60,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM b
 """
 
-ORACLE_SQL = {"op2_decontaminate": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6}
+_OP4 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM h)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((
+    CAST('0x' || substr(hex || '0000', 1 + 2 * (5 * k // 8), 4) AS INTEGER) >> (11 - 5 * k % 8)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL = {"op4_warc": _OP4, "op2_decontaminate": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6}
