@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, ngramlm, packing, pii, rules, simhash, warc, winnow
+from . import chat, langid, linejoin, ngramlm, packing, pii, rules, simhash, warc, winnow
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linejoin.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_same", "n_similar", "n_links", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.quality(table(spark, sf_dir, "documents"))
     return out.drop("text", "rejected_by")
@@ -60,4 +65,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op5_line_dedup, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii)}
