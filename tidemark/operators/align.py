@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def lcs_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -153,11 +154,15 @@ def viterbi_rows(df: DataFrame, key: str, scores: str) -> DataFrame:
 def confusion_rows(df: DataFrame, key: str, rank: str, hyp: str, quality: str, weight: str, phones: int) -> DataFrame:
     """Per key: slots of posteriors, from its hypotheses in order of ``rank``. A key is one prefix of a few hypotheses."""
     kind = df.schema[key].dataType.simpleString()
+    each = F.struct(F.col(rank).alias("rank"), F.col(hyp).cast("array<int>").alias("h"), F.col(quality).cast("array<double>").alias("q"), F.col(weight).cast("double").alias("w"))
+    grouped = df.groupBy(key).agg(F.sort_array(F.collect_list(each)).alias("x")).select(key, F.col("x.h").alias("h"), F.col("x.q").alias("q"), F.col("x.w").alias("w"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rank, kind="stable")
-        hyps = [list(zip(map(int, h), map(float, q), strict=True)) for h, q in zip(pdf[hyp], pdf[quality], strict=True)]
-        net = confusion_network(hyps, [float(w) for w in pdf[weight]], phones)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(net), "slot": range(len(net)), "posterior": [list(r) for r in net]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, h, q, w in zip(pdf[key], pdf["h"], pdf["q"], pdf["w"], strict=True):
+                hyps = [list(zip(map(int, a), map(float, b), strict=True)) for a, b in zip(h, q, strict=True)]
+                rows += [(k, s, list(r)) for s, r in enumerate(confusion_network(hyps, [float(x) for x in w], phones))]
+            yield pd.DataFrame(rows, columns=["k", "slot", "posterior"]).rename(columns={"k": key})
 
-    return df.select(key, rank, hyp, quality, weight).groupBy(key).applyInPandas(fold, f"{key} {kind}, slot int, posterior array<double>")
+    return grouped.mapInPandas(run, f"{key} {kind}, slot int, posterior array<double>")
