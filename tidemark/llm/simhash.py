@@ -78,7 +78,7 @@ def planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-n // 64) * 64, np.uint64)
     padded[:n] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(fp: int, vertical: np.ndarray, order: np.ndarray, radius: int = RADIUS) -> np.ndarray:
