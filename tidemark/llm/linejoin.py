@@ -8,10 +8,12 @@ A line is removed if an earlier one (by document id, then place) is linked to it
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import BLANK, words, written
 
 #: Similarity 4 / 5; lines with fewer distinct tokens are left alone.
 NUM, DEN, MIN_TOKENS = 4, 5, 5
@@ -21,7 +23,8 @@ BUCKETS = 1 << 20
 
 def _tokens(line: Column) -> Column:
     """64-bit hashes of the distinct tokens."""
-    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
+    hashes = F.transform(F.split(F.lower(line), f"[{BLANK}]+"), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
 
 
 def _bucket(token: Column) -> Column:
@@ -52,14 +55,14 @@ def _alike(both: Column, sizes: Column) -> Column:
     return (NUM + DEN) * both >= NUM * sizes
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, mark, text``: the id and a hash of the text say which document comes first."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, mark, text, carried``: the id and a hash of the text say which document comes first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.struct(F.lit(True).alias("_"), *extra).alias("carried"))
 
 
 def _lines(keyed: DataFrame, ranks: bytes) -> DataFrame:
-    """Lines with enough tokens: place, class (by the token set), size, bitmap, and the prefix as rank and token in one number."""
+    """Lines with enough tokens: place, class (by the token set), size, bitmap, and the prefix as 32 bits of each token's hash."""
     each = keyed.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     each = each.select("doc_id", "mark", "line_no", _tokens(F.col("line")).alias("ts")).where(F.size("ts") >= MIN_TOKENS)
     each = each.withColumn("n", F.size("ts")).withColumn("sorted", F.sort_array("ts"))
@@ -69,22 +72,21 @@ def _lines(keyed: DataFrame, ranks: bytes) -> DataFrame:
         F.struct(F.xxhash64("sorted").alias("x"), F.xxhash64("sorted", F.lit(1)).alias("y")).alias("cls"),
         "n",
         F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
-        F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - _ceil_div(NUM * F.col("n"), DEN) + 1).alias("prefix"),
+        F.transform(F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - _ceil_div(NUM * F.col("n"), DEN) + 1), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"),
     )
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes that may be linked; ``a`` is the one with fewer tokens."""
-    rows = classes.select("cls", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    """Pairs of classes, by ``cls.x``, that may be linked; ``a`` is the one with fewer tokens."""
+    rows = classes.select(F.col("cls.x").alias("x"), "n", "bits", F.posexplode("prefix").alias("i", "token"))
     short = F.col("n") - _ceil_div(2 * NUM * F.col("n"), NUM + DEN) + 1
-    a = rows.where(F.col("i") < short).select(F.col("token"), F.col("cls").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("bits").alias("ab"))
-    b = rows.select(F.col("token"), F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("bits").alias("bb"))
+    a = rows.where(F.col("i") < short).select(F.col("token").alias("at"), F.col("x").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("bits").alias("ab"))
+    b = rows.select("token", F.col("x").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("bits").alias("bb"))
     sizes = F.col("an") + F.col("bn")
     smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     length = DEN * F.col("an") >= NUM * F.col("bn")
-    position = _alike(1 + F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) - 1 + F.least("ai", "bi"), sizes)
+    position = _alike(F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) + F.least("ai", "bi"), sizes)
     parity = _alike(sizes - F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))), 2 * sizes)
-    a = a.withColumnRenamed("token", "at")
     met = a.join(b, (F.col("at") == F.col("token")) & smaller & length & position & parity)
     return met.select("a", "b").distinct()
 
@@ -92,25 +94,29 @@ def _candidates(classes: DataFrame) -> DataFrame:
 def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: the linked classes, each pair once, compared by their token sets."""
     pairs = written(_candidates(classes), "candidates")
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    at = classes.join(wanted, "cls", "left_semi").select("cls", F.col("place.doc_id").alias("doc_id"), F.col("place.mark").alias("mark"), F.col("place.line_no").alias("line_no"))
-    texts = keyed.dropDuplicates(["doc_id", "mark"])
-    lines = at.join(texts, at["doc_id"].eqNullSafe(texts["doc_id"]) & (at["mark"] == texts["mark"])).select("cls", _tokens(F.get(F.split("text", "\n"), F.col("line_no"))).alias("ts"))
-    lines = written(lines, "sets")
-    left, right = lines.select(F.col("cls").alias("a"), F.col("ts").alias("at")), lines.select(F.col("cls").alias("b"), F.col("ts").alias("bt"))
+    wanted = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
+    at = classes.select("cls", F.col("cls.x").alias("x"), F.col("place.doc_id").alias("d"), F.col("place.mark").alias("m"), F.col("place.line_no").alias("line_no"))
+    at = at.join(wanted, "x", "left_semi").groupBy("d", "m").agg(F.collect_list(F.struct("cls", "x", "line_no")).alias("at"))  # lines of one document
+    texts = keyed.select("doc_id", "mark", "text")
+    found = texts.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+    lines = found.select(F.split("text", "\n").alias("ls"), F.explode("at").alias("w")).select("w.cls", "w.x", _tokens(F.get("ls", F.col("w.line_no"))).alias("ts"))
+    lines = written(lines.groupBy("cls", "x").agg(F.first("ts").alias("ts")), "sets")  # rows repeated
+    left = lines.select(F.col("cls").alias("ac"), F.col("x").alias("a"), F.col("ts").alias("at"))
+    right = lines.select(F.col("cls").alias("bc"), F.col("x").alias("b"), F.col("ts").alias("bt"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(_alike(F.size(F.array_intersect("at", "bt")), F.size("at") + F.size("bt"))).select("a", "b")
+    return both.where(_alike(F.size(F.array_intersect("at", "bt")), F.size("at") + F.size("bt"))).select(F.col("ac").alias("a"), F.col("bc").alias("b"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
     """One row per input row: ``doc_id, text`` (what stays), ``n_lines, n_same, n_similar, n_links, removed`` (places from 0).
 
     ``n_same`` counts the removed lines whose token set came before, ``n_similar`` the other removed ones, ``n_links`` the
     other classes that this document's lines are linked to. Documents are ordered by id, null ids last, then by a hash of
     the text; rows equal in both are one document and get the same result. A null or empty text has one empty line, which
-    stays, as do all lines of fewer than ``MIN_TOKENS`` tokens. Other columns are ignored, an empty table gives no rows.
+    stays, as do all lines of fewer than ``MIN_TOKENS`` tokens. Columns not named in ``extra`` are ignored, an empty table
+    gives no rows.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, extra)
     ranks = rarity(keyed, "text")
     lines = written(_lines(keyed, ranks), "lines")
     whole = F.min(F.struct("place", "n", "bits", "prefix"))
@@ -143,4 +149,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("n_similar", zero).alias("n_similar"),
         F.coalesce("n_links", zero).alias("n_links"),
         "removed",
+        *[F.col("carried")[c].alias(c) for c in extra],
     )
