@@ -1,8 +1 @@
 """Operators for preparing training corpora. Nothing else in the library imports this package."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions go to the workers by value, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -57,7 +57,7 @@ def _fingerprint(data: bytes, size: int, digest) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long. One row per input row."""
+    """``doc_id, fp, mark``: the fingerprint as a signed long, and a hash of the text. One row per input row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +66,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
         for batch in batches:
             out = [_fingerprint((t.as_py() or "").encode().translate(lower), size, xxh64_intdigest) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64)), batch.column(2)], ["doc_id", "fp", "mark"])
 
     # bytes.split() parts at the six ASCII blanks, and nowhere inside a UTF-8 character
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark")).mapInArrow(run, f"doc_id {kind}, fp long, mark long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint`` (16 hex digits), ``component_id, root``.
+    """One row per input row: ``doc_id, fingerprint`` (16 hex digits), ``component_id, root, mark`` (a hash of the text).
 
     ``component_id`` is the smallest id reachable over links of ``RADIUS`` bits or fewer, itself included; null if all ids
     there are null. ``root`` tells components apart whatever their ids. Null and empty texts have fingerprint zero and link
@@ -211,4 +212,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = distinct.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = written(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "components")
-    return own.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+    return own.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "mark")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component that of the smallest id, null last, and of rows with
+    that id that of the smallest hash of the text; of rows equal in both any one."""
+    found = near_duplicates(docs, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("x"))
+    keep = first.select(F.col("x.doc_id").alias("_id"), F.col("x.mark").alias("_mark"))
+    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]) & (own == keep["_mark"]), "left_semi")
+    return rows.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).dropDuplicates([id_col, "_mark"]).drop("_mark")

@@ -50,7 +50,7 @@ def _fingerprints(word_col: str, lengths: list[int]) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, and ``item_ids`` (sorted as strings).
+    """Per row of ``docs``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids`` (sorted as strings), ``text_md5``.
 
     Null and empty texts have no words; items without words are no windows; an item shorter than ``window`` words is one
     window. Repeated rows of documents are judged each; items of the same text or id count as their distinct ids; null
@@ -100,10 +100,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "item_ids",
+        F.col("key").alias("text_md5"),
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
 
 
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **names: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose texts aren't contaminated."""
+    bad = decontaminate(docs, items, text_col=text_col, **names).where("contaminated").select(F.col("text_md5").alias("_md5")).distinct()
+    own = F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
+    return docs.join(bad, own == bad["_md5"], "left_anti")
+
+
 def _marks_of(word_col: str, lengths: list[int]) -> Column:
     """The fingerprint of a window, as documents get it: words are lowered in full."""
     out = F.array().cast("array<bigint>")
