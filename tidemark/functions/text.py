@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: ASCII punctuation without the apostrophe.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -48,7 +49,7 @@ def digits_to_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(spelled, ""), " +", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, then ASCII only; Spark has no built-in for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
