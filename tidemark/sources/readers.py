@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCORES = "accuracy double, completeness double, fluency double, prosodic double, total double"
-WORD = "text string, accuracy double, stress double, total double, phones array<string>, `phones-accuracy` array<double>"
-DOCUMENT = f"map<string, struct<text: string, accuracy: double, completeness: double, fluency: double, prosodic: double, total: double, words: array<struct<text: string, accuracy: double, stress: double, total: double, phones: array<string>, `phones-accuracy`: array<double>>>>>"
+DOCUMENT = "map<string, struct<text: string, accuracy: double, completeness: double, fluency: double, prosodic: double, total: double, words: array<struct<text: string, accuracy: double, stress: double, total: double, phones: array<string>, `phones-accuracy`: array<double>>>>>"
+
+
+#: The place of a line: files by path, their blocks by offset, and lines within a block.
+PLACE = "struct<file: string, start: bigint, line: bigint>"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``idx, value``: lines in the order of file and place; ``idx`` grows but has gaps."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("idx"))
-    return lines.select("idx", F.regexp_replace("value", "^﻿", "").alias("value"))
+    """``idx, value``: lines with their place; ``idx`` orders them as the files do, by path and offset."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(place.alias("idx"), F.regexp_replace("value", "^﻿", "").alias("value"))
 
 
 def csv_matrix(spark: SparkSession, path: str, columns: str) -> DataFrame:
@@ -82,7 +84,7 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], f"idx long, {schema}")
+        return spark.createDataFrame([], f"idx {PLACE}, {schema}")
     return json_lines(spark, path, schema)
 
 

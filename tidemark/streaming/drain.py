@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 
+from tidemark.sources.scratch import folder
+
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that ``stream`` emits for the input present, as a table; state is checkpointed in the shared folder."""
+    """All rows that ``stream`` emits for the input present, as a table; state is checkpointed in the shared folder.
+
+    A batch that is run again after a failure writes its folder anew, so no row comes twice.
+    """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = folder(spark, "stream")
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
