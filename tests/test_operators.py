@@ -123,3 +123,17 @@ def test_state_is_additive(spark):
     whole = C.running_state(rows, "u", ["i"], "v").where("i = 5").first()
     first, rest = (C.running_state(rows.where(c), "u", ["i"], "v").orderBy(F.desc("i")).first() for c in ("i < 3", "i >= 3"))
     assert (whole.state_sum, whole.state_count) == (first.state_sum + rest.state_sum, first.state_count + rest.state_count)
+
+
+def test_loops(spark):
+    rows = [(1, list("abababab")), (2, list("abcd")), (3, ["x"] * 3 + ["a", "x", "b", "x", "c", "x", "x", "d", "x", "x", "e"]), (4, list("abcxabcyabczabc")), (5, []), (6, None)]
+    df = spark.createDataFrame(rows, "i int, t array<string>")
+    assert {r.i: r.k for r in df.select("i", Q.loop_kind(F.col("t")).alias("k")).collect()} == {1: "cycle", 2: None, 3: "dominant", 4: "periodic", 5: None, 6: None}
+    assert {r.k for r in df.select(Q.loop_kind(F.col("t"), strict=False).alias("k")).collect()} == {"cycle", None}
+
+
+def test_padding(spark):
+    arr = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    assert one(spark, Q.pad_to_reference(arr("a", "b", "c"), arr("a", "c"), arr(1.0, 2.0))) == [1.0, 1.0, 2.0]
+    assert one(spark, Q.pad_to_reference(arr("z", "a"), arr("a", "c"), arr(1.0, 2.0))) == [2.0, 1.0]
+    assert one(spark, Q.pad_to_reference(arr("a", "b", "c"), arr("a"), arr(1.0))) == [1.0, 1.0]

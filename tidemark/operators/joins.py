@@ -122,3 +122,15 @@ def changed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose values differ, missing ones included."""
     both = a.select(key, F.col(value).alias("old")).join(b.select(key, F.col(value).alias("new")), key, "full_outer")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def frames_in_slots(frames: DataFrame, slots: DataFrame, key: str, time: str, width: float) -> DataFrame:
+    """Pairs of a slot (``ls, le``) and the frames of its key from its start to before its end, by time buckets."""
+    f = frames.withColumn("_b", F.floor(F.col(time) / width))
+    s = slots.withColumn("_b", F.explode(F.sequence(F.floor(F.col("ls") / width), F.floor(F.col("le") / width))))
+    return s.join(f, [key, "_b"]).where((F.col(time) >= F.col("ls")) & (F.col(time) < F.col("le"))).drop("_b")
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows in the order of a seeded hash; the same rows every time."""
+    return df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))).orderBy("_h", key).limit(n).drop("_h")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def islands(df: DataFrame, key: str, order: Sequence[str], value: str, name: str = "island") -> DataFrame:
@@ -87,3 +89,82 @@ def relative_to_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
     w = Window.partitionBy(*keys)
     mean = F.avg(value).over(w)
     return df.withColumn("minus_mean", F.col(value) - mean).withColumn("ratio", F.try_divide(F.col(value), mean)).withColumn("size", F.count("*").over(w))
+
+
+def loop_kind(tokens: Column, repeats: int = 4, longest: int = 12, coverage: float = 0.6, ratio: float = 0.5, strict: bool = True) -> Column:
+    """Why a token array counts as looping, or null: ``cycle`` (a run that comes ``repeats`` times in a row), and if strict
+    ``dominant`` (one token has the share ``ratio``, 8 times or twice ``repeats`` at least) or ``periodic`` (copies of one
+    run, not overlapping, cover the share ``coverage``)."""
+    from collections import defaultdict
+
+    def cycle(t: list[str]) -> bool:
+        for n in range(1, min(longest, len(t) // repeats) + 1):
+            same = 0  # how many tokens in a row equal the one n places before
+            for a, b in zip(t, t[n:], strict=False):
+                same = same + 1 if a == b else 0
+                if same >= n * (repeats - 1):
+                    return True
+        return False
+
+    def periodic(t: list[str]) -> bool:
+        for n in range(2, min(longest, len(t) // repeats) + 1):
+            free, times = defaultdict(int), defaultdict(int)
+            for i in range(len(t) - n + 1):
+                gram = tuple(t[i : i + n])
+                if i >= free[gram]:
+                    free[gram], times[gram] = i + n, times[gram] + 1
+            best = max(times.values(), default=0)
+            if best >= repeats and best * n >= coverage * len(t):
+                return True
+        return False
+
+    def kind(t: list[str]) -> str | None:
+        if not t or repeats < 1:
+            return None
+        if cycle(t):
+            return "cycle"
+        top = max(map(t.count, set(t)))
+        if strict and top >= max(2 * repeats, 8) and top >= ratio * len(t):
+            return "dominant"
+        return "periodic" if strict and periodic(t) else None
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else kind(list(t)))
+
+    return run(tokens)
+
+
+def pad_to_reference(reference: Column, words: Column, scores: Column) -> Column:
+    """A score for each reference word: that of the next predicted word if it is the same, else the one before (before the
+    first: the last); when the predicted words have run out, one more and then none."""
+    at = lambda i: F.try_element_at(scores, F.when(i > 0, i).otherwise(-1))
+
+    def step(acc: Column, w: Column) -> Column:
+        i, out, done = acc["i"], acc["out"], acc["done"]
+        over = i >= F.size(words)
+        hit = ~over & (F.get(words, i) == w)
+        value = F.when(hit, F.get(scores, i)).otherwise(at(i))
+        return F.struct(F.when(hit, i + 1).otherwise(i).alias("i"), F.when(done, out).otherwise(F.concat(out, F.array(value))).alias("out"), (done | over).alias("done"))
+
+    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<double>").alias("out"), F.lit(False).alias("done"))
+    return F.aggregate(reference, start, step, lambda acc: acc["out"])
+
+
+def words_of_tokens(tokens: DataFrame, key: str, pos: str, text: str, logprob: str) -> DataFrame:
+    """Words (runs of letters and apostrophes across tokens) with the mean log-probability of their letters and its exponential."""
+    chars = tokens.select(key, pos, logprob, F.posexplode(F.split(text, "")).alias("_c", "ch")).where("ch <> ''")
+    letter = F.rlike("ch", F.lit(r"[\p{L}']"))
+    w = Window.partitionBy(key).orderBy(pos, "_c")
+    rows = chars.withColumn("_l", letter).withColumn("_gap", F.sum((~F.col("_l")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_l")
+    each = rows.groupBy(key, F.col("_gap").alias("word_no")).agg(F.sort_array(F.collect_list(F.struct(pos, "_c", "ch")))["ch"].alias("cs"), F.avg(logprob).alias("logprob"), F.min(pos).alias("first"), F.max(pos).alias("last"))
+    return each.select(key, "word_no", F.array_join("cs", "").alias("word"), "first", "last", "logprob", F.least(F.exp("logprob"), F.lit(1.0)).alias("confidence"))
+
+
+def phones_of_words(words: DataFrame, lexicon: DataFrame, word: str, default: str = "AH") -> DataFrame:
+    """``phones`` and their ``source``: of the lexicon, else a default phone for every three letters."""
+    side = lexicon.select(F.col("word").alias(word), F.col("phones").alias("_p"))
+    letters = F.length(F.regexp_replace(F.upper(word), "[^A-Z]", ""))
+    fallback = F.array_repeat(F.lit(default), F.greatest(F.ceil(letters / 3), F.lit(1)).cast("int"))
+    out = words.join(side, word, "left")
+    return out.withColumn("phones", F.coalesce("_p", fallback)).withColumn("source", F.when(F.col("_p").isNotNull(), "lexicon").otherwise("fallback")).drop("_p")
