@@ -82,7 +82,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.xxhash64("url").alias("u"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # by the place in the input: tells equal rows apart
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.xxhash64("url").alias("u"), "row")
     group = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     rows = rows.join(group, "digest", "left").withColumn("same", F.col("first") == order)
     schema = f"file string, offset long, length long, url string, digest string, page_id {kind}, record_type string"
