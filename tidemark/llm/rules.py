@@ -64,16 +64,15 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     many = F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
     base = base.withColumn("starts", F.when(F.size("twice") == 0, F.array().cast("array<int>")).when(F.size("twice") <= 32, few).otherwise(many))
     gaps = F.zip_with("starts", shifted(F.col("starts"), 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return base.select(
-        "doc_id",
-        "text",
-        *extra,
+    measures = F.struct(
         F.size("ws").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", f"[{BLANK}]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # Filters on a verdict aren't pushed through a generator; else they would repeat these expressions many times over.
+    return base.select("doc_id", "text", *extra, F.explode(F.array(measures)).alias("m")).select("doc_id", "text", *extra, "m.*")
 
 
 def ordered(measures: DataFrame, rules: Sequence[Rule] = RULES, sample: int = 256, copies: int = 8) -> list[Rule]:
