@@ -8,7 +8,9 @@ at the end of a range becomes sequences of power-of-two lengths, which need no p
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ SEQUENCE, END_ID = 2048, 1
 #: Hash buckets of a document's vector; dimensions and bits of each on the curve.
 BUCKETS, DIMS, BITS = 1024, 4, 12
 #: Rows with ids in a range, about; ranges are counted from it.
-RANGE_ROWS, LEAST_RANGES = 20_000, 2
-#: Encoded chunks kept in memory by a worker; a full cache is emptied.
-CACHE = 400_000
+RANGE_ROWS, LEAST_RANGES = 8_000, 2
+#: Encoded chunks that a worker keeps in memory, twice at most; what wasn't used since the last filling goes.
+CACHE = 250_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -33,28 +35,94 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of texts, chunk by chunk: the tokenizer drops blanks and line feeds and never joins what they part."""
+    """Token ids of texts, chunk by chunk: the tokenizer drops blanks and line feeds and never joins what they part.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The tokenizer also lowers case and parts letters from a full stop or comma behind them, so chunks that differ in these
+    share an entry. Words of letters need no normalisation or splitting then: many go to the tokenizer's model at once,
+    and its end-of-word tokens tell them apart again.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = json.loads(self.whole.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _encode_words(self, found: list[str]) -> None:
+        for i in range(0, len(found), 8192):
+            part = found[i : i + 8192]
+            ids = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: B905
+
+    def _encode_chunks(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 4096):
+            part = chunks[i : i + 4096]
+            for c, e in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[c] = array("I", e.ids).tobytes()
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, old = self.known, self.old
+        again = chunks & old.keys()
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        parts: list[tuple[str, str, str]] = []
+        found: set[str] = set()
+        rest: set[str] = set()
+        for c in chunks - again:
+            end = c[-1] if c[-1] in ".," else ""
+            core = c[:-1] if end else c
+            # a Greek capital sigma and a dotted capital I are lowered by rules of their own
+            if core.isalpha() and (core.isascii() or (is_normalized("NFC", core) and "\u03a3" not in core and "\u0130" not in core)):
+                core = core.lower()
+                found.add(core)
+                if core != c:
+                    parts.append((c, core, end))
+            else:
+                rest.add(c)
+        found -= known.keys()
+        again = found & old.keys()
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        found -= again
+        self._encode_words(list(found))
+        self._encode_chunks([*rest, *(x for x in (".", ",") if x not in known)])
+        for c, core, end in parts:
+            known[c] = known[core] + known[end]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {"": b""}
+            self.known, self.old = {"": b""}, self.known
         known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([END_ID], "<u4").tobytes()
+        self._learn(set().union(*split) - known.keys())
+        end = array("I", [END_ID]).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, chunks)) + end, "<u4") for chunks in split]
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: a Python worker runs many tasks and keeps what it has encoded.
+
+    It is kept at the tokenizer library, a module that outlives the functions sent with each task.
+    """
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_tidemark_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def projection(seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 1, (BUCKETS, DIMS))
 
@@ -103,11 +171,11 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, project = Encoder(path), projection()
+        encode, project = encoder(path).encode, projection()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(places(ids, project)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "curve", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, curve long, ids binary")
