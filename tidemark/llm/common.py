@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 BLANK = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go with their query; batches for Python workers are small, whatever the texts' lengths.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 _own_dirs: dict[str, str] = {}
 
 
@@ -42,15 +43,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in _WHILE_WRITING}
     try:
+        for k, v in _WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        root = Path(shared_dir(spark)).toUri().getPath() + "/"
+        for file in df.inputFiles()[:1]:
+            folder = Path(file).getParent()
+            if folder.toUri().getPath().startswith(root):
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

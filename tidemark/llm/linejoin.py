@@ -13,12 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, words, written
+from .common import BLANK, dropped, written
 
 #: Similarity 4 / 5; lines with fewer distinct tokens are left alone.
 NUM, DEN, MIN_TOKENS = 4, 5, 5
 #: Rarity is the count of a token's bucket, on a log scale. The table of the buckets' ranks has this fixed size.
 BUCKETS = 1 << 20
+#: Lines of more tokens get a parity bitmap of 256 bits beside that of 64.
+LONG_LINE, WIDE = 100, ("w0", "w1", "w2", "w3")
 
 
 def _tokens(line: Column) -> Column:
@@ -33,7 +35,7 @@ def _bucket(token: Column) -> Column:
 
 def rarity(docs: DataFrame, text_col: str) -> bytes:
     """By bucket, the log-scaled count of its tokens over all texts, as one byte of 0 to 127."""
-    each = docs.select(F.explode(words(F.lower(F.col(text_col)))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    each = docs.select(F.explode(F.split(F.lower(F.col(text_col)), f"[{BLANK}]+")).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     rank = F.least(F.floor(3 * F.log2(F.count("*") + 1)), F.lit(127)).cast("int")
     table = each.groupBy("b").agg(rank.alias("rank")).toArrow()  # BUCKETS rows at most
     out = bytearray(BUCKETS)
@@ -61,33 +63,44 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[str] = (
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.struct(F.lit(True).alias("_"), *extra).alias("carried"))
 
 
+def _parity(tokens: Column, shift: int, part: int | None = None) -> Column:
+    """Bit b: whether an odd number of tokens have b in the 6 bits from ``shift`` on (and ``part`` in the 2 bits before)."""
+    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int")))
+    step = flip if part is None else lambda a, t: F.when(F.shiftright(t, shift - 2).bitwiseAND(F.lit(3)) == part, flip(a, t)).otherwise(a)
+    return F.aggregate(tokens, F.lit(0).cast("long"), step)
+
+
 def _lines(keyed: DataFrame, ranks: bytes) -> DataFrame:
     """Lines with enough tokens: place, class (by the token set), size, bitmap, and the prefix as 32 bits of each token's hash."""
     each = keyed.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    each = each.select("doc_id", "mark", "line_no", _tokens(F.col("line")).alias("ts")).where(F.size("ts") >= MIN_TOKENS)
+    # a filter isn't pushed through a generator; else it would split the lines a second time
+    each = each.select("doc_id", "mark", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("ts")).where(F.size("ts") >= MIN_TOKENS)
     each = each.withColumn("n", F.size("ts")).withColumn("sorted", F.sort_array("ts"))
     ranked = F.transform("ts", lambda t: F.shiftleft(F.coalesce(_rank(ranks, t), F.lit(0)).cast("long"), 32).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF))))
     return each.select(
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line_no").alias("place"),
         F.struct(F.xxhash64("sorted").alias("x"), F.xxhash64("sorted", F.lit(1)).alias("y")).alias("cls"),
         "n",
-        F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))).alias("bits"),
+        _parity(F.col("ts"), 0).alias("bits"),
+        *[F.when(F.col("n") > LONG_LINE, _parity(F.col("ts"), 8, k)).alias(w) for k, w in enumerate(WIDE)],
         F.transform(F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - _ceil_div(NUM * F.col("n"), DEN) + 1), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"),
     )
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
     """Pairs of classes, by ``cls.x``, that may be linked; ``a`` is the one with fewer tokens."""
-    rows = classes.select(F.col("cls.x").alias("x"), "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    rows = classes.select(F.col("cls.x").alias("x"), "n", "bits", *WIDE, F.posexplode("prefix").alias("i", "token"))
     short = F.col("n") - _ceil_div(2 * NUM * F.col("n"), NUM + DEN) + 1
-    a = rows.where(F.col("i") < short).select(F.col("token").alias("at"), F.col("x").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("bits").alias("ab"))
-    b = rows.select("token", F.col("x").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("bits").alias("bb"))
+    a = rows.where(F.col("i") < short).select(F.col("token").alias("at"), F.col("x").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("bits").alias("ab"), *[F.col(w).alias(f"a{w}") for w in WIDE])
+    b = rows.select("token", F.col("x").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("bits").alias("bb"), *[F.col(w).alias(f"b{w}") for w in WIDE])
     sizes = F.col("an") + F.col("bn")
     smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
     length = DEN * F.col("an") >= NUM * F.col("bn")
     position = _alike(F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) + F.least("ai", "bi"), sizes)
     parity = _alike(sizes - F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))), 2 * sizes)
-    met = a.join(b, (F.col("at") == F.col("token")) & smaller & length & position & parity)
+    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WIDE), F.lit(0))
+    wide = F.coalesce(_alike(sizes - apart, 2 * sizes), F.lit(True))  # null where one of the lines isn't long
+    met = a.join(b, (F.col("at") == F.col("token")) & smaller & length & position & parity & wide)
     return met.select("a", "b").distinct()
 
 
@@ -104,7 +117,10 @@ def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     left = lines.select(F.col("cls").alias("ac"), F.col("x").alias("a"), F.col("ts").alias("at"))
     right = lines.select(F.col("cls").alias("bc"), F.col("x").alias("b"), F.col("ts").alias("bt"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(_alike(F.size(F.array_intersect("at", "bt")), F.size("at") + F.size("bt"))).select(F.col("ac").alias("a"), F.col("bc").alias("b"))
+    found = both.where(_alike(F.size(F.array_intersect("at", "bt")), F.size("at") + F.size("bt"))).select(F.col("ac").alias("a"), F.col("bc").alias("b"))
+    found = written(found, "links")
+    dropped(pairs, lines)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
@@ -119,9 +135,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col, extra)
     ranks = rarity(keyed, "text")
     lines = written(_lines(keyed, ranks), "lines")
-    whole = F.min(F.struct("place", "n", "bits", "prefix"))
+    whole = F.min(F.struct("place", "n", "bits", *WIDE, "prefix"))
     classes = written(lines.groupBy("cls").agg(whole.alias("w"), F.count("*").alias("times")).select("cls", "w.*", "times"), "classes")
-    links = written(linked(keyed, classes), "links")
+    links = linked(keyed, classes)
     place = classes.select("cls", "place")
     ends = links.join(place.select(F.col("cls").alias("a"), F.col("place").alias("pa")), "a").join(place.select(F.col("cls").alias("b"), F.col("place").alias("pb")), "b")
     sides = ends.select(F.col("a").alias("cls"), (F.col("pb") < F.col("pa")).alias("later")).unionByName(ends.select(F.col("b").alias("cls"), (F.col("pa") < F.col("pb")).alias("later")))
@@ -136,7 +152,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count_if(~F.col("again") & F.col("later")).alias("n_similar"),
         F.sum("links").cast("long").alias("n_links"),
     )
-    per_doc = per_doc.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "removed", "n_same", "n_similar", "n_links")
+    per_doc = written(per_doc.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "removed", "n_same", "n_similar", "n_links"), "removed")
+    dropped(lines, classes, links, marked)
     out = keyed.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     split = F.split("text", "\n")
     stays = F.filter(split, lambda line, i: ~F.array_contains("removed", i))
