@@ -236,6 +236,15 @@ def test_lm(spark):
     assert ngramlm.score(docs(spark, []), nothing).count() == 0
 
 
+def test_lm_knows_pairs_seen_once(spark):
+    words = prose(11, 200, 10_000).split(" ")
+    turned = random.Random(1).sample(words, len(words))
+    model = ngramlm.Model(docs(spark, [(1, " ".join(words))]))
+    got = {r.doc_id: r for r in ngramlm.score(docs(spark, [(1, " ".join(words)), (2, " ".join(turned))]), model).collect()}
+    assert got[1].base_score == pytest.approx(got[2].base_score)
+    assert got[1].score > got[2].score + 1  # the same words, but each pair was seen
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(2)
     keys, other = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64)), rng.integers(0, 1 << 63, 4000, dtype=np.uint64)

@@ -1,8 +1,8 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs over the training rows are quantised to powers of two. An n-gram of level L enters the filter
-L times, once with each of 1 to L; probing 1, 2, ... until a miss gives the level back. The filter has a fixed size and is
-broadcast. It consists of segments by hash, so each task of the counting builds the segments of its own n-grams.
+L times, once with each of 1 to L; probing 1, 2, ... until a miss gives the level back. The filter consists of segments by
+hash, so each task of the counting builds the segments of its own n-grams, in the size that their entries need.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Size of the filter, whatever the corpus; choose 8 bits or more for each n-gram expected. Probes for each entry.
-FILTER_BITS, PROBES = 1 << 28, 2
-#: Word pairs seen less often are left to the smoothing.
-MIN_PAIR_COUNT = 2
+#: Bits and probes for each entry of the filter.
+ENTRY_BITS, PROBES = 8, 2
 MAX_LEVEL = 24
 #: Exact counts of so many words, the most frequent ones, are broadcast; those of the others come by a join.
 HEAD_WORDS = 1 << 19
@@ -107,9 +105,14 @@ def decoded(level: np.ndarray) -> np.ndarray:
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * 2.0 ** (level - 1)))
 
 
-def _at(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def _at(keys: np.ndarray, level: int, probe: int, bits: int | np.ndarray) -> np.ndarray:
     step = 0x9E3779B97F4A7C15 * (level * PROBES + probe + 1) % (1 << 64)
-    return mix(keys + _U(step)) & _U(bits - 1)
+    return (mix(keys + _U(step)) >> _U(32)) * np.asarray(bits).astype(np.uint64) >> _U(32)
+
+
+def segment_bits(level: np.ndarray) -> int:
+    """The size of a segment for keys of these levels, in whole 64-bit words."""
+    return max(64, -(-ENTRY_BITS * int(level.sum()) // 64) * 64)
 
 
 def segment(keys: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
@@ -122,15 +125,21 @@ def segment(keys: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def probe(keys: np.ndarray, filter_bytes: np.ndarray, segments: int) -> np.ndarray:
-    """Levels of the keys, by membership probes until the first miss."""
-    bits = len(filter_bytes) * 8 // segments
-    start = (keys >> _U(64 - (segments.bit_length() - 1))) * _U(bits) if segments > 1 else np.zeros(len(keys), np.uint64)
+def bucket_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (keys >> _U(64 - (segments.bit_length() - 1))).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
+
+
+def probe(keys: np.ndarray, filter_bytes: np.ndarray, segments: int, edges: np.ndarray | None = None) -> np.ndarray:
+    """Levels of the keys, by membership probes until the first miss. Segments lie between ``edges`` (bytes), or are of one size."""
+    if edges is None:
+        edges = np.arange(segments + 1) * (len(filter_bytes) // segments)
+    bucket = bucket_of(keys, segments)
+    start, bits = (8 * edges[bucket]).astype(np.uint64), (8 * np.diff(edges)[bucket]).astype(np.uint64)
     out = np.zeros(len(keys), np.int64)
     alive = np.arange(len(keys))
     for j in range(1, MAX_LEVEL + 1):
         for p in range(PROBES):
-            place = start[alive] + _at(keys[alive], j, p, bits)
+            place = start[alive] + _at(keys[alive], j, p, bits[alive])
             alive = alive[(filter_bytes[place >> _U(3)] >> (place & _U(7)).astype(np.uint8)) & 1 == 1]
         if not len(alive):
             break
@@ -140,7 +149,6 @@ def probe(keys: np.ndarray, filter_bytes: np.ndarray, segments: int) -> np.ndarr
 
 def _counted(docs: DataFrame, segments: int) -> DataFrame:
     """``kind, bucket, keys, counts``: what each task counted; kind 1 for words and 2 for pairs."""
-    shift = _U(64 - (segments.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of, held, n = Tokens(), ([], []), 0
@@ -149,8 +157,7 @@ def _counted(docs: DataFrame, segments: int) -> DataFrame:
             for kind in (0, 1):
                 keys, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
                 held[kind].clear()
-                bucket = (keys >> shift).astype(np.int64) if segments > 1 else np.zeros(len(keys), np.int64)
-                cuts = np.searchsorted(bucket, np.arange(segments + 1))
+                cuts = np.searchsorted(bucket_of(keys, segments), np.arange(segments + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 counts = counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
@@ -178,7 +185,7 @@ def _counted(docs: DataFrame, segments: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
 
 
-def _merged(counted: DataFrame, bits: int) -> DataFrame:
+def _merged(counted: DataFrame, bits: int | None = None) -> DataFrame:
     """Per kind and bucket: the keys with their exact counts (words only), and the bucket's filter."""
 
     def merge(kind: int, bucket: int, keys: list[bytes], counts: list[bytes]) -> tuple:
@@ -188,11 +195,8 @@ def _merged(counted: DataFrame, bits: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         k, c = k[first], np.add.reduceat(c, first)
         level = levels(c)
-        if kind == 2:
-            enough = c >= MIN_PAIR_COUNT
-            inside = segment(k[enough], level[enough], bits)
-            return kind, bucket, None, None, inside.tobytes()
-        return kind, bucket, k.view(np.int64), c, segment(k, level, bits).tobytes()
+        inside = segment(k, level, bits or segment_bits(level)).tobytes()
+        return (kind, bucket, None, None, inside) if kind == 2 else (kind, bucket, k.view(np.int64), c, inside)
 
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("segment", pa.binary())])
 
@@ -221,24 +225,27 @@ def _merged(counted: DataFrame, bits: int) -> DataFrame:
 class Model:
     """What scoring needs: the totals, the filters, the counts of frequent words, and the table of the others' counts."""
 
-    def __init__(self, train: DataFrame, text_col: str = "text", filter_bits: int = FILTER_BITS, head_words: int = HEAD_WORDS):
+    def __init__(self, train: DataFrame, text_col: str = "text", filter_bits: int | None = None, head_words: int = HEAD_WORDS):
         spark = train.sparkSession
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.segments = 1 << max(4, (4 * shuffles - 1).bit_length())
         rows = train.select(F.col(text_col).cast("string").alias("text"))
-        merged = written(_merged(_counted(rows, self.segments), filter_bits // 2 // self.segments), "ngrams")
+        merged = written(_merged(_counted(rows, self.segments), filter_bits and filter_bits // 2 // self.segments), "ngrams")
         self.counts = merged.where("kind = 1").select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.words = total.n, total.v
         self.texts = self.counts.where(F.col("word") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         head = np.array([tuple(r) for r in self._head(head_words)], np.int64).reshape(-1, 2)
         head = head[np.argsort(head[:, 0].view(np.uint64))]
-        size = filter_bits // 2 // 8 // self.segments
-        filters = [np.zeros((self.segments, size), np.uint8) for _ in range(2)]
-        for batch in merged.select("kind", "bucket", "segment").toArrow().to_batches():  # filter_bits in all
+        found = [{}, {}]
+        for batch in merged.select("kind", "bucket", "segment").toArrow().to_batches():
             for kind, bucket, bits in zip(*batch.columns, strict=True):
-                filters[kind.as_py() - 1][bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
-        self.shared = spark.sparkContext.broadcast((np.ascontiguousarray(head[:, 0]).view(np.uint64), head[:, 1].copy(), filters[0].ravel(), filters[1].ravel()))
+                found[kind.as_py() - 1][bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
+        filters = []
+        for f in found:
+            parts = [f.get(b, np.zeros(8, np.uint8)) for b in range(self.segments)]
+            filters.append((np.concatenate(parts), np.cumsum([0, *map(len, parts)])))
+        self.shared = spark.sparkContext.broadcast((np.ascontiguousarray(head[:, 0]).view(np.uint64), head[:, 1].copy(), *filters))
 
     def _head(self, limit: int) -> list:
         """The most frequent words: those above the least count that ``limit`` words or fewer exceed."""
@@ -280,10 +287,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 count = np.where(is_head, head_n[place] if len(head) else 0, 0)
                 in_head, c = is_head[back], count[back]
                 base = np.where(in_head, np.log10((c + 1) / space), 0.0)
-                word_level = decoded(probe(known, word_filter, segments))[back]
+                word_level = decoded(probe(known, word_filter[0], segments, word_filter[1]))[back]
                 before = np.concatenate([[0.0], word_level[:-1]])
                 before[begins] = texts
-                pair_level = decoded(probe(pairs(t, firsts), pair_filter, segments))
+                pair_level = decoded(probe(pairs(t, firsts), pair_filter[0], segments, pair_filter[1]))
                 share = PAIR_WEIGHT * before / (before + PAIR_HALF)
                 p = (1 - share) * np.minimum((word_level + 1) / space, 1) + share * np.minimum(pair_level / np.maximum(before, 1), 1)
                 tail = t[~in_head].view(np.int64)
