@@ -245,6 +245,24 @@ def test_lm_knows_pairs_seen_once(spark):
     assert got[1].score > got[2].score + 1  # the same words, but each pair was seen
 
 
+def test_lm_filter_grows_with_the_corpus(spark):
+    rows = [*EDGES, *[(40 + k, prose(50 + k, 40)) for k in range(600)]]
+    df = docs(spark, rows)
+    small, large = ngramlm.Model(df.where("doc_id < 100")), ngramlm.Model(df)
+    assert small.bits < large.bits and large.bits >= 8 * large.words
+    joined = ngramlm.Model(df, filter_bits=1 << 10)
+    assert joined.joined and not large.joined
+    want, got = (Counter((r.doc_id, r.key, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngramlm.score(df, m, extra=("key",)).collect()) for m in (large, joined))
+    assert got == want and got.total() == len(rows)
+
+
+def test_levels_of_high_counts():
+    counts = np.array([1, 2, 3, 4, 1 << 24, (1 << 25) - 1, 1 << 25, 1 << 40], np.int64)
+    assert ngramlm.levels(counts).tolist() == [1, 2, 2, 3, 25, 25, 26, 41]
+    held = ngramlm.segment(np.arange(8, dtype=np.uint64), ngramlm.levels(counts), 1 << 16)
+    assert (ngramlm.probe(np.arange(8, dtype=np.uint64), held, 1) >= ngramlm.levels(counts)).all()
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(2)
     keys, other = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64)), rng.integers(0, 1 << 63, 4000, dtype=np.uint64)

@@ -2,27 +2,34 @@
 
 Counts of words and word pairs over the training rows are quantised to powers of two. An n-gram of level L enters the filter
 L times, once with each of 1 to L; probing 1, 2, ... until a miss gives the level back. The filter consists of segments by
-hash, so each task of the counting builds the segments of its own n-grams, in the size that their entries need.
+hash, so each task of the counting builds the segments of its own n-grams, in the size that their entries need. It is
+broadcast up to a bound; a larger one stays in its segments, and the n-grams of the texts come to them by a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: Bits and probes for each entry of the filter.
 ENTRY_BITS, PROBES = 8, 2
-MAX_LEVEL = 24
+#: A filter of more bits isn't broadcast but joined.
+BROADCAST_BITS = 1 << 28
+#: Covers any 64-bit count.
+MAX_LEVEL = 64
 #: Exact counts of so many words, the most frequent ones, are broadcast; those of the others come by a join.
 HEAD_WORDS = 1 << 19
 #: Share of the pair model in the interpolation after a frequent word; half of it after a word of count PAIR_HALF.
 PAIR_WEIGHT, PAIR_HALF = 0.5, 50
+#: Texts whose tokens are looked up at once.
+SLICE = 256
 #: Tokens counted at once by a task.
 FLUSH = 2_000_000
 
@@ -85,7 +92,7 @@ def pairs(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return mix(before * _U(3) + mix(tokens))
 
 
-def slices(texts: pa.Array, size: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Position, bytes and offsets of runs of texts; null is empty."""
     texts = texts.cast(pa.large_binary())
     for at in range(0, len(texts), size):
@@ -97,7 +104,7 @@ def slices(texts: pa.Array, size: int = 256) -> Iterator[tuple[int, np.ndarray,
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, MAX_LEVEL)
+    return np.minimum(np.frexp(np.maximum(counts, 1).astype(np.float64))[1].astype(np.int64), MAX_LEVEL)
 
 
 def decoded(level: np.ndarray) -> np.ndarray:
@@ -185,7 +192,7 @@ def _counted(docs: DataFrame, segments: int) -> DataFrame:
     return docs.mapInArrow(run, "kind int, bucket int, keys binary, counts binary")
 
 
-def _merged(counted: DataFrame, bits: int | None = None) -> DataFrame:
+def _merged(counted: DataFrame) -> DataFrame:
     """Per kind and bucket: the keys with their exact counts (words only), and the bucket's filter."""
 
     def merge(kind: int, bucket: int, keys: list[bytes], counts: list[bytes]) -> tuple:
@@ -195,7 +202,7 @@ def _merged(counted: DataFrame, bits: int | None = None) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         k, c = k[first], np.add.reduceat(c, first)
         level = levels(c)
-        inside = segment(k, level, bits or segment_bits(level)).tobytes()
+        inside = segment(k, level, segment_bits(level)).tobytes()
         return (kind, bucket, None, None, inside) if kind == 2 else (kind, bucket, k.view(np.int64), c, inside)
 
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("segment", pa.binary())])
@@ -225,27 +232,32 @@ def _merged(counted: DataFrame, bits: int | None = None) -> DataFrame:
 class Model:
     """What scoring needs: the totals, the filters, the counts of frequent words, and the table of the others' counts."""
 
-    def __init__(self, train: DataFrame, text_col: str = "text", filter_bits: int | None = None, head_words: int = HEAD_WORDS):
+    def __init__(self, train: DataFrame, text_col: str = "text", filter_bits: int = BROADCAST_BITS, head_words: int = HEAD_WORDS):
         spark = train.sparkSession
         shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.segments = 1 << max(4, (4 * shuffles - 1).bit_length())
         rows = train.select(F.col(text_col).cast("string").alias("text"))
-        merged = written(_merged(_counted(rows, self.segments), filter_bits and filter_bits // 2 // self.segments), "ngrams")
+        merged = written(_merged(_counted(rows, self.segments)), "ngrams")
         self.counts = merged.where("kind = 1").select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.words = total.n, total.v
         self.texts = self.counts.where(F.col("word") == int(END.view(np.int64))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
         head = np.array([tuple(r) for r in self._head(head_words)], np.int64).reshape(-1, 2)
         head = head[np.argsort(head[:, 0].view(np.uint64))]
+        self.filter = merged.select("kind", "bucket", "segment")
+        self.bits = 8 * self.filter.agg(F.coalesce(F.sum(F.octet_length("segment")), F.lit(0)).alias("n")).first().n
+        self.joined = self.bits > filter_bits
+        filters = [] if self.joined else self._whole()
+        self.shared = spark.sparkContext.broadcast((np.ascontiguousarray(head[:, 0]).view(np.uint64), head[:, 1].copy(), *filters))
+
+    def _whole(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The filters of words and pairs, each with the edges of its segments."""
         found = [{}, {}]
-        for batch in merged.select("kind", "bucket", "segment").toArrow().to_batches():
+        for batch in self.filter.toArrow().to_batches():
             for kind, bucket, bits in zip(*batch.columns, strict=True):
                 found[kind.as_py() - 1][bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
-        filters = []
-        for f in found:
-            parts = [f.get(b, np.zeros(8, np.uint8)) for b in range(self.segments)]
-            filters.append((np.concatenate(parts), np.cumsum([0, *map(len, parts)])))
-        self.shared = spark.sparkContext.broadcast((np.ascontiguousarray(head[:, 0]).view(np.uint64), head[:, 1].copy(), *filters))
+        parts = [[f.get(b, np.zeros(8, np.uint8)) for b in range(self.segments)] for f in found]
+        return [(np.concatenate(p), np.cumsum([0, *map(len, p)])) for p in parts]
 
     def _head(self, limit: int) -> list:
         """The most frequent words: those above the least count that ``limit`` words or fewer exceed."""
@@ -259,6 +271,71 @@ class Model:
         return self.counts.where(F.col("n") >= least).toArrow().to_pandas().to_numpy()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``part, payload``: slices of the rows, numbered."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(at, SLICE))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "payload"])
+            part += 1
+
+
+def _unpacked(payload: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(payload) as found:
+        return found.read_next_batch()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Runs of rows with the same key."""
+    rows = (r for batch in batches for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist())
+    return ((k, list(g)) for k, g in groupby(rows, lambda r: r[key]))
+
+
+def _joined_levels(parts: DataFrame, model: Model) -> DataFrame:
+    """``part, kind, bucket, payload``: the levels, a byte each, of a slice's distinct n-grams of a segment in order of their hashes."""
+    segments = model.segments
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of = Tokens()
+        for part, (row,) in _groups(batches, "part"):
+            (_, data, offsets), = slices(_unpacked(row["payload"]).column(1))
+            t, firsts = tokens_of(data, offsets)
+            for kind, keys in ((1, np.unique(t)), (2, np.unique(pairs(t, firsts)))):
+                cuts = np.searchsorted(bucket_of(keys, segments), np.arange(segments + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                columns = [np.full(len(full), kind, np.int32), full.astype(np.int32), np.full(len(full), part, np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())], ["kind", "bucket", "part", "payload"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, inside = None, np.zeros(8, np.uint8)
+        for batch in batches:
+            out = []
+            for key, rows in groupby(batch.to_pylist(), lambda r: (r["kind"], r["bucket"])):
+                if key != at:
+                    at, inside = key, np.zeros(8, np.uint8)
+                asks = []
+                for r in rows:
+                    if r["part"] < 0:
+                        inside = np.frombuffer(r["payload"], np.uint8)
+                    else:
+                        asks.append(r)
+                level = probe(np.frombuffer(b"".join(r["payload"] for r in asks), np.uint64), inside, 1).astype(np.uint8)  # a bucket's slices at once
+                ends = np.cumsum([0, *(len(r["payload"]) // 8 for r in asks)])
+                out += [r | {"payload": level[i:j].tobytes()} for r, i, j in zip(asks, ends[:-1], ends[1:], strict=True)]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, batch.schema)
+
+    asks = parts.mapInArrow(asked, "kind int, bucket int, part long, payload binary")
+    held = model.filter.select("kind", "bucket", F.lit(-1).cast("long").alias("part"), F.col("segment").alias("payload"))  # before the slices
+    both = asks.unionByName(held).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "part")
+    return both.mapInArrow(answered, "kind int, bucket int, part long, payload binary").select("part", "kind", "bucket", "payload")
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id``, the ``extra`` columns, ``n_tokens, n_known, base_score, score``.
 
@@ -271,45 +348,68 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     inputs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
     out_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema if f.name != "text")
 
+    def measured(batch: pa.RecordBatch, row: int, t: np.ndarray, firsts: np.ndarray, word_level: np.ndarray, pair_level: np.ndarray) -> pa.RecordBatch:
+        """The rows of ``batch``, whose tokens have these levels; their numbers begin with ``row``."""
+        head, head_n = shared.value[:2]
+        kept = [k for k, f in enumerate(batch.schema) if f.name != "text"]
+        n, begins = len(firsts) - 1, firsts[:-1]
+        known, back = np.unique(t, return_inverse=True)
+        place = np.minimum(np.searchsorted(head, known), max(len(head) - 1, 0))
+        is_head = head[place] == known if len(head) else np.zeros(len(known), bool)
+        count = np.where(is_head, head_n[place] if len(head) else 0, 0)
+        in_head, c = is_head[back], count[back]
+        base = np.where(in_head, np.log10((c + 1) / space), 0.0)
+        word_level, pair_level = decoded(word_level)[back], decoded(pair_level)
+        before = np.concatenate([[0.0], word_level[:-1]])
+        before[begins] = texts
+        share = PAIR_WEIGHT * before / (before + PAIR_HALF)
+        p = (1 - share) * np.minimum((word_level + 1) / space, 1) + share * np.minimum(pair_level / np.maximum(before, 1), 1)
+        tail = t[~in_head].view(np.int64)
+        in_tail = np.concatenate([[0], np.cumsum(~in_head)])[firsts]
+        return pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(k) for k in kept),
+                pa.array(row + np.arange(n)),
+                pa.array(np.diff(firsts)),
+                pa.array(np.add.reduceat(in_head, begins, dtype=np.int64)),
+                pa.array(np.add.reduceat(base, begins)),
+                pa.array(np.add.reduceat(np.log10(p), begins)),
+                pa.ListArray.from_arrays(pa.array(in_tail.astype(np.int32)), pa.array(tail)),
+            ],
+            [*(batch.schema[k].name for k in kept), "row", "n_tokens", "n_head", "base", "score", "tail"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        head, head_n, word_filter, pair_filter = shared.value
+        (word_filter, word_edges), (pair_filter, pair_edges) = shared.value[2:]
         tokens_of, row = Tokens(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            kept = [k for k, f in enumerate(batch.schema) if f.name != "text"]
             for at, data, offsets in slices(batch.column(1)):
                 t, firsts = tokens_of(data, offsets)
-                n, begins = len(firsts) - 1, firsts[:-1]
-                known, back = np.unique(t, return_inverse=True)
-                place = np.minimum(np.searchsorted(head, known), max(len(head) - 1, 0))
-                is_head = head[place] == known if len(head) else np.zeros(len(known), bool)
-                count = np.where(is_head, head_n[place] if len(head) else 0, 0)
-                in_head, c = is_head[back], count[back]
-                base = np.where(in_head, np.log10((c + 1) / space), 0.0)
-                word_level = decoded(probe(known, word_filter[0], segments, word_filter[1]))[back]
-                before = np.concatenate([[0.0], word_level[:-1]])
-                before[begins] = texts
-                pair_level = decoded(probe(pairs(t, firsts), pair_filter[0], segments, pair_filter[1]))
-                share = PAIR_WEIGHT * before / (before + PAIR_HALF)
-                p = (1 - share) * np.minimum((word_level + 1) / space, 1) + share * np.minimum(pair_level / np.maximum(before, 1), 1)
-                tail = t[~in_head].view(np.int64)
-                in_tail = np.concatenate([[0], np.cumsum(~in_head)])[firsts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(k).slice(at, n) for k in kept),
-                        pa.array(row + np.arange(n)),
-                        pa.array(np.diff(firsts)),
-                        pa.array(np.add.reduceat(in_head, begins, dtype=np.int64)),
-                        pa.array(np.add.reduceat(base, begins)),
-                        pa.array(np.add.reduceat(np.log10(p), begins)),
-                        pa.ListArray.from_arrays(pa.array(in_tail.astype(np.int32)), pa.array(tail)),
-                    ],
-                    [*(batch.schema[k].name for k in kept), "row", "n_tokens", "n_head", "base", "score", "tail"],
-                )
-                row += n
-
-    scored = written(inputs.mapInArrow(run, f"{out_types}, row long, n_tokens long, n_head long, base double, score double, tail array<long>"), "scored")
+                part = batch.slice(at, len(firsts) - 1)
+                word_level = probe(np.unique(t), word_filter, segments, word_edges)
+                yield measured(part, row, t, firsts, word_level, probe(pairs(t, firsts), pair_filter, segments, pair_edges))
+                row += part.num_rows
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of = Tokens()
+        for part, (rows, *found) in _groups(batches, "part"):
+            batch = _unpacked(rows["payload"])
+            (_, data, offsets), = slices(batch.column(1))
+            t, firsts = tokens_of(data, offsets)
+            of = [np.frombuffer(b"".join(x["payload"] for x in found if x["kind"] == kind), np.uint8) for kind in (1, 2)]
+            yield measured(batch, part * SLICE, t, firsts, of[0], of[1][np.unique(pairs(t, firsts), return_inverse=True)[1]])
+
+    out_types = f"{out_types}, row long, n_tokens long, n_head long, base double, score double, tail array<long>"
+    if model.joined:
+        parts = written(inputs.mapInArrow(_packed, "part long, payload binary"), "parts")
+        levels_of = written(_joined_levels(parts, model), "levels")
+        both = parts.select("part", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "payload").unionByName(levels_of)
+        scored = written(both.repartition("part").sortWithinPartitions("part", "kind", "bucket").mapInArrow(run_joined, out_types), "scored")
+        dropped(parts, levels_of)
+    else:
+        scored = written(inputs.mapInArrow(run, out_types), "scored")
     rest = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     others = model.counts.where(F.col("n") < model.least)
     rest = rest.join(others, "word", "left").groupBy("row").agg(
