@@ -162,6 +162,13 @@ def test_line_join_against_all_pairs(spark):
     assert sum(x.n_links for x in got.values()) == sum(len(links[s]) for i in range(len(rows)) for s in {s for j, _, s in flat if j == i} for _ in [k for j, k, z in flat if j == i and z == s])
 
 
+def test_short_lines_are_removed(spark):
+    rows = [(1, "Read more\n\n一二三四五六\nla la la la la la\na b c d"), (2, "read  MORE\n\n一二三四五六\nla la la\na b c d e\na b c"), (3, " \na b d")]
+    got = {r.doc_id: r for r in linejoin.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.removed for i, r in got.items()} == {1: [], 2: [0, 2, 3, 4], 3: []}  # 4 of 5 tokens are a match, 3 of 4 aren't
+    assert (got[2].text, got[2].n_same, got[2].n_similar, got[3].text) == ("\na b c", 3, 1, " \na b d")
+
+
 def test_simhash(spark):
     rows = [*EDGES, *[(20 + k, prose(7, 200)) for k in range(3)], (30, prose(7, 200) + " x"), (31, prose(8, 200)), (None, prose(8, 200))]
     out = simhash.near_duplicates(docs(spark, rows)).collect()

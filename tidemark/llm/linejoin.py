@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, dropped, written
 
-#: Similarity 4 / 5; lines with fewer distinct tokens are left alone.
-NUM, DEN, MIN_TOKENS = 4, 5, 5
+#: Similarity 4 / 5; lines with fewer distinct tokens, those without a word, are left alone.
+NUM, DEN, MIN_TOKENS = 4, 5, 1
 #: Rarity is the count of a token's bucket, on a log scale. The table of the buckets' ranks has this fixed size.
 BUCKETS = 1 << 20
 #: Lines of more tokens get a parity bitmap of 256 bits beside that of 64.
@@ -71,19 +71,23 @@ def _parity(tokens: Column, shift: int, part: int | None = None) -> Column:
 
 
 def _lines(keyed: DataFrame, ranks: bytes) -> DataFrame:
-    """Lines with enough tokens: place, class (by the token set), size, bitmap, and the prefix as 32 bits of each token's hash."""
+    """Lines with a word: place, class (by the token set), size, bitmap, and the prefix as 32 bits of each token's hash.
+
+    Sets too small to be linked to any other set have no prefix; lines with the same set are found by their class.
+    """
     each = keyed.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # a filter isn't pushed through a generator; else it would split the lines a second time
     each = each.select("doc_id", "mark", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("ts")).where(F.size("ts") >= MIN_TOKENS)
     each = each.withColumn("n", F.size("ts")).withColumn("sorted", F.sort_array("ts"))
     ranked = F.transform("ts", lambda t: F.shiftleft(F.coalesce(_rank(ranks, t), F.lit(0)).cast("long"), 32).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF))))
+    length = F.when(DEN * F.col("n") >= NUM * (F.col("n") + 1), F.col("n") - _ceil_div(NUM * F.col("n"), DEN) + 1).otherwise(0)
     return each.select(
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line_no").alias("place"),
         F.struct(F.xxhash64("sorted").alias("x"), F.xxhash64("sorted", F.lit(1)).alias("y")).alias("cls"),
         "n",
         _parity(F.col("ts"), 0).alias("bits"),
         *[F.when(F.col("n") > LONG_LINE, _parity(F.col("ts"), 8, k)).alias(w) for k, w in enumerate(WIDE)],
-        F.transform(F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - _ceil_div(NUM * F.col("n"), DEN) + 1), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"),
+        F.transform(F.slice(F.sort_array(ranked), F.lit(1), length), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"),
     )
 
 
@@ -129,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``n_same`` counts the removed lines whose token set came before, ``n_similar`` the other removed ones, ``n_links`` the
     other classes that this document's lines are linked to. Documents are ordered by id, null ids last, then by a hash of
     the text; rows equal in both are one document and get the same result. A null or empty text has one empty line, which
-    stays, as do all lines of fewer than ``MIN_TOKENS`` tokens. Columns not named in ``extra`` are ignored, an empty table
+    stays, as do all lines without a word. Columns not named in ``extra`` are ignored, an empty table
     gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col, extra)
