@@ -14,6 +14,8 @@ from tidemark.operators import joins as J
 from tidemark.operators import metrics as M
 from tidemark.operators import sequence as Q
 from tidemark.operators import sets
+from tidemark.plans import metric_queries, more_queries, sequence_queries, text_queries  # noqa: F401
+from tidemark.plans.registry import QUERIES
 from tidemark.streaming import commits as C
 
 
@@ -87,6 +89,23 @@ def test_alignment():
     assert np.allclose(net.sum(1), 1) and len(net) == 3
 
 
+def dealt(spark, folder, turns):
+    """A folder whose conversations are one question and one reply each."""
+    rows = [(k, i, role, text) for k, both in enumerate(turns) for i, (role, text) in enumerate(zip(("user", "assistant"), both, strict=True))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return str(folder)
+
+
+SPELLED = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+
+
+def test_wer_reads_whole_texts(spark, tmp_path):
+    assert A.edit_distance(list("kitten"), list("sitting")) == 3 and A.edit_distance([], list("ab")) == 2 and A.edit_distance(list("ab"), []) == 2
+    folder = dealt(spark, tmp_path, [(" ".join(SPELLED), " ".join([*SPELLED[:20], "x", *SPELLED[21:40], *SPELLED[44:]]))])
+    r = QUERIES["f24_wer"](spark, folder).first()
+    assert (r.errors, r.words, r.wer) == (5, 64, round(5 / 64, 6))
+
+
 def test_intervals(spark):
     left = spark.createDataFrame([(1, "u", 0.0, 2.0), (2, "u", 10.0, 11.0)], "id int, k string, ls double, le double")
     right = spark.createDataFrame([("u", 2.0, 3.0, 7.0, 1), ("u", 1.0, 2.0, 4.0, 2), ("u", 0.0, 0.5, 8.0, 3)], "k string, rs double, re double, v double, rid int")

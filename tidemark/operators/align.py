@@ -136,6 +136,30 @@ def align_rows(df: DataFrame, key: str, a: str, b: str, method: str = "lcs") ->
     return df.select(key, a, b).mapInPandas(run, f"{key} {kind}, a_pos int, b_pos int")
 
 
+def edit_distance(a: list[str], b: list[str]) -> int:
+    """Between word lists; a row of the usual table at a time."""
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (a, b))
+    places = np.arange(len(y) + 1)
+    row = places
+    for i, w in enumerate(x):
+        free = np.concatenate([[i + 1], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
+        row = np.minimum.accumulate(free - places) + places
+    return int(row[-1])
+
+
+def distance_rows(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``key, distance, size``: the edit distance of the word arrays in columns ``a`` and ``b``, and the words of ``a``."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, edit_distance(list(x), list(y)), len(x)) for k, x, y in zip(pdf[key], pdf[a], pdf[b], strict=True)]
+            yield pd.DataFrame(rows, columns=["k", "distance", "size"]).rename(columns={"k": key})
+
+    return df.select(key, F.coalesce(a, F.array()).alias(a), F.coalesce(b, F.array()).alias(b)).mapInPandas(run, f"{key} {kind}, distance long, size long")
+
+
 def viterbi_rows(df: DataFrame, key: str, scores: str) -> DataFrame:
     """``key, state, start, end`` of the best path through the matrix in column ``scores`` (frames of arrays by state)."""
     kind = df.schema[key].dataType.simpleString()
