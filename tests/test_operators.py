@@ -1,6 +1,7 @@
 """Hand-computed cases."""
 
 import math
+import unicodedata
 
 import numpy as np
 import pytest
@@ -106,6 +107,14 @@ def test_wer_reads_whole_texts(spark, tmp_path):
     assert (r.errors, r.words, r.wer) == (5, 64, round(5 / 64, 6))
 
 
+def test_fold_reads_every_whole_text(spark, tmp_path):
+    texts = [("de", "Größe ﬁne " * 200), ("fr", "été 中 " * 200), ("en", "x" * 5000), ("es", None)]
+    spark.createDataFrame([(k, *x) for k, x in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n for r in QUERIES["c9_whole_ascii_fold"](spark, str(tmp_path)).collect()}
+    folded = [t and sum(c < "\x80" for c in unicodedata.normalize("NFKD", t)) for _, t in texts]
+    assert got == dict(enumerate(folded))
+
+
 def test_intervals(spark):
     left = spark.createDataFrame([(1, "u", 0.0, 2.0), (2, "u", 10.0, 11.0)], "id int, k string, ls double, le double")
     right = spark.createDataFrame([("u", 2.0, 3.0, 7.0, 1), ("u", 1.0, 2.0, 4.0, 2), ("u", 0.0, 0.5, 8.0, 3)], "k string, rs double, re double, v double, rid int")

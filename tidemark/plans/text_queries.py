@@ -56,6 +56,12 @@ def c9_ascii_fold(t: Tables) -> DataFrame:
     return t.documents.where("lang IN ('fr', 'es')").select("doc_id", F.length(X.ascii_fold(F.substring("text", 1, 400))).cast("long").alias("n"))
 
 
+@query()
+def c9_whole_ascii_fold(t: Tables) -> DataFrame:
+    """The whole text of every document; ``strip_accents`` differs from the fold outside of French and Spanish."""
+    return t.documents.select("doc_id", F.length(X.ascii_fold(F.col("text"))).cast("long").alias("n"))
+
+
 @query()
 def c6_transcript_normalize(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", X.normalize_transcript(F.col("text")).alias("plain"))
