@@ -115,6 +115,14 @@ def test_fold_reads_every_whole_text(spark, tmp_path):
     assert got == dict(enumerate(folded))
 
 
+def test_alignments_read_whole_texts(spark, tmp_path):
+    folder = dealt(spark, tmp_path, [(" ".join(SPELLED), " ".join(["x", *SPELLED[:50], *SPELLED[52:]]))])
+    want = [(k, k + 1) for k in range(50)] + [(k, k - 1) for k in range(52, 64)]
+    for name in ("e23_lcs_align", "e24_e28_edit_align"):
+        got = sorted((r.a_pos, r.b_pos) for r in QUERIES[name](spark, folder).collect())
+        assert got == want, name
+
+
 def test_intervals(spark):
     left = spark.createDataFrame([(1, "u", 0.0, 2.0), (2, "u", 10.0, 11.0)], "id int, k string, ls double, le double")
     right = spark.createDataFrame([("u", 2.0, 3.0, 7.0, 1), ("u", 1.0, 2.0, 4.0, 2), ("u", 0.0, 0.5, 8.0, 3)], "k string, rs double, re double, v double, rid int")

@@ -190,7 +190,7 @@ def e23_lcs_align(t: Tables) -> DataFrame:
     from tidemark.operators.align import align_rows
 
     first = lambda role: t.conversations.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias(role))
-    words = lambda c: F.slice(F.split(F.lower(F.col(c)), " "), 1, 40)
+    words = lambda c: F.split(F.lower(F.col(c)), " ")
     pairs = first("user").join(first("assistant"), "conv_id").select("conv_id", words("user").alias("a"), words("assistant").alias("b"))
     return align_rows(pairs, "conv_id", "a", "b", "lcs")
 
@@ -200,7 +200,7 @@ def e24_e28_edit_align(t: Tables) -> DataFrame:
     from tidemark.operators.align import align_rows
 
     first = lambda role: t.conversations.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias(role))
-    words = lambda c: F.slice(F.split(F.lower(F.col(c)), " "), 1, 40)
+    words = lambda c: F.split(F.lower(F.col(c)), " ")
     pairs = first("user").join(first("assistant"), "conv_id").select("conv_id", words("user").alias("a"), words("assistant").alias("b"))
     return align_rows(pairs, "conv_id", "a", "b", "edit")
 
