@@ -123,6 +123,12 @@ def test_alignments_read_whole_texts(spark, tmp_path):
         assert got == want, name
 
 
+def test_padding_reads_whole_texts(spark, tmp_path):
+    words = ["a" * (k + 1) for k in range(50)]
+    folder = dealt(spark, tmp_path, [(" ".join(words), " ".join(words))])
+    assert QUERIES["e27_pad_to_reference"](spark, folder).first().scores == [float(k + 1) for k in range(50)]
+
+
 def test_intervals(spark):
     left = spark.createDataFrame([(1, "u", 0.0, 2.0), (2, "u", 10.0, 11.0)], "id int, k string, ls double, le double")
     right = spark.createDataFrame([("u", 2.0, 3.0, 7.0, 1), ("u", 1.0, 2.0, 4.0, 2), ("u", 0.0, 0.5, 8.0, 3)], "k string, rs double, re double, v double, rid int")
