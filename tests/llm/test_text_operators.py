@@ -162,6 +162,13 @@ def test_line_join_against_all_pairs(spark):
     assert sum(x.n_links for x in got.values()) == sum(len(links[s]) for i in range(len(rows)) for s in {s for j, _, s in flat if j == i} for _ in [k for j, k, z in flat if j == i and z == s])
 
 
+def test_contamination_by_words_with_a_final_sigma(spark):
+    text = ".".join(f"ΟΔ{c}Σ" for c in "ΑΒΓΔΕΖΗΘΙΚΛΜΝ")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    (r,) = winnow.decontaminate(docs(spark, [(1, text)]), items).collect()
+    assert (r.n_words, r.n_hit, r.contaminated, r.item_ids) == (13, 13, True, ["1"])
+
+
 def test_short_lines_are_removed(spark):
     rows = [(1, "Read more\n\n一二三四五六\nla la la la la la\na b c d"), (2, "read  MORE\n\n一二三四五六\nla la la\na b c d e\na b c"), (3, " \na b d")]
     got = {r.doc_id: r for r in linejoin.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -64,8 +64,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     marks = written(windows.select(F.split("gram", " ").alias("gw"), "span").select(F.explode(_marks_of("gw", lengths)).alias("mark")).distinct(), "marks")
     marks = _kept(marks, marks.count())
 
-    # Which texts share a fingerprint. Words are lowered in full here, which makes equal words no less equal.
-    rough = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), words(F.lower(F.col(text_col)), SEPARATORS).alias("dw"))
+    # Which texts share a fingerprint. Words are lowered in full, each by itself as those of the items are: a sigma's form depends on what follows.
+    rough = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), F.transform(item_words(F.col(text_col)), lambda w: F.lower(w)).alias("dw"))
     rough = rough.select("doc_id", "key", F.size("dw").cast("long").alias("n_words"), F.posexplode_outer(_fingerprints("dw", lengths)).alias("i", "mark"))
     flagged = rough.join(marks.withColumn("shared", F.lit(1)), "mark", "left").groupBy("doc_id", "key", "n_words")
     flagged = written(flagged.agg(F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("copies"), F.max("shared").alias("shared")), "flagged")
