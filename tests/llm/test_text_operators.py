@@ -127,27 +127,31 @@ def test_line_dedup(spark):
     by = {r.doc_id: r for r in out}
     assert by[10].removed == [] and by[11].removed == [0, 1] and by[11].n_same == 1 and by[11].n_similar == 1
     assert by[11].text == "new words which stand alone here today"
-    assert by[12].removed == [] and by[13].removed == [0, 2]  # the earlier document is the near one
+    assert by[12].removed == [1] and by[13].removed == [0, 2]  # the earlier document is the near one
     assert by[5].text == LONG and by[1].text == "" and by[3].text == " \n\t "
     assert [r.removed for r in out if r.doc_id == 4] == [[], []]
     assert linejoin.dedup_lines(docs(spark, [])).count() == 0
 
 
-def test_line_join_against_all_pairs(spark):
+@pytest.mark.parametrize("tile_tokens", [1 << 15, 40])
+def test_line_join_against_all_pairs(spark, monkeypatch, tile_tokens):
+    monkeypatch.setattr(linejoin, "TILE_TOKENS", tile_tokens)  # 40: a tile holds few lines
+    monkeypatch.setattr(linejoin, "BROADCAST_LINES", tile_tokens)
     r = random.Random(3)
     lines = []
-    for _ in range(120):
-        words = [f"w{min(int(r.expovariate(0.05)), 400)}" for _ in range(r.randint(4, 25))]
+    sizes = [*[r.randint(1, 5) for _ in range(60)], *[r.randint(4, 25) for _ in range(120)], *[r.randint(50, 320) for _ in range(30)]]
+    for n in sizes:
+        words = [f"w{min(int(r.expovariate(0.05)), 400)}" for _ in range(n)] if n < 50 else r.sample([f"w{i}" for i in range(600)], n)
         lines.append(words)
-        for _ in range(r.randint(0, 2)):
+        for _ in range(40 if n == 320 or len(lines) == 70 else r.randint(0, 2)):  # one large group of near copies
             copy = list(words)
-            for _ in range(r.randint(0, 3)):
-                copy[r.randrange(len(copy))] = f"w{r.randrange(400)}"
+            for _ in range(r.randint(0, max(3, n // 8))):
+                copy[r.randrange(len(copy))] = f"w{r.randrange(600)}"
             lines.append(copy)
     r.shuffle(lines)
+    lines = lines[: len(lines) // 6 * 6]
     rows = [(i, "\n".join(" ".join(x) for x in lines[i * 6 : i * 6 + 6])) for i in range(len(lines) // 6)]
     flat = [(i, k, frozenset(x.split(" "))) for i, t in rows for k, x in enumerate(t.split("\n"))]
-    flat = [x for x in flat if len(x[2]) >= linejoin.MIN_TOKENS]
     sets = list(dict.fromkeys(s for _, _, s in flat))
     links = {s: {o for o in sets if o != s and 5 * len(s & o) >= 4 * len(s | o)} for s in sets}
     first = {}
@@ -371,3 +375,65 @@ def test_hilbert_is_a_walk():
 
 def test_columns_are_functions(spark):
     assert spark.range(1).select(chat.unescape(chat.escape(F.lit("[INST]\\<|"))).alias("x")).first().x == "[INST]\\<|"
+
+
+def _plain_base(text):
+    """Base spans by the plain expressions, written from their description."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(p.strip("0") == "" or (len(p.lstrip("0")) < 4 and int(p.lstrip("0")) < 256) for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        doubled = [x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])]
+        if 14 <= len(d) <= 19 and sum(doubled) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_of_random_texts():
+    r = random.Random(8)
+    for k in range(4000):
+        t = "".join(r.choice("0123456789" * 3 + ". -+()@ab\né") for _ in range(r.randint(0, 60)))
+        if k % 500 == 0:
+            t = t + r.choice("07") * 5000 + ".1.1.1 +" + "4" * 5000 + " " + "0" * 5000 + ".0.00.255"
+        assert pii.base_spans(t) == _plain_base(t), t[:80]
+
+
+def test_private_data_survives_long_runs(spark):
+    texts = ["0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1", "+" + "1" * 6000, "1 " * 6000, "a@" * 3000 + "b.c"]
+    out = {r.doc_id: r for r in pii.find(docs(spark, list(enumerate(texts)))).collect()}
+    assert out[0].n_ip == 1 and out[1].n_ip == 0 and len(out) == len(texts)
+    for i, t in enumerate(texts):
+        assert out[i].n_spans == len([x for x in out[i].spans.split(",") if x]) >= len(pii.base_spans(t))
+
+
+def test_decoding_takes_the_best_segmentation():
+    w, t = pii.trained()
+    r = random.Random(2)
+    for _ in range(25):
+        text = r.choice(("call +1 (269) 555-3296", "4111 1111 1111 1111", "10.0.0.1 x@y.org", "12-3456 7890 (12) 5"))[: r.randint(6, 22)]
+        tokens = [m[0] for m in pii._TOKEN.finditer(text)]
+        cands = {(i, j): f for i, j, f in pii._candidates(tokens)}
+
+        def best(at, last):
+            """Score and entities of the best way on from token ``at``."""
+            if at == len(tokens):
+                return 0.0, ()
+            ways = [(t[last, pii.OUTSIDE] + (x := best(at + 1, pii.OUTSIDE))[0], x[1])]
+            for (i, j), f in cands.items():
+                if i == at:
+                    for y in range(pii.OUTSIDE):
+                        s, rest = best(j, y)
+                        ways.append((t[last, y] + w[y] @ f + s, ((i, j, y), *rest)))
+            return max(ways)
+
+        score, want = best(0, pii.OUTSIDE)
+        got = pii._decode(tokens, w, t)
+        again, last, at, own = 0.0, pii.OUTSIDE, 0, {i: (j, y) for i, j, y in got}
+        while at < len(tokens):
+            j, y = own.get(at, (at + 1, pii.OUTSIDE))
+            again += t[last, y] + (w[y] @ cands[at, j] if y != pii.OUTSIDE else 0)
+            at, last = j, y
+        assert again == pytest.approx(score) and len(got) == len(want)

@@ -1,8 +1,10 @@
 """Line deduplication by an exact set-similarity join.
 
 The tokens of a line are its distinct lowered words. Lines whose token sets have a Jaccard similarity of NUM / DEN or more
-are linked. Tokens are ordered by rarity; two linked lines share a token in short prefixes of that order, which an
-equi-join finds; length, position and a parity bitmap bound the overlap before the sets themselves are compared.
+are linked. Tokens are ordered by rarity; two linked lines share a token in short prefixes of that order. The first token
+that they share is the one place where a pair is looked at: its position there and the lengths bound the overlap, then
+parity bitmaps, then the sets themselves are compared, inside blocks of bounded size. No step has a row for each pair: semi
+joins keep the prefix tokens with a partner, and a block returns how many links a line has and the earliest line there.
 A line is removed if an earlier one (by document id, then place) is linked to it or has the same tokens.
 """
 
@@ -13,48 +15,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, dropped, written
+from .common import dropped, let, written
 
-#: Similarity 4 / 5; lines with fewer distinct tokens, those without a word, are left alone.
-NUM, DEN, MIN_TOKENS = 4, 5, 1
+#: Similarity 4 / 5.
+NUM, DEN = 4, 5
 #: Rarity is the count of a token's bucket, on a log scale. The table of the buckets' ranks has this fixed size.
 BUCKETS = 1 << 20
-#: Lines of more tokens get a parity bitmap of 256 bits beside that of 64.
-LONG_LINE, WIDE = 100, ("w0", "w1", "w2", "w3")
+#: A token is a long: 7 bits of rank, then these bits of its hash.
+HASH_BITS = 56
+#: Lines of more tokens get bitmaps of 128 and of 256 bits.
+LONG_LINE, LONGER_LINE = 60, 200
+#: Tokens in a block's tile, about, unless one line has more.
+TILE_TOKENS = 1 << 15
+#: The list of lines whose sets are compared is broadcast up to so many; a longer one is joined by a shuffle.
+BROADCAST_LINES = 400_000
 
+CLASS = ["x", "bits"]
+MAPS = ["bits", "b1", "b2", "b3"]
 
-def _tokens(line: Column) -> Column:
-    """64-bit hashes of the distinct tokens."""
-    hashes = F.transform(F.split(F.lower(line), f"[{BLANK}]+"), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))
+
+def _plain(text: Column) -> Column:
+    """``text`` lowered, its ASCII white space but line feeds as spaces."""
+    low = F.lower(text)
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c")) | F.contains(text, F.lit("\r"))
+    return F.when(odd, F.regexp_replace(low, "[\\t\\x0B\\f\\r]", " ")).otherwise(low)
 
 
 def _bucket(token: Column) -> Column:
     return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(docs: DataFrame, text_col: str) -> bytes:
-    """By bucket, the log-scaled count of its tokens over all texts, as one byte of 0 to 127."""
-    each = docs.select(F.explode(F.split(F.lower(F.col(text_col)), f"[{BLANK}]+")).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+def rarity(docs: DataFrame, text_col: str) -> Column:
+    """By bucket, the log-scaled count of its tokens over all texts, as an array of 0 to 127."""
+    each = docs.select(F.explode(F.split(F.replace(_plain(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     rank = F.least(F.floor(3 * F.log2(F.count("*") + 1)), F.lit(127)).cast("int")
     table = each.groupBy("b").agg(rank.alias("rank")).toArrow()  # BUCKETS rows at most
-    out = bytearray(BUCKETS)
+    out = ["0"] * BUCKETS
     for b, r in zip(table.column("b").to_pylist(), table.column("rank").to_pylist(), strict=True):
-        out[b] = r
-    return bytes(out)
-
-
-def _rank(ranks: bytes, token: Column) -> Column:
-    return F.ascii(F.substring(F.lit(ranks), _bucket(token) + 1, F.lit(1)).cast("string"))
-
+        out[b] = str(r)
+    return F.split(F.lit(",".join(out)), ",").cast("array<tinyint>")  # folded to a constant
 
-def _ceil_div(a: Column, b: int) -> Column:
-    return F.floor((a + (b - 1)) / b).cast("int")
 
-
-def _alike(both: Column, sizes: Column) -> Column:
-    """Whether an overlap of ``both`` in sets of ``sizes`` together reaches the similarity."""
-    return (NUM + DEN) * both >= NUM * sizes
+def _tokens(line: Column, ranks: Column | None = None) -> Column:
+    """The distinct tokens of a plain line, rarest first; without ``ranks`` their hashes, in that order."""
+    low = F.lit((1 << HASH_BITS) - 1)
+    empty = F.xxhash64(F.lit(""))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), empty)
+    if ranks is None:
+        return F.sort_array(F.transform(hashes, lambda h: h.bitwiseAND(low)))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, _bucket(h)).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(low))))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -63,68 +72,115 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: Sequence[str] = (
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"), F.struct(F.lit(True).alias("_"), *extra).alias("carried"))
 
 
-def _parity(tokens: Column, shift: int, part: int | None = None) -> Column:
-    """Bit b: whether an odd number of tokens have b in the 6 bits from ``shift`` on (and ``part`` in the 2 bits before)."""
-    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, shift).bitwiseAND(F.lit(63)).cast("int")))
-    step = flip if part is None else lambda a, t: F.when(F.shiftright(t, shift - 2).bitwiseAND(F.lit(3)) == part, flip(a, t)).otherwise(a)
-    return F.aggregate(tokens, F.lit(0).cast("long"), step)
+def _parity(tokens: Column, chosen: int = 0) -> Column:
+    """Bit b: whether an odd number of tokens have b in their last 6 bits, and ones where ``chosen`` has in the bits before."""
+    one = F.lit(1).cast("long")
+    picked = {0: lambda t: one, 1: lambda t: F.shiftright(t, 6).bitwiseAND(one), 2: lambda t: F.shiftright(t, 7).bitwiseAND(one), 3: lambda t: F.shiftright(t, 6).bitwiseAND(F.shiftright(t, 7)).bitwiseAND(one)}[chosen]
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", picked(t), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _lines(keyed: DataFrame, ranks: bytes) -> DataFrame:
-    """Lines with a word: place, class (by the token set), size, bitmap, and the prefix as 32 bits of each token's hash.
+def _lines(keyed: DataFrame, ranks: Column) -> DataFrame:
+    """Lines with a word: place, class (by the token set), size, bitmaps, and the prefix.
 
     Sets too small to be linked to any other set have no prefix; lines with the same set are found by their class.
     """
-    each = keyed.select("doc_id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    each = keyed.select("doc_id", "mark", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line_no", "line"))
     # a filter isn't pushed through a generator; else it would split the lines a second time
-    each = each.select("doc_id", "mark", "line_no", F.explode(F.array(_tokens(F.col("line")))).alias("ts")).where(F.size("ts") >= MIN_TOKENS)
-    each = each.withColumn("n", F.size("ts")).withColumn("sorted", F.sort_array("ts"))
-    ranked = F.transform("ts", lambda t: F.shiftleft(F.coalesce(_rank(ranks, t), F.lit(0)).cast("long"), 32).bitwiseOR(t.bitwiseAND(F.lit(0xFFFFFFFF))))
-    length = F.when(DEN * F.col("n") >= NUM * (F.col("n") + 1), F.col("n") - _ceil_div(NUM * F.col("n"), DEN) + 1).otherwise(0)
+    each = each.select("doc_id", "mark", "line_no", F.explode(F.array(_tokens(F.col("line"), ranks))).alias("ts")).where(F.size("ts") >= 1)
+    n = F.size("ts")
+    prefix = F.when(DEN * n >= NUM * (n + 1), n - F.ceil(F.lit(NUM) * n / DEN).cast("int") + 1).otherwise(0)
     return each.select(
         F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "line_no").alias("place"),
-        F.struct(F.xxhash64("sorted").alias("x"), F.xxhash64("sorted", F.lit(1)).alias("y")).alias("cls"),
-        "n",
-        _parity(F.col("ts"), 0).alias("bits"),
-        *[F.when(F.col("n") > LONG_LINE, _parity(F.col("ts"), 8, k)).alias(w) for k, w in enumerate(WIDE)],
-        F.transform(F.slice(F.sort_array(ranked), F.lit(1), length), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")).alias("prefix"),
+        F.xxhash64("ts").alias("x"),
+        _parity(F.col("ts")).alias("bits"),
+        F.when(n > LONG_LINE, _parity(F.col("ts"), 1)).alias("b1"),
+        F.when(n > LONGER_LINE, _parity(F.col("ts"), 2)).alias("b2"),
+        F.when(n > LONGER_LINE, _parity(F.col("ts"), 3)).alias("b3"),
+        n.alias("n"),
+        F.slice("ts", F.lit(1), prefix).alias("prefix"),
     )
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes, by ``cls.x``, that may be linked; ``a`` is the one with fewer tokens."""
-    rows = classes.select(F.col("cls.x").alias("x"), "n", "bits", *WIDE, F.posexplode("prefix").alias("i", "token"))
-    short = F.col("n") - _ceil_div(2 * NUM * F.col("n"), NUM + DEN) + 1
-    a = rows.where(F.col("i") < short).select(F.col("token").alias("at"), F.col("x").alias("a"), F.col("n").alias("an"), F.col("i").alias("ai"), F.col("bits").alias("ab"), *[F.col(w).alias(f"a{w}") for w in WIDE])
-    b = rows.select("token", F.col("x").alias("b"), F.col("n").alias("bn"), F.col("i").alias("bi"), F.col("bits").alias("bb"), *[F.col(w).alias(f"b{w}") for w in WIDE])
-    sizes = F.col("an") + F.col("bn")
-    smaller = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b")))
-    length = DEN * F.col("an") >= NUM * F.col("bn")
-    position = _alike(F.least(F.col("an") - F.col("ai"), F.col("bn") - F.col("bi")) + F.least("ai", "bi"), sizes)
-    parity = _alike(sizes - F.bit_count(F.col("ab").bitwiseXOR(F.col("bb"))), 2 * sizes)
-    apart = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WIDE), F.lit(0))
-    wide = F.coalesce(_alike(sizes - apart, 2 * sizes), F.lit(True))  # null where one of the lines isn't long
-    met = a.join(b, (F.col("at") == F.col("token")) & smaller & length & position & parity & wide)
-    return met.select("a", "b").distinct()
+def _may_link() -> Column:
+    """Of rows ``a`` and ``b`` of the first token that two classes share: whether what is known allows a link.
+
+    ``left`` counts the tokens from that one on, so the smaller ``left`` bounds the overlap; each bit in which the bitmaps
+    differ is a token of one side alone.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    sizes = a("n") + b("n")
+    apart = lambda *maps: sum((F.bit_count(x) for x in maps), F.lit(0))
+    q = {c: a(c).bitwiseXOR(b(c)) for c in MAPS}
+    wide = apart(q["b1"], q["bits"].bitwiseXOR(q["b1"]))
+    widest = apart(q["b3"], q["b1"].bitwiseXOR(q["b3"]), q["b2"].bitwiseXOR(q["b3"]), q["bits"].bitwiseXOR(q["b1"]).bitwiseXOR(q["b2"]).bitwiseXOR(q["b3"]))
+    near = lambda d: (NUM + DEN) * d <= (DEN - NUM) * sizes
+    other = (a("x") != b("x")) | (a("bits") != b("bits"))
+    return ((NUM + DEN) * F.least(a("left"), b("left")) >= NUM * sizes) & near(apart(q["bits"])) & F.coalesce(near(wide), F.lit(True)) & F.coalesce(near(widest), F.lit(True)) & other
+
+
+def _meets(rows: DataFrame, *more: Column) -> DataFrame:
+    """The rows with a partner at their token; one row each, however many partners."""
+    cond = (F.col("a.token") == F.col("b.token")) & _may_link()
+    for c in more:
+        cond = cond & c
+    return rows.alias("a").join(rows.alias("b"), cond, "left_semi")
+
+
+def _first_shared(token: Column, own: Column, other: Column) -> Column:
+    """Whether ``token``, in both sorted lists, is the first that they share."""
+    mine, theirs = F.get(own, F.lit(0)), F.get(other, F.lit(0))
+    return F.when((token == mine) | (token == theirs), True).when(mine == theirs, False).otherwise(F.array_min(F.array_intersect(own, other)) == token)
+
+
+def _places(classes: DataFrame) -> DataFrame:
+    """``token, x, bits, n, left, listed``: the classes that have a possible partner at the first token that the two share."""
+    rows = classes.select(F.posexplode("prefix").alias("i", "token"), "x", *MAPS, "n").select("token", "x", *MAPS, "n", (F.col("n") - F.col("i")).alias("left"))
+    found = written(_meets(rows), "meeting")
+    # for a linked pair, the first shared token is among these tokens of either class, and none before it is in both
+    listed = found.groupBy(*CLASS).agg(F.sort_array(F.collect_list("token")).alias("listed"))  # at most a prefix
+    rows = found.join(listed, CLASS)
+    out = written(_meets(rows, _first_shared(F.col("a.token"), F.col("a.listed"), F.col("b.listed"))).select("token", *CLASS, "n", "left", "listed"), "places")
+    dropped(found)
+    return out
+
+
+def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``x, bits, place, ts``: the token sets of the wanted classes, from the first line of each."""
+    at = classes.select(*CLASS, "place").join(wanted, CLASS, "left_semi")
+    at = at.groupBy(F.col("place.doc_id").alias("d"), F.col("place.mark").alias("m")).agg(F.collect_list(F.struct(*CLASS, "place")).alias("at"))  # lines of one document
+    at = written(at, "wanted")
+    few = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("n")).first().n <= BROADCAST_LINES
+    found = keyed.select("doc_id", "mark", "text").join(F.broadcast(at) if few else at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
+    lines = found.select(let(F.split(_plain(F.col("text")), "\n"), lambda ls: F.transform("at", lambda w: F.struct(w.alias("w"), F.get(ls, w["place"]["line_no"]).alias("line")))).alias("of"))
+    lines = lines.select(F.explode("of").alias("l")).select("l.w.*", _tokens(F.col("l.line")).alias("ts"))
+    out = written(lines.groupBy(*CLASS).agg(F.first("place").alias("place"), F.first("ts").alias("ts")), "sets")  # rows repeated
+    dropped(at)
+    return out
 
 
 def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b``: the linked classes, each pair once, compared by their token sets."""
-    pairs = written(_candidates(classes), "candidates")
-    wanted = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
-    at = classes.select("cls", F.col("cls.x").alias("x"), F.col("place.doc_id").alias("d"), F.col("place.mark").alias("m"), F.col("place.line_no").alias("line_no"))
-    at = at.join(wanted, "x", "left_semi").groupBy("d", "m").agg(F.collect_list(F.struct("cls", "x", "line_no")).alias("at"))  # lines of one document
-    texts = keyed.select("doc_id", "mark", "text")
-    found = texts.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
-    lines = found.select(F.split("text", "\n").alias("ls"), F.explode("at").alias("w")).select("w.cls", "w.x", _tokens(F.get("ls", F.col("w.line_no"))).alias("ts"))
-    lines = written(lines.groupBy("cls", "x").agg(F.first("ts").alias("ts")), "sets")  # rows repeated
-    left = lines.select(F.col("cls").alias("ac"), F.col("x").alias("a"), F.col("ts").alias("at"))
-    right = lines.select(F.col("cls").alias("bc"), F.col("x").alias("b"), F.col("ts").alias("bt"))
-    both = pairs.join(left, "a").join(right, "b")
-    found = both.where(_alike(F.size(F.array_intersect("at", "bt")), F.size("at") + F.size("bt"))).select(F.col("ac").alias("a"), F.col("bc").alias("b"))
-    found = written(found, "links")
-    dropped(pairs, lines)
-    return found
+    """``x, bits, links, earliest``: the classes linked to others, to how many, and the first place of the earliest of these."""
+    places = _places(classes)
+    sets = _sets(keyed, classes, places.select(*CLASS).distinct())
+    tiles = places.groupBy("token").agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("tiles"))
+    members = written(places.join(tiles, "token").join(sets, CLASS), "members")
+    member = F.struct(*CLASS, "n", "left", "place", "listed", "ts")
+    tile = F.pmod(F.xxhash64("x", "bits"), F.col("tiles")).cast("int")
+    held = members.select("token", tile.alias("tile"), member.alias("m")).groupBy("token", "tile").agg(F.collect_list("m").alias("held"))
+    asked = members.select("token", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), member.alias("a"))
+
+    def link(b: Column) -> Column:
+        sizes = F.col("a.n") + b["n"]
+        long_enough = (NUM + DEN) * F.least(F.col("a.left"), b["left"]) >= NUM * sizes
+        near = (NUM + DEN) * F.bit_count(F.col("a.bits").bitwiseXOR(b["bits"])) <= (DEN - NUM) * sizes
+        other = (F.col("a.x") != b["x"]) | (F.col("a.bits") != b["bits"])
+        return long_enough & near & other & _first_shared(F.col("token"), F.col("a.listed"), b["listed"]) & ((NUM + DEN) * F.size(F.array_intersect(F.col("a.ts"), b["ts"])) >= NUM * sizes)
+
+    found = asked.join(held, ["token", "tile"]).select("a.x", "a.bits", F.transform(F.filter("held", link), lambda b: b["place"]).alias("of"))
+    found = found.select("x", "bits", F.explode(F.array(F.struct(F.size("of").alias("links"), F.array_min("of").alias("earliest")))).alias("r"))
+    out = written(found.select("x", "bits", "r.*").where("links > 0").groupBy("x", "bits").agg(F.sum("links").alias("links"), F.min("earliest").alias("earliest")), "links")
+    dropped(places, sets, members)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
@@ -137,18 +193,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col, extra)
-    ranks = rarity(keyed, "text")
-    lines = written(_lines(keyed, ranks), "lines")
-    whole = F.min(F.struct("place", "n", "bits", *WIDE, "prefix"))
-    classes = written(lines.groupBy("cls").agg(whole.alias("w"), F.count("*").alias("times")).select("cls", "w.*", "times"), "classes")
+    lines = written(_lines(keyed, rarity(keyed, "text")), "lines")
+    whole = F.min(F.struct("place", "b1", "b2", "b3", "n", "prefix"))
+    classes = written(lines.groupBy(*CLASS).agg(whole.alias("w"), F.count("*").alias("times")).select(*CLASS, "w.*", "times"), "classes")
     links = linked(keyed, classes)
-    place = classes.select("cls", "place")
-    ends = links.join(place.select(F.col("cls").alias("a"), F.col("place").alias("pa")), "a").join(place.select(F.col("cls").alias("b"), F.col("place").alias("pb")), "b")
-    sides = ends.select(F.col("a").alias("cls"), (F.col("pb") < F.col("pa")).alias("later")).unionByName(ends.select(F.col("b").alias("cls"), (F.col("pa") < F.col("pb")).alias("later")))
-    known = sides.groupBy("cls").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    marked = classes.select("cls", "times", F.col("place").alias("first")).join(known, "cls", "left").where("times > 1 OR links > 0")
-    marked = written(marked.select("cls", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("later", F.lit(False)).alias("later")), "marked")
-    hit = lines.select("place", "cls").join(marked, "cls")
+    marked = classes.select(*CLASS, "times", F.col("place").alias("first")).join(links, CLASS, "left").where("times > 1 OR links > 0")
+    marked = written(marked.select(*CLASS, "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("later")), "marked")
+    hit = lines.select("place", *CLASS).join(marked, CLASS)
     own = hit.select("place.doc_id", "place.mark", "place.line_no", "links", (F.col("first") != F.col("place")).alias("again"), "later").distinct()
     per_doc = own.groupBy("doc_id", "mark").agg(
         F.sort_array(F.collect_list(F.when(F.col("again") | F.col("later"), F.col("line_no")))).alias("removed"),
