@@ -40,6 +40,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether the number is at most 255, however many zeros or digits it has."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``: each holds one at-sign and all that fits before it."""
     done = 0
@@ -57,7 +63,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` by start and kind, in code points."""
     out = [(a, 0, b) for a, b in _emails(text)]
-    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(x) for x in m[0].split("."))]
     for m in _CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(d) <= 19 and luhn(d):
@@ -327,7 +333,7 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256, spans``.
+    """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256, spans``, ``n_spans``.
 
     Null and empty texts have no spans. Repeated rows get the same result, null ids are kept, other columns are ignored,
     an empty table gives no rows. Texts are searched whole; the field sees the surroundings of each digit or at-sign.
@@ -338,13 +344,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            digest, joined = [], []
+            digest, joined, total = [], [], []
             for text in batch.column(1):
                 base, found = spans(text.as_py() or "", weights)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in base))
                 digest.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 joined.append(_joined(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(joined, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                total.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(joined, pa.string()), pa.array(total, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
