@@ -1,5 +1,7 @@
 """Hand-computed cases."""
 
+import random
+from itertools import combinations
 import math
 import unicodedata
 
@@ -82,6 +84,13 @@ def test_supervision(spark):
 def test_alignment():
     assert A.lcs_pairs(list("abcd"), list("xbd")) == [(1, 1), (3, 2)]
     assert A.edit_pairs(list("ab"), list("b")) == [(0, None), (1, 0)]
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = (r.choices("abcd", k=r.randint(0, 7)) for _ in range(2))
+        got = A.lcs_pairs(a, b)
+        assert [a[i] for i, _ in got] == [b[j] for _, j in got] and got == sorted(got) and len({j for _, j in got}) == len(got)
+        longest = max(k for k in range(len(a) + 1) for c in combinations(a, k) if all(w in rest for rest in [iter(b)] for w in c))
+        assert len(got) == longest
     assert A.viterbi_spans(np.array([[0, -9], [0, -9], [-9, 0.0]])) == [(0, 2), (2, 3)]
     assert A.viterbi_spans(np.zeros((1, 2))) is None
     for q, want in ((0.95, [0.95, 0.05]), (0.10, [0.10, 0.90])):
