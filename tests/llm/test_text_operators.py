@@ -437,3 +437,45 @@ def test_decoding_takes_the_best_segmentation():
             again += t[last, y] + (w[y] @ cands[at, j] if y != pii.OUTSIDE else 0)
             at, last = j, y
         assert again == pytest.approx(score) and len(got) == len(want)
+
+
+@pytest.mark.parametrize("filter_bits", [1 << 30, 0])
+def test_lm_score_against_counts(spark, monkeypatch, filter_bits):
+    rows = [*[e for e in EDGES if e[1] != LONG], *[(40 + k, prose(50 + k, 40 + 30 * (k % 3), 20)) for k in range(80)], (200, prose(60, 40, 20))]
+    df = docs(spark, rows)
+    toks = lambda t: [*REF.findall((t or "").translate(LOW)), None]
+    words, pairs = Counter(w for _, t in rows for w in toks(t)), Counter(p for _, t in rows for p in zip(["begin", *toks(t)], toks(t), strict=False))
+    space, rounded = words.total() + len(words) + 1, lambda c: float(ngramlm.decoded(ngramlm.levels(np.array([c])))[0]) if c else 0.0
+
+    def plain(text):
+        out, last = 0.0, None
+        for k, w in enumerate(toks(text)):
+            before = float(len(rows)) if k == 0 else rounded(words[last])
+            pair = rounded(pairs["begin" if k == 0 else last, w])
+            share = 0.5 * before / (before + 50)
+            out += math.log10((1 - share) * min((rounded(words[w]) + 1) / space, 1) + share * min(pair / max(before, 1), 1))
+            last = w
+        return out
+
+    want = Counter((str(i), round(plain(t), 4)) for i, t in rows)
+    for bits, limit in ((1 << 13, 1e-9), (8, 0.05)):  # with 8 bits an entry a few levels are too high
+        monkeypatch.setattr(ngramlm, "ENTRY_BITS", bits)
+        out = ngramlm.score(df, ngramlm.Model(df, filter_bits=filter_bits, head_words=20)).collect()
+        if bits > 8:
+            assert Counter((str(r.doc_id), round(r.score, 4)) for r in out) == want
+        got, whole = sum(r.score for r in out), sum(plain(t) for _, t in rows)
+        assert abs(got - whole) <= max(limit * abs(whole), 1e-6)
+
+
+def test_lm_is_the_same_on_any_cluster_and_keeps_its_head_short(spark):
+    rows = [(k, prose(k, 60, 30)) for k in range(200)]
+    df, before, seen = docs(spark, rows), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, head in ((4, 16), (64, 0), (4, 1 << 19)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            model = ngramlm.Model(df, head_words=head)
+            assert len(model.shared.value[0]) <= head
+            seen.append({r.doc_id: (r.n_known, round(r.base_score, 6), r.score) for r in ngramlm.score(df, model).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]

@@ -9,10 +9,11 @@ broadcast up to a bound; a larger one stays in its segments, and the n-grams of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +21,19 @@ from .common import dropped, written
 
 #: Bits and probes for each entry of the filter.
 ENTRY_BITS, PROBES = 8, 2
-#: A filter of more bits isn't broadcast but joined.
-BROADCAST_BITS = 1 << 28
+#: A filter of more bits (128 MB) isn't broadcast but joined.
+BROADCAST_BITS = 1 << 30
+#: Bytes of training text for each segment of the filter, about; at least so many segments.
+SEGMENT_BYTES, LEAST_SEGMENTS = 8 << 20, 16
 #: Covers any 64-bit count.
 MAX_LEVEL = 64
 #: Exact counts of so many words, the most frequent ones, are broadcast; those of the others come by a join.
 HEAD_WORDS = 1 << 19
 #: Share of the pair model in the interpolation after a frequent word; half of it after a word of count PAIR_HALF.
 PAIR_WEIGHT, PAIR_HALF = 0.5, 50
-#: Texts whose tokens are looked up at once.
+#: Texts whose tokens are looked up at once; where the filter is joined, bytes of text that ask together, and more than the rows these can have.
 SLICE = 256
+ASK_BYTES, ASK_ROWS = 4 << 20, 1 << 14
 #: Tokens counted at once by a task.
 FLUSH = 2_000_000
 
@@ -234,9 +238,9 @@ class Model:
 
     def __init__(self, train: DataFrame, text_col: str = "text", filter_bits: int = BROADCAST_BITS, head_words: int = HEAD_WORDS):
         spark = train.sparkSession
-        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.segments = 1 << max(4, (4 * shuffles - 1).bit_length())
         rows = train.select(F.col(text_col).cast("string").alias("text"))
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        self.segments = 1 << max(LEAST_SEGMENTS, -(-size // SEGMENT_BYTES) - 1).bit_length()  # by the corpus alone: the filter is the same on any cluster
         merged = written(_merged(_counted(rows, self.segments)), "ngrams")
         self.counts = merged.where("kind = 1").select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -251,36 +255,43 @@ class Model:
         self.shared = spark.sparkContext.broadcast((np.ascontiguousarray(head[:, 0]).view(np.uint64), head[:, 1].copy(), *filters))
 
     def _whole(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The filters of words and pairs, each with the edges of its segments."""
-        found = [{}, {}]
+        """The filters of words and pairs, each with the edges of its segments; an empty segment has one word of bits."""
+        sizes = np.full((2, self.segments), 8, np.int64)
+        for r in self.filter.select("kind", "bucket", F.octet_length("segment").alias("n")).toLocalIterator():
+            sizes[r.kind - 1, r.bucket] = r.n
+        edges = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+        bits = [np.zeros(e[-1], np.uint8) for e in edges]
         for batch in self.filter.toArrow().to_batches():
-            for kind, bucket, bits in zip(*batch.columns, strict=True):
-                found[kind.as_py() - 1][bucket.as_py()] = np.frombuffer(bits.as_buffer(), np.uint8)
-        parts = [[f.get(b, np.zeros(8, np.uint8)) for b in range(self.segments)] for f in found]
-        return [(np.concatenate(p), np.cumsum([0, *map(len, p)])) for p in parts]
+            for kind, bucket, held in zip(*batch.columns, strict=True):
+                k, at = kind.as_py() - 1, edges[kind.as_py() - 1][bucket.as_py()]
+                bits[k][at : at + len(held.as_buffer())] = np.frombuffer(held.as_buffer(), np.uint8)
+        return list(zip(bits, edges, strict=True))
 
     def _head(self, limit: int) -> list:
-        """The most frequent words: those above the least count that ``limit`` words or fewer exceed."""
-        by_level = self.counts.groupBy(F.least("n", F.lit(4096)).alias("n")).count().orderBy(F.desc("n")).collect()  # 4096 rows at most
-        least, have = 4097, 0
-        for r in by_level:
-            if have + r["count"] > limit:
+        """The most frequent words, ``limit`` at most: those above the least count for which they fit; none if the topmost don't."""
+        step = F.floor(F.log2("n") * 8).cast("int")
+        by_step = self.counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()  # 8 * 64 rows at most
+        self.least, have = (1 << 63) - 1, 0
+        for r in by_step:
+            have += r.words
+            if have > limit:
                 break
-            least, have = r.n, have + r["count"]
-        self.least = least
-        return self.counts.where(F.col("n") >= least).toArrow().to_pandas().to_numpy()
+            self.least = r.least
+        return self.counts.where(F.col("n") >= self.least).toArrow().to_pandas().to_numpy()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``part, payload``: slices of the rows, numbered."""
+    """``part, payload``: runs of rows with about ``ASK_BYTES`` of text, numbered."""
     from pyspark import TaskContext
 
-    part = TaskContext.get().partitionId() << 32
+    part = TaskContext.get().partitionId() << 28
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // ASK_BYTES
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(upto)) + 1, np.arange(0, batch.num_rows, ASK_ROWS), [batch.num_rows]])).tolist()
+        for a, b in pairwise(cuts):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch.slice(at, SLICE))
+                out.write_batch(batch.slice(a, b - a))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "payload"])
             part += 1
 
@@ -303,7 +314,7 @@ def _joined_levels(parts: DataFrame, model: Model) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of = Tokens()
         for part, (row,) in _groups(batches, "part"):
-            (_, data, offsets), = slices(_unpacked(row["payload"]).column(1))
+            (_, data, offsets), = slices(_unpacked(row["payload"]).column(1), ASK_ROWS)
             t, firsts = tokens_of(data, offsets)
             for kind, keys in ((1, np.unique(t)), (2, np.unique(pairs(t, firsts)))):
                 cuts = np.searchsorted(bucket_of(keys, segments), np.arange(segments + 1))
@@ -396,10 +407,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         tokens_of = Tokens()
         for part, (rows, *found) in _groups(batches, "part"):
             batch = _unpacked(rows["payload"])
-            (_, data, offsets), = slices(batch.column(1))
+            (_, data, offsets), = slices(batch.column(1), ASK_ROWS)
             t, firsts = tokens_of(data, offsets)
             of = [np.frombuffer(b"".join(x["payload"] for x in found if x["kind"] == kind), np.uint8) for kind in (1, 2)]
-            yield measured(batch, part * SLICE, t, firsts, of[0], of[1][np.unique(pairs(t, firsts), return_inverse=True)[1]])
+            yield measured(batch, part * ASK_ROWS, t, firsts, of[0], of[1][np.unique(pairs(t, firsts), return_inverse=True)[1]])
 
     out_types = f"{out_types}, row long, n_tokens long, n_head long, base double, score double, tail array<long>"
     if model.joined:
