@@ -332,11 +332,32 @@ def tokenizer():
 
 
 def test_encoder(tokenizer):
-    texts = ["", " ", "It's THE end... of,it!", "Σίσυφος ΣΑΣ İstanbul K", "a\tb\x1cc  d e f", "é É été ﬁ Ⅷ 12,5 ½", "<|endoftext|> x <|startoftext|>", "don't we'LL ',' '' \n\n z", LONG[:5000]]
+    texts = ["", " ", "It's THE end... of,it!", "Σίσυφος ΣΑΣ İstanbul K", "a\tb\x1cc  d e f", "é É été ﬁ Ⅷ 12,5 ½", "<|endoftext|> x <|startoftext|>", "don't we'LL ',' '' \n\n z", "A. b, C.. 1, 2. '. \"x\", .y,z. É. Σ. <|END. <|endoftext|>. H\u0331 x\u0301. _. Ⅷ, 二, 1.", "ALL Caps, HERE. H\u0331.", LONG[:5000]]
     for got, t in zip(packing.Encoder(packing.tokenizer_path()).encode(texts), texts, strict=True):
         assert got.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID]
 
 
+def test_encoder_on_random_texts(tokenizer):
+    r = random.Random(6)
+    alphabet = "abcABC" * 6 + "  ..,,'\n\t-_<|>" * 3 + "0123éÉßẞΣςİiKﬁⅧ二あ\u0301\u0331\u00a0\u2003½"
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    for got, t in zip(packing.Encoder(packing.tokenizer_path()).encode(texts), texts, strict=True):
+        assert got.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID], repr(t)
+
+
+def test_foreign_tokenizers_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer(models.WordLevel({"a": 0, "?": 1}, unk_token="?"))
+    plain.save(str(tmp_path / "words.json"))
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, "a</w>": 2, "b</w>": 3}, [], end_of_word_suffix="</w>"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "bpe.json"))
+    for name in ("words.json", "bpe.json"):
+        with pytest.raises(ValueError):
+            packing.Encoder(str(tmp_path / name))
+
+
 def test_packing(spark, tokenizer):
     rows = [*EDGES, *[(60 + k, prose(k, 300)) for k in range(10)]]
     out = packing.pack(docs(spark, rows)).collect()
@@ -479,3 +500,36 @@ def test_lm_is_the_same_on_any_cluster_and_keeps_its_head_short(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_language_against_a_direct_convolution():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(32, 127, n).astype(np.uint8).tobytes() for n in (1, 3, 4, 255, 256, 257, 509, 1500)]
+    net = langid.fit([(t, k) for t, k in zip(texts * 3, "xyz" * 8, strict=True)], steps=5)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = langid.probabilities(net, net.tables(), data, offsets)
+    widths = [w for w, n in langid.FILTERS.items() for _ in range(n)]
+    for t, p in zip(texts, got, strict=True):
+        total, weight, start = np.zeros(3), 0, 0
+        while True:  # windows that cover every place of the widest filter
+            part = t[start : start + langid.LENGTH]
+            padded = np.frombuffer(part.ljust(langid.LENGTH, b"\0"), np.uint8)
+            top = []
+            for f, w in enumerate(widths):
+                kernel = net.conv[: w * langid.DIM, f]
+                top.append(max(net.embed[padded[i : i + w]].ravel() @ kernel + net.bias[f] for i in range(langid.LENGTH - langid.WIDEST + 1)))
+            z = np.maximum(top, 0) @ net.out + net.out_bias
+            e = np.exp(z - z.max())
+            total, weight = total + e / e.sum() * len(part), weight + len(part)
+            if start + langid.LENGTH >= len(t):
+                break
+            start += langid.STEP
+        assert np.allclose(p, total / weight, atol=1e-4)
+
+
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts: seen.append(Counter(lang for _, lang in texts)))
+    rows = [(1, f"same id {k}", "xx") for k in range(50)] + [(k, f"own id {k}", "yy") for k in range(3)] + [(9, "12 34", "zz"), (10, None, "zz"), (11, "no language", None)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20)
+    assert seen == [{"xx": 20, "yy": 3}]

@@ -149,12 +149,13 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Network | None:
-    """Fitted on ``per_lang`` rows of each language at most, picked by a hash of the id."""
+    """Fitted on ``per_lang`` rows of each language at most, picked by a hash of id and text, repeated rows once; rows without a letter or a language teach nothing."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
-    rank = Window.partitionBy("lang").orderBy("h", "id")
-    ids = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang)
-    wanted = [r.id for r in ids.collect()]  # per_lang * languages at most
-    picked = rows.where(F.col(id_col).isin(wanted)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    rank = Window.partitionBy("lang").orderBy("h")  # each task keeps per_lang hashes of a language before the shuffle
+    chosen = rows.select("lang", "h").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang).select("lang", "h").distinct().collect()  # per_lang * languages at most
+    wanted = rows.where(F.col("h").isin([r.h for r in chosen])).groupBy("lang", "h").agg(F.first("text").alias("text"))  # repeated rows once
+    picked = wanted.collect()  # as many rows at most
     return fit(sorted((r.text.encode(), r.lang) for r in picked))
 
 

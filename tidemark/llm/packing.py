@@ -7,6 +7,7 @@ at the end of a range becomes sequences of power-of-two lengths, which need no p
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,8 +23,9 @@ from .common import written
 SEQUENCE, END_ID = 2048, 1
 #: Hash buckets of a document's vector; dimensions and bits of each on the curve.
 BUCKETS, DIMS, BITS = 1024, 4, 12
-#: Rows with ids in a range, about; ranges are counted from it.
-RANGE_ROWS, LEAST_RANGES = 8_000, 2
+#: Ids in a range, about; ranges are counted from it. Longer documents go to the ranges in parts, so that ranges of as many rows hold about as much.
+RANGE_IDS, LEAST_RANGES = 5_000_000, 2
+PART_IDS = 4096
 #: Encoded chunks that a worker keeps in memory, twice at most; what wasn't used since the last filling goes.
 CACHE = 250_000
 
@@ -34,6 +36,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A full stop or comma between a letter or digit and a blank.
+_STOP = re.compile(r"([.,])(?= )(?<=[^\W_][.,])")
+
+
+def prepared(text: str) -> str:
+    """``text`` with the same ids and fewer different chunks: where normalisation only lowers it, it is lowered and stops are parted from words."""
+    text = text.replace("\n", " ")
+    if "<|" in text:  # may be a control token, which is told before lowering
+        return text
+    low = text.lower()
+    if text.isascii() or ("\u03a3" not in text and "\u0130" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)):
+        return _STOP.sub(r" \1", low)
+    return text
+
+
+#: Texts whose ids show whether a tokenizer works as ``Encoder`` takes it to.
+_PROBES = ("Words, THEN  more. It's 12.5 a,b", "Été\n\nÀ é. x... '.", "one,two .")
+
+
 class Encoder:
     """Token ids of texts, chunk by chunk: the tokenizer drops blanks and line feeds and never joins what they part.
 
@@ -52,17 +73,21 @@ class Encoder:
         self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = json.loads(self.whole.to_str())["model"]["end_of_word_suffix"]
+        suffix = json.loads(self.whole.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError(f"{path}: not a tokenizer of words with an end-of-word suffix")
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        if any(x.tolist() != [*self.whole.encode(t, add_special_tokens=False).ids, END_ID] for t, x in zip(_PROBES, self.encode(list(_PROBES)), strict=True)):
+            raise ValueError(f"{path}: its words can't be encoded one by one")
 
     def _encode_words(self, found: list[str]) -> None:
         for i in range(0, len(found), 8192):
             part = found[i : i + 8192]
-            ids = np.array(self.letters.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             raw = ids.tobytes()
             self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: B905
@@ -101,7 +126,7 @@ class Encoder:
             known[c] = known[core] + known[end]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [prepared(t).split(" ") for t in texts]
         if len(self.known) > CACHE:
             self.known, self.old = {"": b""}, self.known
         known = self.known
@@ -129,13 +154,11 @@ def projection(seed: int = 11) -> np.ndarray:
 
 def places(ids: list[np.ndarray], project: np.ndarray) -> np.ndarray:
     """Whole coordinates of the documents, from the direction of their hashed counts."""
-    out = np.zeros((len(ids), DIMS), np.int64)
-    for i, x in enumerate(ids):
-        v = np.bincount((x * np.uint32(2654435761)) >> np.uint32(22), minlength=BUCKETS).astype(float)
-        v = np.sqrt(v)
-        p = (v / np.linalg.norm(v)) @ project
-        out[i] = np.clip((p + 2) / 4 * (1 << BITS), 0, (1 << BITS) - 1)
-    return out
+    spread = (np.concatenate(ids) * np.uint32(2654435761)) >> np.uint32(22)
+    of = np.repeat(np.arange(len(ids)) * BUCKETS, [len(x) for x in ids])
+    counts = np.bincount(of + spread, minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
+    p = (np.sqrt(counts) / np.sqrt(counts.sum(1, keepdims=True))) @ project  # the square roots' norm is the root of the sum
+    return np.clip((p + 2) / 4 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
 def hilbert(xs: np.ndarray) -> np.ndarray:
@@ -167,7 +190,10 @@ def hilbert(xs: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, curve, ids``: the place on the curve, and the ids as unsigned little-endian 32-bit numbers."""
+    """``doc_id, curve, start, total, ids``: the place on the curve, and the ids from ``start`` on as unsigned little-endian 32-bit numbers.
+
+    A row has ``PART_IDS`` ids at most; ``total`` is the document's.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +202,12 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert(places(ids, project)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "curve", "ids"])
+                cuts = [(i, s) for i, x in enumerate(ids) for s in range(0, len(x), PART_IDS)]
+                of, starts = np.array([i for i, _ in cuts]), [s for _, s in cuts]
+                columns = [part.column(0).take(pa.array(of)), pa.array(hilbert(places(ids, project))[of], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(ids[i]) for i in of], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[i][s : s + PART_IDS].tobytes() for i, s in cuts], pa.binary())], ["doc_id", "curve", "start", "total", "ids"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, curve long, ids binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, curve long, start long, total long, ids binary")
 
 
 def tail(left: int) -> list[int]:
@@ -191,13 +220,14 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, id_
 
     Sequences are whole (``sequence`` tokens) or of a power of two, so there is no padding; ``ids`` are the piece's ids.
     A null or empty text is its end id alone. Repeated rows are documents of their own, null ids are kept, ties on the
-    curve go by id and then text, other columns are ignored, an empty table gives no rows. Texts are encoded whole.
+    curve go by id and then by ids, other columns are ignored, an empty table gives no rows. Texts are encoded whole.
     """
     path = path or tokenizer_path()
     kind = docs.schema[id_col].dataType.simpleString()
     ready = written(tokenized(docs, path, id_col, text_col), "tokenized")
-    ranges = max(LEAST_RANGES, -(-ready.count() // RANGE_ROWS))
-    along = ready.repartitionByRange(ranges, "curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id", "ids")
+    total = ready.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first().n // 4
+    ranges = max(LEAST_RANGES, -(-total // RANGE_IDS))
+    along = ready.repartitionByRange(ranges, "curve", "doc_id", "start", F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id", "start", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,12 +246,12 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, id_
         for batch in batches:
             id_type = batch.schema.field(0).type
             done: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for doc, first, total, ids in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), batch.column(4), strict=True):
                 data = memoryview(ids.as_buffer())
-                total, start = len(data) // 4, 0
-                while start < total:
-                    take = min(total - start, sequence - filled)
-                    held.append((doc, start, take, total, filled, bytes(data[4 * start : 4 * (start + take)])))
+                size, start = len(data) // 4, 0
+                while start < size:
+                    take = min(size - start, sequence - filled)
+                    held.append((doc, first + start, take, total, filled, bytes(data[4 * start : 4 * (start + take)])))
                     start, filled = start + take, filled + take
                     if filled == sequence:
                         done += [(d, s, n, zlib.crc32(x), t, number, o, x) for d, s, n, t, o, x in held]
