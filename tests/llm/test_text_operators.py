@@ -58,6 +58,19 @@ def test_cascade_order_changes_nothing(spark):
     assert len(verdicts) == 1
 
 
+def test_rejected_texts_are_not_measured_again(spark):
+    rows = [*EDGES, (9, prose(9, 80)), (10, "# " * 70), (11, prose(12, 90)), (None, prose(13, 70))]
+    df = docs(spark, rows).withColumn("n_words", F.lit("clash"))
+    kept = Counter((r.doc_id, r.text) for r in rules.quality(df).where("kept").collect())
+    assert Counter((r.doc_id, r.text) for r in rules.passing(df).collect()) == kept and rules.passing(df).columns == df.columns
+    trap = rules.Rule("trap", "IF(n_words < 50, CAST(raise_error('measured') AS BOOLEAN), n_repeat_words < 0)")
+    assert rules.needs(trap) == ["n_words", "n_repeat_words"]
+    assert Counter((r.doc_id, r.text) for r in rules.passing(df, order=[*rules.RULES, trap]).collect()) == kept
+    with pytest.raises(Exception, match="measured"):
+        rules.passing(df, order=[trap]).collect()
+    assert rules.passing(df.where("false")).count() == 0
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
