@@ -19,7 +19,7 @@ def _kept_text(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return _kept_text(rules.quality(docs, extra=("lang", "source", "n_chars")).where("kept"))
+    return rules.passing(_kept_text(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
