@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from .common import dropped, let, written
 #: Similarity 4 / 5.
 NUM, DEN = 4, 5
 #: Rarity is the count of a token's bucket, on a log scale. The table of the buckets' ranks has this fixed size.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 #: A token is a long: 7 bits of rank, then these bits of its hash.
 HASH_BITS = 56
 #: Lines of more tokens get bitmaps of 128 and of 256 bits.
@@ -50,10 +51,10 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
     each = docs.select(F.explode(F.split(F.replace(_plain(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     rank = F.least(F.floor(3 * F.log2(F.count("*") + 1)), F.lit(127)).cast("int")
     table = each.groupBy("b").agg(rank.alias("rank")).toArrow()  # BUCKETS rows at most
-    out = ["0"] * BUCKETS
-    for b, r in zip(table.column("b").to_pylist(), table.column("rank").to_pylist(), strict=True):
-        out[b] = str(r)
-    return F.split(F.lit(",".join(out)), ",").cast("array<tinyint>")  # folded to a constant
+    out = np.zeros(BUCKETS, np.int64)
+    out[table.column("b").to_numpy()] = table.column("rank").to_numpy()
+    listed = np.array([f"{r}," for r in range(128)], "S4")[out].tobytes().replace(b"\0", b"")
+    return F.split(F.lit(listed[:-1].decode()), ",").cast("array<tinyint>")  # folded to a constant
 
 
 def _tokens(line: Column, ranks: Column | None = None) -> Column:
