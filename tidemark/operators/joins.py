@@ -124,11 +124,11 @@ def changed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
-def frames_in_slots(frames: DataFrame, slots: DataFrame, key: str, time: str, width: float) -> DataFrame:
-    """Pairs of a slot (``ls, le``) and the frames of its key from its start to before its end, by time buckets."""
+def frames_in_slots(frames: DataFrame, slots: DataFrame, key: str, time: str, width: float, closed: bool = False) -> DataFrame:
+    """Pairs of a slot (``ls, le``) and the frames of its key from its start to before its end, or to its end if ``closed``, by time buckets."""
     f = frames.withColumn("_b", F.floor(F.col(time) / width))
     s = slots.withColumn("_b", F.explode(F.sequence(F.floor(F.col("ls") / width), F.floor(F.col("le") / width))))
-    return s.join(f, [key, "_b"]).where((F.col(time) >= F.col("ls")) & (F.col(time) < F.col("le"))).drop("_b")
+    return s.join(f, [key, "_b"]).where((F.col(time) >= F.col("ls")) & (F.col(time) <= F.col("le") if closed else F.col(time) < F.col("le"))).drop("_b")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:

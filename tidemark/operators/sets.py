@@ -37,6 +37,15 @@ def require(report: DataFrame, share: str, least: float) -> DataFrame:
     return report
 
 
+def status_counts(df: DataFrame, by: Sequence[str], required: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows by ``by``; raises if there are none or a required value of a column has none."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    seen = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), *[F.coalesce(F.sum(F.when(F.col(c) == v, F.col("n"))), F.lit(0)).alias(f"{c}={v}") for c, vs in required.items() for v in vs]).first().asDict()
+    if empty := [k for k, n in seen.items() if not n]:
+        raise CoverageError(f"no rows: {empty}")
+    return counts
+
+
 def shard(df: DataFrame, index: str, k: int, n: int) -> DataFrame:
     return df.where(F.pmod(F.col(index), F.lit(n)) == k)
 

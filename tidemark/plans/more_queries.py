@@ -29,7 +29,7 @@ def j10_hypothesis_phones(t: Tables) -> DataFrame:
 
 
 @query(
-    "WITH c AS (SELECT item_id, i, text[i] AS ch, -((i - 1) // 3 % 7) / 10.0::DOUBLE AS lp FROM benchmark, range(1, 600) r(i) WHERE i <= length(text)), g AS (SELECT *, regexp_matches(ch, '[\\p{L}'']') AS l, sum(CASE WHEN regexp_matches(ch, '[\\p{L}'']') THEN 0 ELSE 1 END) OVER (PARTITION BY item_id ORDER BY i) AS word_no FROM c) SELECT item_id, word_no, string_agg(ch, '' ORDER BY i) AS word, min((i - 1) // 3) AS first, max((i - 1) // 3) AS last, round(avg(lp), 6) AS logprob, round(least(exp(avg(lp)), 1), 6) AS confidence FROM g WHERE l GROUP BY 1, 2"
+    "WITH c AS (SELECT item_id, i, text[i] AS ch, -((i - 1) // 3 % 7) / 10.0::DOUBLE AS lp FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark)), g AS (SELECT *, regexp_matches(ch, '[\\p{L}'']') AS l, sum(CASE WHEN regexp_matches(ch, '[\\p{L}'']') THEN 0 ELSE 1 END) OVER (PARTITION BY item_id ORDER BY i) AS word_no FROM c) SELECT item_id, word_no, string_agg(ch, '' ORDER BY i) AS word, min((i - 1) // 3) AS first, max((i - 1) // 3) AS last, round(avg(lp), 6) AS logprob, round(least(exp(avg(lp)), 1), 6) AS confidence FROM g WHERE l GROUP BY 1, 2"
 )
 def j11_token_words(t: Tables) -> DataFrame:
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 3).cast("int")), lambda i: F.substring(F.col("text"), i * 3 + 1, F.lit(3)))
@@ -79,12 +79,3 @@ def f11_f12_o16_report(t: Tables) -> DataFrame:
     b = t.lineitem.agg(F.lit("phone").alias("level"), F.count("*").alias("n"), F.round(M.safe_corr("l_quantity", "l_extendedprice"), 6).alias("pcc"))
     c = t.lineitem.agg(F.lit("confidence").alias("level"), F.count("*").alias("n"), F.round(F.avg(F.col("l_discount") * 10), 6).alias("ece"))
     return union_all([a, b, c])
-
-
-@query(
-    "WITH d AS (SELECT l_orderkey, count(*) AS n, string_agg(l_returnflag, '' ORDER BY l_linenumber, l_returnflag) AS t, coalesce(any_value(o_orderpriority), '') AS p FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT l_orderkey, coalesce(nullif(p, ''), t) AS text, CASE WHEN n > 3 THEN 'equal' WHEN n > 1 THEN 'interval' ELSE 'skip' END AS branch FROM d"
-)
-def o4_o8_o9_o12_branches(t: Tables) -> DataFrame:
-    d = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag")))["l_returnflag"], "").alias("t"))
-    j = d.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey", "left")
-    return j.select("l_orderkey", X.first_present(F.col("o_orderpriority"), F.col("t")).alias("text"), F.when(F.col("n") > 3, "equal").when(F.col("n") > 1, "interval").otherwise("skip").alias("branch"))

@@ -29,10 +29,18 @@ def csv_matrix(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return parsed.select("idx", *[F.col("r")[n].alias(n) for n in names])
 
 
+def header_records(spark: SparkSession, path: str, columns: str, key: str) -> DataFrame:
+    """``key, records``: the rows of comma-separated files with a header, by key, in the order of the files."""
+    rows = spark.read.csv(path, schema=columns, header=True)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    each = rows.select(F.col(key), F.struct(place.alias("idx"), F.struct(*rows.columns).alias("r")).alias("x"))
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("records"))
+
+
 def vectors(spark: SparkSession, path: str) -> DataFrame:
     """``key  [ v v v ]`` lines: the key, the first value as the phone's id, and the vector. The text form of the archives."""
     lines = numbered_lines(spark, path).select("idx", F.split(F.trim(F.regexp_replace("value", r"[\[\]]", " ")), r"\s+").alias("p")).where(F.size("p") > 1)
-    values = F.transform(F.slice("p", 2, 100_000), lambda x: x.try_cast("float"))
+    values = F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x.try_cast("float"))
     return lines.select("idx", F.get("p", F.lit(0)).alias("key"), F.get(values, F.lit(0)).cast("int").alias("phone_id"), values.alias("feat"))
 
 

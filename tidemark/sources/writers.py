@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +30,18 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.partitionBy(split).parquet(path, mode="errorifexists")
 
 
+def free_path(spark: SparkSession, path: str) -> str:
+    """``path``, or the first of ``stem.1.ext``, ``stem.2.ext``, ... where there is nothing yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder, _, name = path.rpartition("/")
+    stem, dot, ext = name.rpartition(".")
+    stem, ext = (stem, dot + ext) if stem else (name, "")
+    tries = chain([name], (f"{stem}.{k}{ext}" for k in count(1)))
+    free = next(x for x in tries if not store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}")))
+    return f"{folder}/{free}"
+
+
 def replace(df: DataFrame, path: str, required: Sequence[str]) -> DataFrame:
     """Writes beside ``path``, checks what was written, and then takes its place by renames; the old folder stays until then."""
     spark = df.sparkSession
