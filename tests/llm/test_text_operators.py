@@ -546,3 +546,53 @@ def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
     rows = [(1, f"same id {k}", "xx") for k in range(50)] + [(k, f"own id {k}", "yy") for k in range(3)] + [(9, "12 34", "zz"), (10, None, "zz"), (11, "no language", None)]
     langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20)
     assert seen == [{"xx": 20, "yy": 3}]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+
+def test_queries_without_sql(spark, documents):
+    from tidemark.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in documents}
+    got = {n: QUERIES[n](spark, SF).collect() for n in QUERIES if n.split("_")[0] in ("op1", "op5", "op7", "op8", "op10")}
+    assert all(sorted(r.doc_id for r in rows) == sorted(texts) for rows in got.values())
+    held = [(r.lang_pred, d.lang) for r in got["op1_language_id"] for d in documents if d.doc_id == r.doc_id and r.held_out and d.lang and r.lang_pred != "und"]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held) > 0
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got["op1_language_id"])
+    assert {r.doc_id: r.fingerprint for r in got["op8_simhash"]} == {i: f"{simhash.fingerprint(t):016x}" for i, t in texts.items()}
+    names = ("email", "ip", "card", "phone")
+    for r in got["op10_pii"]:
+        base = _plain_base(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for _, k, _ in base) for x in range(4))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert {f"{names[k]}:{a}:{b}" for a, k, b in base} <= set(r.spans.split(","))
+    sets_of, first = {}, {}
+    for i in sorted(texts):
+        for k, line in enumerate(texts[i].split("\n")):
+            if s := frozenset(w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w):
+                sets_of.setdefault(i, []).append((k, s))
+                first.setdefault(s, (i, k))
+    links = {s: [o for o in first if o != s and 5 * min(len(s), len(o)) >= 4 * max(len(s), len(o)) and 5 * len(s & o) >= 4 * len(s | o)] for s in first}
+    for r in got["op5_line_dedup"]:
+        own = sets_of.get(r.doc_id, [])
+        gone = {k for k, s in own if first[s] != (r.doc_id, k) or any(first[o] < first[s] for o in links[s])}
+        left = "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in gone) if gone else texts[r.doc_id]
+        assert (r.n_same + r.n_similar, r.n_links) == (len(gone), sum(len(links[s]) for _, s in own))
+        assert r.text_sha256 == hashlib.sha256(left.encode()).hexdigest()
+
+
+def test_pii_on_sentences_held_out():
+    r, w = random.Random(99), pii.trained()
+    found = gold_n = right = 0
+    for _ in range(400):
+        text, gold = pii._sentence(r)
+        _, got = pii.spans(text, w)
+        want = {(a, y, b) for a, b, y in gold}
+        found, gold_n, right = found + len(got), gold_n + len(want), right + len(want & set(got))
+    assert right / gold_n > 0.9 and right / found > 0.85, (right / gold_n, right / found)

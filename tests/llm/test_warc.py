@@ -54,3 +54,17 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     index = warc.write(df, f"file://{tmp_path}/w")
     assert index.count() == 0 and warc.read(spark, index).count() == 0
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    ids = ["p1", "7", " a\r\nWARC-Type: revisit", "é%20", "", None]
+    df = spark.createDataFrame([(i, "http://x/a b", "one") for i in ids] + [("p1", "http://x/a b", "one")], "page_id string, url string, html string")
+    index = warc.write(df, f"file://{tmp_path}/w")
+    out = warc.read(spark, index).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in out) == sorted((str(i), "revisit" if k else "response", "" if k else None) for k, i in enumerate(sorted([*ids, "p1"], key=lambda x: (x is None, x or ""))))
+    assert {r.url for r in out} == {"http://x/a%20b"} and {r.url for r in index.collect()} == {"http://x/a b"}
+    names = set()
+    for r in index.collect():
+        data = open(r.file.removeprefix("file://"), "rb").read()
+        names.add(gzip.decompress(data[r.offset : r.offset + r.length]).split(b"\r\n")[2])
+    assert len(names) == len(ids) + 1

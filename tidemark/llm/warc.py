@@ -10,12 +10,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import new_path, written
 
@@ -23,6 +26,7 @@ from .common import new_path, written
 GAP, RANGE = 64 << 10, 8 << 20
 #: Bytes of archive behind which a task begins another file.
 ARCHIVE_BYTES = 1 << 30
+_SPACE = re.compile(r"[\s\x00-\x1f\x7f]")
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -36,23 +40,28 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzipped record. A revisit has the HTTP head and no payload; its head tells the payload's length."""
+def _header(value: object) -> str:
+    """An id as a header's value: numbers as they are, strings with all but plain characters escaped."""
+    return str(value) if isinstance(value, int) else quote(str(value))
+
+
+def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, revisit: bool, place: str = "") -> bytes:
+    """One gzipped record. A revisit has the HTTP head and no payload; its head tells the payload's length. ``place`` tells equal records apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {digest} {revisit}")
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{place} {page_id} {url} {digest} {revisit}")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {_DATE}",
-        *([f"WARC-Target-URI: {''.join(url.split())}"] if url else []),
+        *([f"WARC-Target-URI: {_SPACE.sub(lambda m: quote(m[0]), url)}"] if url else []),
         f"WARC-Payload-Digest: sha1:{digest}",
-        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
+        *([f"X-Page-ID: {_header(page_id)}"] if page_id is not None else []),
     ]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        head += [f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []
+        head += [f"X-Refers-To-Page-ID: {_header(refers_to)}"] if refers_to is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
 
@@ -103,7 +112,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     out, at = store.open_output_stream(path, compression=None), 0
                 page, address, digest, again = page_id.as_py(), url.as_py(), base32(sha1.as_py()), revisit.as_py()
-                raw = record(page, address, html.as_py().encode(), digest, first.as_py(), again)
+                raw = record(page, address, html.as_py().encode(), digest, first.as_py(), again, f"{file} {at}")
                 out.write(raw)
                 index.append((file, at, len(raw), address, digest, page, "revisit" if again else "response"))
                 at += len(raw)
@@ -123,8 +132,13 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
     """The records that ``index`` lists, one row each, taken from the archives.
 
     ``page_id, record_type, refers_to, url, payload_bytes, payload_digest, payload``; the digest of a response is computed
-    from what was read and has to be the one in its header. An empty index gives no rows.
+    from what was read and has to be the one in its header. Ids are longs, or strings if the index has no whole numbers;
+    blanks in URLs come back escaped. An empty index gives no rows.
     """
+    kind = index.schema["page_id"].dataType
+    whole = isinstance(kind, IntegralType)
+    given = lambda x: None if x is None else int(x) if whole else unquote(x)
+    id_type, named = (pa.int64(), "long") if whole else (pa.string(), "string")
     parts = max(1, index.rdd.getNumPartitions())
     wanted = index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
 
@@ -157,12 +171,12 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                 if not again and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"{file} at {offset}: the payload is not the one that was written")
                 page, to = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page-ID")
-                out.append((None if page is None else int(page), headers["WARC-Type"], None if to is None else int(to), headers.get("WARC-Target-URI"), size, digest, None if again else payload))
+                out.append((given(page), headers["WARC-Type"], given(to), headers.get("WARC-Target-URI"), size, digest, None if again else payload))
             cols = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+            types = [id_type, pa.string(), id_type, pa.string(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "record_type", "refers_to", "url", "payload_bytes", "payload_digest", "payload"])
 
-    return wanted.mapInArrow(run, "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary")
+    return wanted.mapInArrow(run, f"page_id {named}, record_type string, refers_to {named}, url string, payload_bytes long, payload_digest string, payload binary")
 
 
 def archive_folder(spark: SparkSession) -> str:
