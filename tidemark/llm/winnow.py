@@ -15,8 +15,8 @@ from .common import ascii_lower, let, shifted, words, written
 #: Between words: all of ASCII but digits and letters (upper case letters are lowered before).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 4
-#: Fingerprints and windows of the items are broadcast up to so many rows; beyond, the joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Fingerprints and windows of the items are broadcast up to so many rows and bytes of text; beyond, the joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -39,8 +39,10 @@ def minima(word_array: Column, window: int, gram: int = GRAM) -> Column:
     return _spanned(hashes, 1, window - k + 1, lambda a, b: F.least(a, b))
 
 
-def _kept(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _kept(df: DataFrame) -> DataFrame:
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found.rows <= BROADCAST_ROWS and found.bytes <= BROADCAST_BYTES else df
 
 
 def _fingerprints(word_col: str, lengths: list[int]) -> Column:
@@ -62,7 +64,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows = written(item_rows.select("item_id", F.explode(F.array_distinct(spans)).alias("x")).select("item_id", "x.span", "x.gram").distinct(), "windows")
     lengths = sorted(r.span for r in windows.select("span").distinct().collect())  # at most `window` values
     marks = written(windows.select(F.split("gram", " ").alias("gw"), "span").select(F.explode(_marks_of("gw", lengths)).alias("mark")).distinct(), "marks")
-    marks = _kept(marks, marks.count())
+    marks = _kept(marks)
 
     # Which texts share a fingerprint. Words are lowered in full, each by itself as those of the items are: a sigma's form depends on what follows.
     rough = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("key"), F.transform(item_words(F.col(text_col)), lambda w: F.lower(w)).alias("dw"))
@@ -83,12 +85,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if starts is None:
         starts = exact.select("key", F.lit(0).alias("at"), F.lit(0).alias("span"), F.lit("").alias("gram")).where("false")
     grams = windows.select("span", "gram").distinct()
-    hits = written(starts.join(_kept(grams, grams.count()), ["span", "gram"], "left_semi"), "hits")
+    hits = written(starts.join(_kept(grams), ["span", "gram"], "left_semi"), "hits")
 
     by_start = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     ends = hits.groupBy("key", "at").agg(F.max(F.col("at") + F.col("span")).alias("end"))
     covered = ends.withColumn("before", F.coalesce(F.max("end").over(by_start), F.lit(0))).groupBy("key").agg(F.sum(F.greatest(F.col("end") - F.greatest("at", "before"), F.lit(0))).alias("n_hit"))
-    per_key = hits.select("key", "span", "gram").distinct().join(_kept(windows, windows.count()), ["span", "gram"]).select("key", "item_id").distinct()
+    per_key = hits.select("key", "span", "gram").distinct().join(_kept(windows), ["span", "gram"]).select("key", "item_id").distinct()
     ids = per_key.groupBy("key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     found = covered.join(ids, "key")
     out = flagged.join(found, "key", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))).withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
