@@ -94,9 +94,15 @@ def auprc(df: DataFrame, group: str, score: str, label: str, tie: Sequence[str])
     return area(points, group, "recall", "precision", "k").withColumnRenamed("area", "auprc")
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at index ``floor(q * (n - 1))`` of the sorted values."""
-    return F.get(F.sort_array(F.collect_list(values)), F.floor(q * (F.count(values) - 1)).cast("int"))
+def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group: ``n, lo, hi, mean``, and for each named share q the value at index ``floor(q * (n - 1))`` of the sorted values.
+
+    Values are counted first, so that windows run over distinct values and no group is collected.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
+    per = per.withColumn("_upto", F.sum("_k").over(Window.partitionBy(group).orderBy(value))).withColumn("_n", F.sum("_k").over(Window.partitionBy(group)))
+    at = [F.min(F.when(F.col("_upto") > F.floor(q * (F.col("_n") - 1)), F.col(value))).alias(name) for name, q in shares.items()]
+    return per.groupBy(group).agg(F.max("_n").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), (F.sum(F.col("_k") * F.col(value)) / F.sum("_k")).alias("mean"), *at)
 
 
 def top_confident(df: DataFrame, group: Sequence[str], conf: str, tie: Sequence[str], shares: Sequence[float]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -137,13 +137,7 @@ def f24_wer(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag, count(*) AS n, min(l_quantity) AS lo, list(l_quantity ORDER BY l_quantity)[1 + CAST(floor(0.25 * (count(*) - 1)) AS INTEGER)] AS p25, round(avg(l_quantity), 6) AS mean, list(l_quantity ORDER BY l_quantity)[1 + CAST(floor(0.75 * (count(*) - 1)) AS INTEGER)] AS p75, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
 def f26_nearest_rank(t: Tables) -> DataFrame:
-    w = Window.partitionBy("l_returnflag").orderBy("l_quantity")
-    per = t.lineitem.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("k"))  # distinct values, so that no group is collected
-    per = per.withColumn("upto", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy("l_returnflag")))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("l_quantity")))
-    return per.groupBy("l_returnflag").agg(
-        F.max("n").alias("n"), F.min("l_quantity").alias("lo"), at(0.25).alias("p25"), F.round(F.sum(F.col("k") * F.col("l_quantity")) / F.sum("k"), 6).alias("mean"), at(0.75).alias("p75"), F.max("l_quantity").alias("hi")
-    )
+    return M.nearest_ranks(t.lineitem, "l_returnflag", "l_quantity", {"p25": 0.25, "p75": 0.75}).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.2), 6) AS p20, round(median(value), 6) AS p50 FROM events GROUP BY 1")

@@ -32,8 +32,7 @@ def j1_j3_h1_h2_h3_posterior(t: Tables) -> DataFrame:
 )
 def j4_j5_j6_divergence(t: Tables) -> DataFrame:
     s = _soft(t)
-    mean = s.select("label", F.posexplode("p").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("q"))
-    mean = mean.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "q")))["q"].alias("q"))
+    mean = s.groupBy("label").agg(V.mean_by_place(F.col("p"), 64).alias("q"))
     return s.join(mean, "label").select("vec_id", F.round(V.js_divergence(F.col("p"), F.col("q")), 6).alias("js"))
 
 
