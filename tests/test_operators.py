@@ -188,3 +188,15 @@ def test_padding(spark):
     assert one(spark, Q.pad_to_reference(arr("a", "b", "c"), arr("a", "c"), arr(1.0, 2.0))) == [1.0, 1.0, 2.0]
     assert one(spark, Q.pad_to_reference(arr("z", "a"), arr("a", "c"), arr(1.0, 2.0))) == [2.0, 1.0]
     assert one(spark, Q.pad_to_reference(arr("a", "b", "c"), arr("a"), arr(1.0))) == [1.0, 1.0]
+
+
+def test_draws_with_replacement(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("d",)], "unit string")
+    got = M.draws(df, "unit", 300, 5).collect()
+    by_rep = {}
+    for r in got:
+        by_rep.setdefault(r.rep, {})[r.unit] = r.times
+    assert len(by_rep) == 300 and all(sum(x.values()) == 4 for x in by_rep.values())
+    assert max(max(x.values()) for x in by_rep.values()) >= 3 and min(len(x) for x in by_rep.values()) < 4
+    assert all(250 < sum(x.get(u, 0) for x in by_rep.values()) < 350 for u in "abcd")
+    assert M.draws(df.where("false"), "unit", 3, 5).count() == 0

@@ -118,6 +118,19 @@ def last_word_safe(df: DataFrame, keys: Sequence[str], word: str, pred: str, tar
     return df.where(F.col(target) >= 0).groupBy(*keys, word).agg(F.avg(pred).alias("pred"), F.round(F.avg(target), 2).alias("target"))
 
 
+def draws(df: DataFrame, unit: str, reps: int, seed: int) -> DataFrame:
+    """``rep, unit, times``: for each replicate as many units as ``df`` has, drawn with replacement by a seeded hash.
+
+    Units are few (speakers): they are numbered in their order, and a replicate has a row for each.
+    """
+    units = df.select(unit).distinct().withColumn("_i", F.row_number().over(Window.orderBy(unit)) - 1)
+    n = units.count()
+    picks = df.sparkSession.range(reps * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), (F.col("id") % max(n, 1)).alias("k"))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "k").cast("binary")), 1, 7)
+    picks = picks.select("rep", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(max(n, 1))).cast("int").alias("_i"))
+    return picks.groupBy("rep", "_i").agg(F.count("*").alias("times")).join(units, "_i").select("rep", unit, "times")
+
+
 def bootstrap(df: DataFrame, unit: str, draws: DataFrame, pred: str, target: str) -> DataFrame:
     """Per replicate: the correlation over the units drawn. ``draws`` has ``rep, unit, times`` and is small: units times replicates.
 

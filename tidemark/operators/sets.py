@@ -53,13 +53,16 @@ def shard(df: DataFrame, index: str, k: int, n: int) -> DataFrame:
 def hold_out(df: DataFrame, unit: str, quota: float, seed: int) -> DataFrame:
     """``unit, held_out``: whole units, in a seeded order, until the share ``quota`` of rows is reached.
 
-    The window runs over units, counted before; units are few (speakers).
+    The order is that of a hash, so its first digits cut it into 4096 even stretches: rows before a stretch are summed over
+    their totals, rows before a unit inside its stretch.
     """
     counts = df.groupBy(unit).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(unit).cast("string"))), unit)
-    run = counts.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    run = run.withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return run.select(unit, (F.col("before") < F.ceil(F.col("total") * quota)).alias("held_out"))
+    counts = counts.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(unit).cast("string")).cast("binary"))).withColumn("_b", F.substring("_h", 1, 3))
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.groupBy("_b").agg(F.sum("n").alias("_n"))  # 4096 rows at most
+    parts = parts.select("_b", ahead(Window.orderBy("_b"), "_n").alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    run = counts.withColumn("_in", ahead(Window.partitionBy("_b").orderBy("_h", unit), "n")).join(F.broadcast(parts), "_b")
+    return run.select(unit, (F.col("_before") + F.col("_in") < F.ceil(F.col("_total") * quota)).alias("held_out"))
 
 
 def key_sets(df: DataFrame, column: str) -> DataFrame:

@@ -174,6 +174,16 @@ def f29_f30_bootstrap(t: Tables) -> DataFrame:
     return out.select(F.col("rep").cast("long").alias("rep"), F.round("pcc", 5).alias("pcc"))
 
 
+@query(
+    "WITH x AS (SELECT c_nationkey AS unit, c_acctbal / 1000 AS p, o_totalprice / 100000 AS q FROM customer JOIN orders ON c_custkey = o_custkey), u AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT unit FROM x)), d AS (SELECT rep, u.unit, count(*) AS times FROM (SELECT rep, a.i AS k, CAST('0x' || substr(md5('7:' || rep || ':' || a.i), 1, 7) AS INTEGER) % a.m AS pick FROM range(0, 200) r(rep), u a) JOIN u ON u.i = pick GROUP BY 1, 2), s AS (SELECT rep, sum(times) AS n, sum(p * times) AS x, sum(q * times) AS y, sum(p * p * times) AS xx, sum(q * q * times) AS yy, sum(p * q * times) AS xy FROM x JOIN d USING (unit) GROUP BY 1), v AS (SELECT list_sort(list((xy / n - x / n * y / n) / sqrt((xx / n - (x / n) * (x / n)) * (yy / n - (y / n) * (y / n))))) AS l FROM s) SELECT len(l) AS n, round(l[1 + CAST(floor(0.025 * (len(l) - 1)) AS INTEGER)], 5) AS low, round(l[1 + CAST(floor(0.975 * (len(l) - 1)) AS INTEGER)], 5) AS high FROM v"
+)
+def f29_interval(t: Tables) -> DataFrame:
+    rows = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_nationkey").alias("unit"), (F.col("c_acctbal") / 1000).alias("p"), (F.col("o_totalprice") / 100000).alias("q"))
+    out = M.bootstrap(rows, "unit", M.draws(rows, "unit", 200, 7), "p", "q").withColumn("all", F.lit(1))
+    ranks = M.nearest_ranks(out, "all", "pcc", {"low": 0.025, "high": 0.975})
+    return ranks.select("n", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+
+
 @query(
     f"WITH r AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value % 5 DESC, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, share, count(*) AS n, round(avg(abs(value - 20)), 4) AS mae, round({_corr('value', 'event_id')}, 6) AS pcc FROM r, (SELECT unnest([1.0, 0.9, 0.8, 0.7])::DOUBLE AS share) WHERE k <= ceil(round(n * share, 9)) GROUP BY 1, 2"
 )
