@@ -596,3 +596,13 @@ def test_pii_on_sentences_held_out():
         want = {(a, y, b) for a, b, y in gold}
         found, gold_n, right = found + len(got), gold_n + len(want), right + len(want & set(got))
     assert right / gold_n > 0.9 and right / found > 0.85, (right / gold_n, right / found)
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    texts = ["a" * 5, None, "", "b" * 30, "c", "d" * 4, "e" * 5] + ["f"] * 20
+    got = list(ngramlm.slices(pa.array(texts), 8, 10))
+    assert [t.encode() if t else b"" for t in texts] == [bytes(data[a:b]) for _, data, o in got for a, b in zip(o[:-1], o[1:], strict=True)]
+    assert [at for at, _, _ in got] == [0, 3, 4, 7, 15, 23] and all(len(o) - 1 <= 8 and (len(d) <= 10 or len(o) == 2) for _, d, o in got)
+    assert list(ngramlm.slices(pa.array([], pa.string()))) == []

@@ -31,8 +31,8 @@ MAX_LEVEL = 64
 HEAD_WORDS = 1 << 19
 #: Share of the pair model in the interpolation after a frequent word; half of it after a word of count PAIR_HALF.
 PAIR_WEIGHT, PAIR_HALF = 0.5, 50
-#: Texts whose tokens are looked up at once; where the filter is joined, bytes of text that ask together, and more than the rows these can have.
-SLICE = 256
+#: Texts whose tokens are looked up at once, and the bytes of these unless one is longer; where the filter is joined, bytes of text that ask together, and more than the rows these can have.
+SLICE, SLICE_BYTES = 256, 1 << 20
 ASK_BYTES, ASK_ROWS = 4 << 20, 1 << 14
 #: Tokens counted at once by a task.
 FLUSH = 2_000_000
@@ -96,15 +96,20 @@ def pairs(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return mix(before * _U(3) + mix(tokens))
 
 
-def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Position, bytes and offsets of runs of texts; null is empty."""
+def slices(texts: pa.Array, size: int = SLICE, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Position, bytes and offsets of runs of ``size`` texts or ``most`` bytes, at least one text each; null is empty."""
     texts = texts.cast(pa.large_binary())
-    for at in range(0, len(texts), size):
-        part = texts.slice(at, size).fill_null(b"")
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, min(at + size, int(np.searchsorted(upto, before + most, "right"))))
+        part = texts.slice(at, end - at).fill_null(b"")
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
         raw = part.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         yield at, data, offsets - offsets[0]
+        at = end
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -314,7 +319,7 @@ def _joined_levels(parts: DataFrame, model: Model) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens_of = Tokens()
         for part, (row,) in _groups(batches, "part"):
-            (_, data, offsets), = slices(_unpacked(row["payload"]).column(1), ASK_ROWS)
+            (_, data, offsets), = slices(_unpacked(row["payload"]).column(1), ASK_ROWS, 1 << 62)
             t, firsts = tokens_of(data, offsets)
             for kind, keys in ((1, np.unique(t)), (2, np.unique(pairs(t, firsts)))):
                 cuts = np.searchsorted(bucket_of(keys, segments), np.arange(segments + 1))
@@ -407,7 +412,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         tokens_of = Tokens()
         for part, (rows, *found) in _groups(batches, "part"):
             batch = _unpacked(rows["payload"])
-            (_, data, offsets), = slices(batch.column(1), ASK_ROWS)
+            (_, data, offsets), = slices(batch.column(1), ASK_ROWS, 1 << 62)
             t, firsts = tokens_of(data, offsets)
             of = [np.frombuffer(b"".join(x["payload"] for x in found if x["kind"] == kind), np.uint8) for kind in (1, 2)]
             yield measured(batch, part * ASK_ROWS, t, firsts, of[0], of[1][np.unique(pairs(t, firsts), return_inverse=True)[1]])
