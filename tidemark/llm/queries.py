@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linejoin, ngramlm, packing, pii, rules, simhash, warc, winnow
+from . import chat, langid, linejoin, merkle, ngramlm, packing, pii, rules, simhash, warc, winnow
 from .common import table
 
 
@@ -65,4 +65,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op5_line_dedup, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    out = merkle.manifest(table(spark, sf_dir, "documents"), F.when(even, F.translate("text", "\n", "")))
+    return out.drop("n_siblings")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op5_line_dedup, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii, op11_merkle)}

@@ -71,4 +71,47 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM f
 """
 
-ORACLE_SQL = {"op4_warc": _OP4, "op2_decontaminate": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6}
+_OP11 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(':' || source, '') AS g, text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(0, 8), lambda j: (ascii(c) >> j) & 1)))),
+      lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b))) AS crc
+  FROM documents
+), l AS (
+  SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS other
+  FROM d
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+), low AS (
+  SELECT g, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT g, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, i // 3, n
+), heads AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1
+), top AS (
+  SELECT i, n, subroot AS h FROM heads
+  UNION ALL
+  SELECT i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY i // 3, n
+), lowkids AS (SELECT g, n, i // 3 AS p, list(h ORDER BY i) AS kids FROM low WHERE n > 1 GROUP BY g, n, i // 3
+), topkids AS (SELECT n, i // 3 AS p, list(h ORDER BY i) AS kids FROM top WHERE n > 1 GROUP BY n, i // 3
+), up AS (
+  SELECT doc_id, leaf, g, i AS place, i, n, coalesce(other, leaf) AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT u.doc_id, u.leaf, u.g, u.place, u.i // 3, (u.n + 2) // 3,
+    sha256(array_to_string(kids[1 : u.i % 3], '') || u.h || array_to_string(kids[u.i % 3 + 2 :], '')), u.proof || array_to_string(kids[1 : u.i % 3], '') || array_to_string(kids[u.i % 3 + 2 :], '')
+  FROM up u JOIN lowkids k ON u.g = k.g AND u.n = k.n AND u.i // 3 = k.p
+), upper AS (
+  SELECT u.doc_id, u.leaf, u.g, u.place, s.subroot, s.i, s.n, u.h, u.proof FROM up u JOIN heads s ON u.g = s.g WHERE u.n = 1
+  UNION ALL
+  SELECT u.doc_id, u.leaf, u.g, u.place, u.subroot, u.i // 3, (u.n + 2) // 3,
+    sha256(array_to_string(kids[1 : u.i % 3], '') || u.h || array_to_string(kids[u.i % 3 + 2 :], '')), u.proof || array_to_string(kids[1 : u.i % 3], '') || array_to_string(kids[u.i % 3 + 2 :], '')
+  FROM upper u JOIN topkids k ON u.n = k.n AND u.i // 3 = k.p
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM upper WHERE n = 1
+"""
+
+ORACLE_SQL = {"op11_merkle": _OP11, "op4_warc": _OP4, "op2_decontaminate": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6}
