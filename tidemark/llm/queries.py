@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, linejoin, merkle, ngramlm, packing, pii, rules, simhash, warc, whitening, winnow
+from . import chat, htmltext, langid, linejoin, merkle, ngramlm, packing, pii, rules, simhash, warc, whitening, winnow
 from .common import table
 
 
@@ -75,4 +75,8 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op5_line_dedup, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii, op11_merkle, op12_whitening)}
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_chat_format, op4_warc, op5_line_dedup, op6_quality_rules, op7_lm_score, op8_simhash, op9_packing, op10_pii, op11_merkle, op12_whitening, op13_html_text)}
