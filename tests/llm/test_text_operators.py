@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -599,10 +600,32 @@ def test_pii_on_sentences_held_out():
 
 
 def test_slices_are_bounded():
-    import pyarrow as pa
-
     texts = ["a" * 5, None, "", "b" * 30, "c", "d" * 4, "e" * 5] + ["f"] * 20
     got = list(ngramlm.slices(pa.array(texts), 8, 10))
     assert [t.encode() if t else b"" for t in texts] == [bytes(data[a:b]) for _, data, o in got for a, b in zip(o[:-1], o[1:], strict=True)]
     assert [at for at, _, _ in got] == [0, 3, 4, 7, 15, 23] and all(len(o) - 1 <= 8 and (len(d) <= 10 or len(o) == 2) for _, d, o in got)
     assert list(ngramlm.slices(pa.array([], pa.string()))) == []
+
+
+def test_words_that_differ_in_a_pattern_alone(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2 ** 64."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    model = ngramlm.Model(docs(spark, [(1, word)]))
+    got = {r.doc_id: r.n_known for r in ngramlm.score(docs(spark, [(1, word), (2, other), (3, word.upper()), (4, word[::-1])]), model).collect()}
+    assert got == {1: 2, 2: 1, 3: 2, 4: 1 + (word == word[::-1])}
+
+
+def test_word_hashes():
+    r = random.Random(8)
+    words = {"".join(r.choice("abé") for _ in range(r.randint(1, 150))) for _ in range(20_000)} | {"x" * n for n in range(1, 300)}
+    texts = pa.array([f" {w}\t{w.upper() if w.isascii() else w} " for w in words])
+    token, found = ngramlm.Tokens(), []
+    for _, data, offsets in ngramlm.slices(texts):
+        hashes, _ = token(data, offsets)
+        rows = hashes.reshape(-1, 3)
+        assert (rows[:, 0] == rows[:, 1]).all()
+        found += rows[:, 0].tolist()
+    assert len(set(found)) == len(words)

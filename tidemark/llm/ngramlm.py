@@ -38,8 +38,8 @@ ASK_BYTES, ASK_ROWS = 4 << 20, 1 << 14
 FLUSH = 2_000_000
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Values of bytes are kept for so many places in a word, and computed beyond.
+PLACES = 64
 END, BEGIN = _U(0x2545F4914F6CDD1D), _U(0x5851F42D4C957F2D)
 
 
@@ -50,34 +50,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 class Tokens:
-    """Hashes of the tokens of texts that lie one after another in UTF-8: words between ASCII blanks, A-Z lowered, then an end."""
+    """Hashes of the tokens of texts that lie one after another in UTF-8: words between ASCII blanks, A-Z lowered, then an end.
+
+    A word's hash is the mixed sum of a value for each byte at its place and the length. As these values have no relation to
+    one another, words collide by chance alone, as any 64-bit hashes do.
+    """
 
     def __init__(self) -> None:
         codes = np.arange(256)
         lowered = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
         self.value = mix(lowered.astype(np.uint64) + _U(1))
         self.word = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-        self.up = self.down = np.zeros(0, np.uint64)
+        self.at_place = self._placed(np.repeat(np.arange(PLACES), 256), np.tile(codes, PLACES))
+
+    def _placed(self, place: np.ndarray, data: np.ndarray) -> np.ndarray:
+        return mix(self.value[data] + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens, and where each text's tokens begin."""
         n, texts = len(data), len(offsets) - 1
-        if n > len(self.up):
-            self.up, self.down = _powers(_BASE, n + n // 4), _powers(_INVERSE, n + n // 4)
         inside = self.word[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         begin = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
-        end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[data] * self.up[:n])])
-        words = mix((total[end] - total[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        length = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1 - begin
+        first = np.concatenate([[0], np.cumsum(length)])  # of each word, among the bytes of words
+        letters = data[inside]
+        place = np.arange(len(letters)) - np.repeat(first[:-1], length)
+        values = self.at_place[np.minimum(place, PLACES - 1) * 256 + letters]
+        far = np.flatnonzero(place >= PLACES)
+        values[far] = self._placed(place[far], letters[far])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+        words = mix(total[first[1:]] - total[first[:-1]] + length.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
         before = np.searchsorted(begin, offsets)
         out = np.empty(len(words) + texts, np.uint64)
         firsts = before + np.arange(texts + 1)
