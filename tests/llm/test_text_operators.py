@@ -589,11 +589,12 @@ def test_queries_without_sql(spark, documents):
 
 
 def test_pii_on_sentences_held_out():
-    r, w = random.Random(99), pii.trained()
+    r, (weights, moves) = random.Random(99), pii.trained()
+    w = pii._Scores(weights), moves
     found = gold_n = right = 0
     for _ in range(400):
         text, gold = pii._sentence(r)
-        _, got = pii.spans(text, w)
+        _, got = pii.spans(text, *w)
         want = {(a, y, b) for a, b, y in gold}
         found, gold_n, right = found + len(got), gold_n + len(want), right + len(want & set(got))
     assert right / gold_n > 0.9 and right / found > 0.85, (right / gold_n, right / found)
@@ -629,3 +630,31 @@ def test_word_hashes():
         assert (rows[:, 0] == rows[:, 1]).all()
         found += rows[:, 0].tolist()
     assert len(set(found)) == len(words)
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, " ".join(str(n * n) for n in range(30_000)), "abc1" * 50_000, "1." * 100_000, "a@" * 50_000, "+1 " * 50_000, "1.1.1 " * 50_000])
+def test_private_data_in_linear_time(text):
+    weights, moves = pii.trained()
+    base, found = pii.spans(text, pii._Scores(weights), moves)
+    assert set(base) <= set(found)
+    assert base == _plain_base(text[:3000]) or len(text) > 3000
+
+
+def test_kept_scores_are_those_of_the_features():
+    weights, _ = pii.trained()
+    r = random.Random(12)
+    score = pii._Scores(weights)
+    for _ in range(400):
+        tokens = [m[0] for m in pii._TOKEN.finditer("".join(r.choice(("12", "0", ".", "255", "256", "+1", " ", "-", "call ", "4111111111111111", "(", ")")) for _ in range(12)))]
+        for i in range(len(tokens)):
+            for j in pii._ends(tokens, i):
+                f = pii._features(tokens, i, j)
+                assert score(tokens, i, j) == (None if f is None else (weights @ f).tolist())
+
+
+def test_regions_decode_as_a_whole_however_they_are_read(monkeypatch):
+    weights, moves = pii.trained()
+    text = " ".join(f"call +1 (555) 01{k % 10}-{1000 + k} or 10.0.{k % 256}.7" for k in range(300))
+    whole = pii.spans(text, pii._Scores(weights), moves)
+    monkeypatch.setattr(pii, "WINDOW", 7)
+    assert pii.spans(text, pii._Scores(weights), moves) == whole

@@ -10,8 +10,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,18 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
-#: Longest entity, in tokens; tokens of context on each side of a digit or an at-sign.
-LONGEST, CONTEXT = 16, 6
+#: Longest entity, in tokens, and in digits unless it is an address.
+LONGEST, MOST_DIGITS = 16, 19
+#: Characters to a side in which white space ends a region, three times.
+REACH = 80
+#: Tokens before a span that may hint at its kind.
+CUE_REACH = 4
+#: Tokens that are looked at at once, and scores of spans that are kept.
+WINDOW, KEPT_SCORES = 4096, 1 << 14
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # the first digit of a run decides for all
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SEED = re.compile(r"[0-9@]")
@@ -82,6 +91,7 @@ _MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DATE = re.compile(r"[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{2,4}")
 _CUES = {"tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3, "card": 2, "visa": 2, "credit": 2, "ip": 1, "host": 1, "mail": 0, "email": 0}
 N_FEATURES = 24
+_SHAPE = str.maketrans("123456789", "0" * 9)
 
 
 def _features(tokens: list[str], i: int, j: int) -> np.ndarray | None:
@@ -94,7 +104,7 @@ def _features(tokens: list[str], i: int, j: int) -> np.ndarray | None:
     before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
     letters = any(c.isalpha() for c in span)
     quad = bool(_QUAD.fullmatch(span))
-    cue = next((_CUES[w] for t in tokens[max(0, i - 4) : i][::-1] if (w := t.lower()) in _CUES), -1)
+    cue = next((_CUES[w] for t in tokens[max(0, i - CUE_REACH) : i][::-1] if (w := t.lower()) in _CUES), -1)
     n = len(digits)
     f = [
         1.0,
@@ -125,23 +135,30 @@ def _features(tokens: list[str], i: int, j: int) -> np.ndarray | None:
     return np.array(f, float)
 
 
+def _ends(tokens: list[str], i: int) -> Iterator[int]:
+    """Ends of the spans from i that may be entities.
+
+    They begin at a letter, digit, plus sign or bracket and end at a letter or digit; without an at-sign they have no
+    letters and no more digits than any number of the four kinds.
+    """
+    a = tokens[i]
+    if not (a[0].isalnum() or a[0] in "+("):
+        return
+    digits, letters, mail = 0, False, False
+    for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
+        z = tokens[j - 1]
+        if z == "\n":
+            return
+        mail |= z == "@"
+        digits += len(z) if z.isascii() and z.isdigit() else 0
+        letters |= z[0].isalpha()
+        if z[-1].isalnum() and (mail or not (letters or digits > MOST_DIGITS)):
+            yield j
+
+
 def _candidates(tokens: list[str]) -> list[tuple[int, int, np.ndarray]]:
-    """Spans that may be entities; they begin at a letter, digit, plus sign or bracket and end at a letter or digit."""
-    out = []
-    for i, a in enumerate(tokens):
-        if not (a[0].isalnum() or a[0] in "+("):
-            continue
-        for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
-            z = tokens[j - 1]
-            if z == "\n":
-                break
-            if not z[-1].isalnum() or (a[0].isalpha() and z.isspace()):
-                continue
-            if a[0].isalpha() and "@" not in tokens[i:j]:
-                continue
-            if (f := _features(tokens, i, j)) is not None:
-                out.append((i, j, f))
-    return out
+    """All spans that may be entities, with their features."""
+    return [(i, j, f) for i in range(len(tokens)) for j in _ends(tokens, i) if (f := _features(tokens, i, j)) is not None]
 
 
 def _lse(x: np.ndarray, axis: int | None = None) -> np.ndarray:
@@ -259,38 +276,84 @@ def trained(sentences: int = 240, rounds: int = 6, seed: int = 5) -> tuple[np.nd
     return w, t
 
 
-def _decode(tokens: list[str], w: np.ndarray, t: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities, as first token, end and kind."""
-    cands = _candidates(tokens)
-    if not cands:
-        return []
-    scores = np.array([f for _, _, f in cands]) @ w.T
-    n, k = len(tokens), OUTSIDE + 1
-    best, back = np.full((n + 1, k), -1e18), {}
-    best[0, OUTSIDE] = 0
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for c, (_, j, _) in enumerate(cands):
-        ending[j].append(c)
-    for j in range(1, n + 1):
-        ways = best[j - 1] + t[:, OUTSIDE]
-        best[j, OUTSIDE] = ways.max()
-        back[j, OUTSIDE] = (j - 1, int(ways.argmax()))
-        for c in ending[j]:
-            i = cands[c][0]
-            ways = best[i][:, None] + t[:, :OUTSIDE]
-            top = ways.max(0) + scores[c]
-            for y in np.flatnonzero(top > best[j, :OUTSIDE]):
-                best[j, y] = top[y]
-                back[j, y] = (i, int(ways[:, y].argmax()))
-    out, j, y = [], n, int(best[n].argmax())
+class _Scores:
+    """Scores of spans. Those without letters depend on their shape and little else, so they are kept."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        self.weights, self.kept = weights, {}
+
+    def __call__(self, tokens: list[str], i: int, j: int) -> list[float] | None:
+        span = "".join(tokens[i:j])
+        if not (span.isascii() and not any(t.isalpha() for t in tokens[i:j])):
+            return self._new(tokens, i, j)
+        before, after = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
+        cues = tuple(_CUES.get(t.lower(), -1) for t in tokens[max(0, i - CUE_REACH) : i])
+        digits = "".join(_DIGITS.findall(span))
+        quad = "." in span and bool(_QUAD.fullmatch(span)) and all(int(x) <= 255 for x in span.split("."))
+        key = (span.translate(_SHAPE), quad, 14 <= len(digits) <= 19 and luhn(digits), before.isalnum() or before[-1] in "+@._-=/", after.isalnum() or after[0] in "@_=/", cues)
+        if key not in self.kept:
+            if len(self.kept) >= KEPT_SCORES:
+                self.kept.clear()
+            self.kept[key] = self._new(tokens, i, j)
+        return self.kept[key]
+
+    def _new(self, tokens: list[str], i: int, j: int) -> list[float] | None:
+        f = _features(tokens, i, j)
+        return None if f is None else (self.weights @ f).tolist()
+
+
+def _best(n: int, window: Callable[[int, int], list[str]], scores: _Scores, t: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities among n tokens, as first token, end and kind.
+
+    ``window(a, b)`` gives the tokens a to b - 1. Only the last LONGEST + 1 columns of the table are kept, and a byte for
+    each token and label to go back by.
+    """
+    k, low = OUTSIDE + 1, -1e18
+    moves = [[float(x) for x in row] for row in t]
+    back = bytearray((n + 1) * k)
+    ahead = [[low] * k for _ in range(LONGEST + 1)]  # of the tokens from i on, in a ring
+    ahead[0][OUTSIDE] = 0.0
+    for base in range(0, n, WINDOW):
+        first = max(0, base - CUE_REACH)
+        tokens = window(first, min(n, base + WINDOW + LONGEST + 1))
+        for i in range(base, min(n, base + WINDOW)):
+            here = ahead[i % (LONGEST + 1)]
+            step = ahead[(i + 1) % (LONGEST + 1)]
+            top = max(range(k), key=lambda y: here[y] + moves[y][OUTSIDE])  # noqa: B023
+            step[OUTSIDE] = here[top] + moves[top][OUTSIDE]
+            back[(i + 1) * k + OUTSIDE] = top
+            into = None
+            for j in _ends(tokens, i - first):
+                score = scores(tokens, i - first, j)
+                if score is None:
+                    continue
+                if into is None:
+                    from_ = [max(range(k), key=lambda x: here[x] + moves[x][y]) for y in range(OUTSIDE)]  # noqa: B023
+                    into = [here[x] + moves[x][y] for y, x in enumerate(from_)]
+                length = j - (i - first)
+                there = ahead[(i + length) % (LONGEST + 1)]
+                for y in range(OUTSIDE):
+                    if into[y] + score[y] > there[y]:
+                        there[y] = into[y] + score[y]
+                        back[(i + length) * k + y] = (length - 1) * k + from_[y]
+            ahead[i % (LONGEST + 1)] = [low] * k
+    last = ahead[n % (LONGEST + 1)]
+    out, j, y = [], n, max(range(k), key=lambda y: last[y])
     while j > 0:
-        i, before = back[j, y]
-        if y != OUTSIDE:
-            out.append((i, j, y))
-        j, y = i, before
+        if y == OUTSIDE:
+            j, y = j - 1, back[j * k + OUTSIDE]
+        else:
+            length, before = divmod(back[j * k + y], k)
+            out.append((j - length - 1, j, y))
+            j, y = j - length - 1, before
     return out[::-1]
 
 
+def _decode(tokens: list[str], w: np.ndarray, t: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities, as first token, end and kind."""
+    return _best(len(tokens), lambda a, b: tokens[a:b], _Scores(w), t)
+
+
 def _regions(text: str) -> Iterator[tuple[int, int]]:
     """Where digits or at-signs are, with context, each extended to white space; regions that touch are one."""
     a = b = -1
@@ -299,9 +362,10 @@ def _regions(text: str) -> Iterator[tuple[int, int]]:
             continue
         start, end = m.start(), m.end()
         for _ in range(3):
-            start = max(text.rfind(" ", 0, max(start - 1, 0)), text.rfind("\n", 0, max(start - 1, 0)), 0, start - 80)
-            right = [x for x in (text.find(" ", end + 1), text.find("\n", end + 1)) if x >= 0]
-            end = min([*right, len(text), end + 80])
+            near, upto = max(0, start - REACH), max(start - 1, 0)
+            start = max(text.rfind(" ", near, upto), text.rfind("\n", near, upto), near)
+            right = [x for x in (text.find(" ", end + 1, end + REACH + 1), text.find("\n", end + 1, end + REACH + 1)) if x >= 0]
+            end = min([*right, len(text), end + REACH])
         if start <= b:
             b = max(b, end)
         else:
@@ -312,18 +376,22 @@ def _regions(text: str) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def spans(text: str, weights: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans(text: str, scores: _Scores, moves: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and all spans, as ``(start, kind, end)``."""
     if not _SEED.search(text):
         return [], []
     base = base_spans(text)
     out = list(base)
     taken = sorted((a, b) for a, _, b in base)
+    starts, furthest = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for a, b in _regions(text):
-        ms = list(_TOKEN.finditer(text, a, b))
-        for i, j, y in _decode([m[0] for m in ms], *weights):
-            s, e = ms[i].start(), ms[j - 1].end()
-            if not any(x < e and s < z for x, z in taken):
+        ends = array("q", [a])
+        ends.extend(m.end() for m in _TOKEN.finditer(text, a, b))
+        window = lambda x, y: [text[p:q] for p, q in pairwise(ends[x : y + 1])]  # noqa: B023, E731
+        for i, j, y in _best(len(ends) - 1, window, scores, moves):
+            s, e = ends[i], ends[j]
+            before = bisect_left(starts, e)  # base spans that begin before the end
+            if not before or furthest[before - 1] <= s:
                 out.append((s, y, e))
     return base, sorted(out)
 
@@ -338,15 +406,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts have no spans. Repeated rows get the same result, null ids are kept, other columns are ignored,
     an empty table gives no rows. Texts are searched whole; the field sees the surroundings of each digit or at-sign.
     """
-    weights = trained()
+    weights, moves = trained()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(weights)
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             digest, joined, total = [], [], []
             for text in batch.column(1):
-                base, found = spans(text.as_py() or "", weights)
+                base, found = spans(text.as_py() or "", scores, moves)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in base))
                 digest.append(hashlib.sha256(_joined(base).encode()).hexdigest())
