@@ -147,9 +147,10 @@ def test_line_dedup(spark):
     assert linejoin.dedup_lines(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("tile_tokens", [1 << 15, 40])
-def test_line_join_against_all_pairs(spark, monkeypatch, tile_tokens):
+@pytest.mark.parametrize(("tile_tokens", "family"), [(1 << 15, 256), (40, 256), (400, 3)])
+def test_line_join_against_all_pairs(spark, monkeypatch, tile_tokens, family):
     monkeypatch.setattr(linejoin, "TILE_TOKENS", tile_tokens)  # 40: a tile holds few lines
+    monkeypatch.setattr(linejoin, "FAMILY", family)
     monkeypatch.setattr(linejoin, "BROADCAST_LINES", tile_tokens)
     r = random.Random(3)
     lines = []
@@ -180,6 +181,32 @@ def test_line_join_against_all_pairs(spark, monkeypatch, tile_tokens):
     assert sum(x.n_links for x in got.values()) == sum(len(links[s]) for i in range(len(rows)) for s in {s for j, _, s in flat if j == i} for _ in [k for j, k, z in flat if j == i and z == s])
 
 
+@pytest.mark.parametrize(("tile_tokens", "family"), [(1 << 15, 256), (300, 8)])
+def test_templates_against_all_pairs(spark, monkeypatch, tile_tokens, family):
+    """Lines of templates with changing words of few or many values, beside other lines with the same words."""
+    monkeypatch.setattr(linejoin, "TILE_TOKENS", tile_tokens)
+    monkeypatch.setattr(linejoin, "FAMILY", family)
+    r = random.Random(6)
+    one, two = ([f"{k}{i}" for i in range(20)] for k in "tu")
+    lines = [[*one, f"own{i}"] for i in range(90)] + [[*one, f"few{r.randrange(9)}", f"own{i}"] for i in range(90)] + [[*two, f"few{r.randrange(9)}", f"some{r.randrange(20)}"] for _ in range(150)]
+    lines += [r.sample(one, 17) + [f"few{r.randrange(9)}"] for _ in range(30)] + [one[:10] + two[:10] for _ in range(2)] + [[*one, *[f"own{i}{k}" for k in range(i % 6)]] for i in range(40)]
+    r.shuffle(lines)
+    sets = list(map(frozenset, lines))
+    got = {x.doc_id: x for x in linejoin.dedup_lines(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")).collect()}
+    different = set(sets)
+    for i, s in enumerate(sets):
+        near = {o for o in different if o != s and 5 * len(s & o) >= 4 * len(s | o)}
+        assert got[i].n_links == len(near)
+        assert got[i].removed == ([0] if any(o == s or o in near for o in sets[:i]) else [])
+
+
+def test_many_lines_of_one_template(spark):
+    words = " ".join(f"word{i}" for i in range(20))
+    lines = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{words} own', id) AS text")
+    out = linejoin.dedup_lines(lines).agg(F.min("n_links"), F.max("n_links"), F.sum(F.size("removed"))).first()
+    assert tuple(out) == (19_999, 19_999, 19_999)
+
+
 def test_contamination_by_words_with_a_final_sigma(spark):
     text = ".".join(f"ΟΔ{c}Σ" for c in "ΑΒΓΔΕΖΗΘΙΚΛΜΝ")
     items = spark.createDataFrame([(1, text)], "item_id long, text string")

@@ -3,8 +3,10 @@
 The tokens of a line are its distinct lowered words. Lines whose token sets have a Jaccard similarity of NUM / DEN or more
 are linked. Tokens are ordered by rarity; two linked lines share a token in short prefixes of that order. The first token
 that they share is the one place where a pair is looked at: its position there and the lengths bound the overlap, then
-parity bitmaps, then the sets themselves are compared, inside blocks of bounded size. No step has a row for each pair: semi
-joins keep the prefix tokens with a partner, and a block returns how many links a line has and the earliest line there.
+parity bitmaps, then the sets themselves are compared, inside blocks of bounded size. No step has a row or an array for
+each pair: semi joins keep the prefix tokens with a partner, and a block adds up how many links a line has and which is the
+earliest line. Lines of one template lie in the same blocks, whose common tokens alone often link every pair.
+Sets are compared by 56-bit hashes of their tokens, so results are exact up to collisions of these.
 A line is removed if an earlier one (by document id, then place) is linked to it or has the same tokens.
 """
 
@@ -26,10 +28,14 @@ BUCKETS = 1 << 18
 HASH_BITS = 56
 #: Lines of more tokens get bitmaps of 128 and of 256 bits.
 LONG_LINE, LONGER_LINE = 60, 200
-#: Tokens in a block's tile, about, unless one line has more.
+#: Tokens in a block, about, unless one line has more.
 TILE_TOKENS = 1 << 15
+#: Rank of tokens with 4,096 occurrences or more.
+COMMON_RANK = 36
+#: Lines of a token that have this many commonest tokens in common get blocks of their own if they are so many.
+KIN, FAMILY = 8, 256
 #: The list of lines whose sets are compared is broadcast up to so many; a longer one is joined by a shuffle.
-BROADCAST_LINES = 400_000
+BROADCAST_LINES, BROADCAST_BYTES = 400_000, 64 << 20
 
 CLASS = ["x", "bits"]
 MAPS = ["bits", "b1", "b2", "b3"]
@@ -119,12 +125,9 @@ def _may_link() -> Column:
     return ((NUM + DEN) * F.least(a("left"), b("left")) >= NUM * sizes) & near(apart(q["bits"])) & F.coalesce(near(wide), F.lit(True)) & F.coalesce(near(widest), F.lit(True)) & other
 
 
-def _meets(rows: DataFrame, *more: Column) -> DataFrame:
-    """The rows with a partner at their token; one row each, however many partners."""
-    cond = (F.col("a.token") == F.col("b.token")) & _may_link()
-    for c in more:
-        cond = cond & c
-    return rows.alias("a").join(rows.alias("b"), cond, "left_semi")
+def _meets(rows: DataFrame, condition: Column) -> DataFrame:
+    """The rows ``a`` with a partner ``b`` at their token; one row each, however many partners."""
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & condition, "left_semi")
 
 
 def _first_shared(token: Column, own: Column, other: Column) -> Column:
@@ -134,13 +137,24 @@ def _first_shared(token: Column, own: Column, other: Column) -> Column:
 
 
 def _places(classes: DataFrame) -> DataFrame:
-    """``token, x, bits, n, left, listed``: the classes that have a possible partner at the first token that the two share."""
+    """``token, x, bits, n, left, listed``: the classes that have a possible partner at the first token that the two share.
+
+    At tokens of many classes all stay: a search for one partner could look at all of them, and summaries of blocks tell more.
+    """
     rows = classes.select(F.posexplode("prefix").alias("i", "token"), "x", *MAPS, "n").select("token", "x", *MAPS, "n", (F.col("n") - F.col("i")).alias("left"))
-    found = written(_meets(rows), "meeting")
+    # of the rows of common tokens, those whose size and position go with no other's leave before the search
+    common = F.shiftright("token", HASH_BITS) >= COMMON_RANK
+    seats = rows.where(common).select("token", "n", "left").distinct()
+    fits = (F.col("a.token") == F.col("b.token")) & ((NUM + DEN) * F.least("a.left", "b.left") >= NUM * (F.col("a.n") + F.col("b.n")))
+    seats = seats.alias("a").join(seats.alias("b"), fits, "left_semi")
+    rows = rows.where(~common).unionByName(rows.where(common).join(seats, ["token", "n", "left"], "left_semi").select(*rows.columns))
+    found = written(_meets(rows, _may_link()), "meeting")
     # for a linked pair, the first shared token is among these tokens of either class, and none before it is in both
     listed = found.groupBy(*CLASS).agg(F.sort_array(F.collect_list("token")).alias("listed"))  # at most a prefix
-    rows = found.join(listed, CLASS)
-    out = written(_meets(rows, _first_shared(F.col("a.token"), F.col("a.listed"), F.col("b.listed"))).select("token", *CLASS, "n", "left", "listed"), "places")
+    often = found.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > FAMILY).select("token", F.lit(True).alias("often"))
+    rows = found.join(listed, CLASS).join(often, "token", "left")
+    first = _may_link() & _first_shared(F.col("a.token"), F.col("a.listed"), F.col("b.listed"))
+    out = written(_meets(rows, F.coalesce(F.col("a.often"), F.lit(False)) | first).select("token", *CLASS, "n", "left", "listed"), "places")
     dropped(found)
     return out
 
@@ -150,7 +164,8 @@ def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     at = classes.select(*CLASS, "place").join(wanted, CLASS, "left_semi")
     at = at.groupBy(F.col("place.doc_id").alias("d"), F.col("place.mark").alias("m")).agg(F.collect_list(F.struct(*CLASS, "place")).alias("at"))  # lines of one document
     at = written(at, "wanted")
-    few = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("n")).first().n <= BROADCAST_LINES
+    size = at.agg(F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("n"), F.coalesce(F.sum(F.size("at") * (64 + F.coalesce(F.octet_length(F.col("d").cast("string")), F.lit(0)))), F.lit(0)).alias("bytes")).first()
+    few = size.n <= BROADCAST_LINES and size.bytes <= BROADCAST_BYTES
     found = keyed.select("doc_id", "mark", "text").join(F.broadcast(at) if few else at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     lines = found.select(let(F.split(_plain(F.col("text")), "\n"), lambda ls: F.transform("at", lambda w: F.struct(w.alias("w"), F.get(ls, w["place"]["line_no"]).alias("line")))).alias("of"))
     lines = lines.select(F.explode("of").alias("l")).select("l.w.*", _tokens(F.col("l.line")).alias("ts"))
@@ -159,28 +174,117 @@ def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``token, tile, held`` and a summary of each block: members of one token, of bounded size.
+
+    Lines of one template share their commonest tokens, so where many do they get blocks of their own, in which lines with
+    the same rarest tokens stay together; all others are dealt by hash. The summary has what all members share (``core``,
+    ``heads_core``), what any has (``heads_any``), the largest size and the earliest place.
+    """
+    kin = members.groupBy("token", "kin").agg(F.sum("n").alias("size"), F.count("*").alias("m"))
+    kin = kin.select("token", "kin", "size", F.when(F.col("m") >= FAMILY, F.col("kin")).otherwise(0).alias("tribe"))
+    parts = kin.groupBy("token", "tribe").agg(F.ceil(F.sum("size") / TILE_TOKENS).cast("int").alias("parts"))
+    dealt = members.join(kin.join(parts, ["token", "tribe"]).select("token", "kin", "tribe", "parts"), ["token", "kin"])
+    part = F.pmod(F.xxhash64(F.coalesce(F.get("heads", F.lit(0)), F.col("x"))), F.col("parts"))
+    member = F.struct(*CLASS, "n", "left", "place", "heads", "ts")
+    held = dealt.groupBy("token", F.xxhash64("tribe", part).alias("tile")).agg(F.collect_list(member).alias("held"))
+    shared = lambda c: F.aggregate("held", F.get("held", F.lit(0))[c], lambda a, m: F.when(F.size(a) > 0, F.array_intersect(a, m[c])).otherwise(a))
+    each = lambda c: F.transform("held", lambda m: m[c])
+    return held.select(
+        "token",
+        "tile",
+        "held",
+        F.size("held").alias("m"),
+        shared("ts").alias("core"),
+        shared("heads").alias("heads_core"),
+        F.array_distinct(F.flatten(each("heads"))).alias("heads_any"),
+        F.array_max(each("n")).alias("most"),
+        F.array_min(each("place")).alias("least"),
+    )
+
+
+def _enough(a: Column | dict[str, Column], b: Column) -> Column:
+    """Of two blocks' summaries, or a member's and a block's: whether what all share links every pair."""
+    return (NUM + DEN) * F.size(F.array_intersect(a["core"], b["core"])) >= NUM * (a["most"] + b["most"])
+
+
+def _apart(a: Column | dict[str, Column], b: Column) -> Column:
+    """Whether no pair of the two has met at an earlier token."""
+    return ~F.arrays_overlap(a["heads_any"], b["heads_any"])
+
+
+def _not_met(heads: Column, held: Column) -> Column:
+    """How many of the members ``held`` share none of the ``heads``."""
+    return F.aggregate(held, F.lit(0).cast("long"), lambda n, b: n + F.when(F.arrays_overlap(heads, b["heads"]), 0).otherwise(1))
+
+
+def _result(links: Column, earliest: Column) -> Column:
+    return F.struct(links.cast("long").alias("links"), earliest.alias("earliest"))
+
+
+def _count_links(a: Column, held: Column) -> Column:
+    """How many of the members ``held`` are linked to ``a`` at their token, and the earliest; no array of them is built."""
+
+    def link(b: Column) -> Column:
+        sizes = a["n"] + b["n"]
+        long_enough = (NUM + DEN) * F.least(a["left"], b["left"]) >= NUM * sizes
+        near = (NUM + DEN) * F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= (DEN - NUM) * sizes
+        other = (a["x"] != b["x"]) | (a["bits"] != b["bits"])
+        return long_enough & near & other & ~F.arrays_overlap(a["heads"], b["heads"]) & ((NUM + DEN) * F.size(F.array_intersect(a["ts"], b["ts"])) >= NUM * sizes)
+
+    return F.aggregate(held, _result(F.lit(0), a["place"]), lambda n, b: F.when(link(b), _result(n["links"] + 1, F.least(n["earliest"], b["place"]))).otherwise(n))
+
+
+def _found(rows: DataFrame, a: Column, result: Column) -> DataFrame:
+    """``x, bits, links, earliest`` of rows with a member ``a``."""
+    return rows.select(a["x"].alias("x"), a["bits"].alias("bits"), result["links"].alias("links"), result["earliest"].alias("earliest"))
+
+
 def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``x, bits, links, earliest``: the classes linked to others, to how many, and the first place of the earliest of these."""
+    """``x, bits, links, earliest``: the classes linked to others, to how many, and the first place of these and itself.
+
+    A block whose members share enough is linked within itself as a whole, and so are two such blocks; members are
+    compared only where the summaries leave it open.
+    """
     places = _places(classes)
     sets = _sets(keyed, classes, places.select(*CLASS).distinct())
-    tiles = places.groupBy("token").agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("tiles"))
-    members = written(places.join(tiles, "token").join(sets, CLASS), "members")
-    member = F.struct(*CLASS, "n", "left", "place", "listed", "ts")
-    tile = F.pmod(F.xxhash64("x", "bits"), F.col("tiles")).cast("int")
-    held = members.select("token", tile.alias("tile"), member.alias("m")).groupBy("token", "tile").agg(F.collect_list("m").alias("held"))
-    asked = members.select("token", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), member.alias("a"))
-
-    def link(b: Column) -> Column:
-        sizes = F.col("a.n") + b["n"]
-        long_enough = (NUM + DEN) * F.least(F.col("a.left"), b["left"]) >= NUM * sizes
-        near = (NUM + DEN) * F.bit_count(F.col("a.bits").bitwiseXOR(b["bits"])) <= (DEN - NUM) * sizes
-        other = (F.col("a.x") != b["x"]) | (F.col("a.bits") != b["bits"])
-        return long_enough & near & other & _first_shared(F.col("token"), F.col("a.listed"), b["listed"]) & ((NUM + DEN) * F.size(F.array_intersect(F.col("a.ts"), b["ts"])) >= NUM * sizes)
-
-    found = asked.join(held, ["token", "tile"]).select("a.x", "a.bits", F.transform(F.filter("held", link), lambda b: b["place"]).alias("of"))
-    found = found.select("x", "bits", F.explode(F.array(F.struct(F.size("of").alias("links"), F.array_min("of").alias("earliest")))).alias("r"))
-    out = written(found.select("x", "bits", "r.*").where("links > 0").groupBy("x", "bits").agg(F.sum("links").alias("links"), F.min("earliest").alias("earliest")), "links")
+    kin = F.xxhash64(F.slice("ts", F.greatest(F.size("ts") - KIN + 1, F.lit(1)), F.lit(KIN)))
+    heads = F.slice("listed", F.lit(1), F.array_position("listed", F.col("token")).cast("int") - 1)
+    members = written(places.join(sets, CLASS).select("token", *CLASS, "n", "left", "place", "ts", heads.alias("heads"), kin.alias("kin")), "members")
+    blocks = written(_blocks(members), "blocks")
     dropped(places, sets, members)
+
+    held, m, least = F.col("held"), F.col("m"), F.col("least")
+    enough = (NUM + DEN) * F.size("core") >= NUM * 2 * F.col("most")
+
+    def inside(a: Column) -> Column:
+        new = _not_met(a["heads"], held) - F.when(F.size(a["heads"]) == 0, 1).otherwise(0)  # without itself
+        return F.when(F.size("heads_core") > 0, _result(F.lit(0), a["place"])).when(enough & (F.size("heads_any") == 0), _result(m - 1, least)).when(enough, _result(new, least)).otherwise(_count_links(a, held))
+
+    within = blocks.where("m > 1").select(F.explode(F.transform("held", lambda a: F.struct(a["x"].alias("x"), a["bits"].alias("bits"), inside(a).alias("r")))).alias("a"))
+    within = _found(within, F.col("a"), F.col("a.r"))
+
+    several = blocks.groupBy("token").agg(F.count("*").alias("blocks")).where("blocks > 1").select("token")
+    hot = blocks.join(several, "token", "left_semi")
+    summary = hot.select("token", F.struct("tile", "m", "core", "heads_core", "heads_any", "most", "least").alias("s"))
+    a, b = F.col("a"), F.col("b")
+    pairs = summary.select("token", F.col("s").alias("a")).join(summary.select("token", F.col("s").alias("b")), "token").where("a.tile <> b.tile")
+    pairs = pairs.where(~F.arrays_overlap(a["heads_core"], b["heads_core"]))  # else each pair has met at an earlier token
+    pairs = pairs.select("token", a["tile"].alias("tile"), b["tile"].alias("other"), (_enough(a, b) & _apart(a, b)).alias("whole"), b["m"].alias("m"), b["least"].alias("least"))
+    pairs = written(pairs, "pairs")
+    sums = pairs.where("whole").groupBy("token", "tile").agg(F.sum("m").alias("links"), F.min("least").alias("earliest"))
+    each = hot.select("token", "tile", F.explode("held").alias("a"))
+    between = _found(each.join(sums.select("token", "tile", F.struct("links", "earliest").alias("r")), ["token", "tile"]), a, F.col("r"))
+
+    asked = each.join(pairs.where("NOT whole").select("token", "tile", "other"), ["token", "tile"]).select("token", F.col("other").alias("tile"), "a")
+    facing = hot.select("token", "tile", "held", F.struct("core", "heads_any", "most", "m", "least").alias("b"))
+    mine = {"core": a["ts"], "heads_any": a["heads"], "most": a["n"]}
+    facing_a = F.when(_enough(mine, b) & _apart(mine, b), _result(b["m"], b["least"])).when(_enough(mine, b), _result(_not_met(a["heads"], held), b["least"])).otherwise(_count_links(a, held))
+    compared = _found(asked.join(facing, ["token", "tile"]).select("a", facing_a.alias("r")), a, F.col("r"))
+
+    found = within.unionByName(between).unionByName(compared).where("links > 0")
+    out = written(found.groupBy("x", "bits").agg(F.sum("links").alias("links"), F.min("earliest").alias("earliest")), "links")
+    dropped(blocks, pairs)
     return out
 
 
@@ -191,7 +295,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other classes that this document's lines are linked to. Documents are ordered by id, null ids last, then by a hash of
     the text; rows equal in both are one document and get the same result. A null or empty text has one empty line, which
     stays, as do all lines without a word. Columns not named in ``extra`` are ignored, an empty table
-    gives no rows.
+    gives no rows. Texts and lines of any length are read whole.
     """
     keyed = _keyed(docs, id_col, text_col, extra)
     lines = written(_lines(keyed, rarity(keyed, "text")), "lines")
