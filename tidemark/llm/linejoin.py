@@ -147,8 +147,10 @@ def _places(classes: DataFrame) -> DataFrame:
     seats = rows.where(common).select("token", "n", "left").distinct()
     fits = (F.col("a.token") == F.col("b.token")) & ((NUM + DEN) * F.least("a.left", "b.left") >= NUM * (F.col("a.n") + F.col("b.n")))
     seats = seats.alias("a").join(seats.alias("b"), fits, "left_semi")
-    rows = rows.where(~common).unionByName(rows.where(common).join(seats, ["token", "n", "left"], "left_semi").select(*rows.columns))
-    found = written(_meets(rows, _may_link()), "meeting")
+    left = written(rows.where(common).join(seats, ["token", "n", "left"], "left_semi").select(*rows.columns), "common")
+    # two searches, since each reads one exchange for both of its sides only as long as there is no join below
+    found = written(_meets(rows.where(~common), _may_link()).unionByName(_meets(left, _may_link())), "meeting")
+    dropped(left)
     # for a linked pair, the first shared token is among these tokens of either class, and none before it is in both
     listed = found.groupBy(*CLASS).agg(F.sort_array(F.collect_list("token")).alias("listed"))  # at most a prefix
     often = found.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > FAMILY).select("token", F.lit(True).alias("often"))
@@ -160,7 +162,7 @@ def _places(classes: DataFrame) -> DataFrame:
 
 
 def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``x, bits, place, ts``: the token sets of the wanted classes, from the first line of each."""
+    """``x, bits, place, ts, kin``: the token sets of the wanted classes, from the first line of each, and a hash of their commonest tokens."""
     at = classes.select(*CLASS, "place").join(wanted, CLASS, "left_semi")
     at = at.groupBy(F.col("place.doc_id").alias("d"), F.col("place.mark").alias("m")).agg(F.collect_list(F.struct(*CLASS, "place")).alias("at"))  # lines of one document
     at = written(at, "wanted")
@@ -169,25 +171,33 @@ def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     found = keyed.select("doc_id", "mark", "text").join(F.broadcast(at) if few else at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     lines = found.select(let(F.split(_plain(F.col("text")), "\n"), lambda ls: F.transform("at", lambda w: F.struct(w.alias("w"), F.get(ls, w["place"]["line_no"]).alias("line")))).alias("of"))
     lines = lines.select(F.explode("of").alias("l")).select("l.w.*", _tokens(F.col("l.line")).alias("ts"))
-    out = written(lines.groupBy(*CLASS).agg(F.first("place").alias("place"), F.first("ts").alias("ts")), "sets")  # rows repeated
+    kin = F.xxhash64(F.slice("ts", F.greatest(F.size("ts") - KIN + 1, F.lit(1)), F.lit(KIN)))
+    out = written(lines.groupBy(*CLASS).agg(F.first("place").alias("place"), F.first("ts").alias("ts")).withColumn("kin", kin), "sets")  # rows repeated
     dropped(at)
     return out
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(places: DataFrame, sets: DataFrame) -> DataFrame:
     """``token, tile, held`` and a summary of each block: members of one token, of bounded size.
 
     Lines of one template share their commonest tokens, so where many do they get blocks of their own, in which lines with
-    the same rarest tokens stay together; all others are dealt by hash. The summary has what all members share (``core``,
-    ``heads_core``), what any has (``heads_any``), the largest size and the earliest place.
+    the same rarest tokens stay together; all others are dealt by hash. Only the few tokens with more than a block's share
+    are in the tables of parts. The summary has what all members share (``core``, ``heads_core``), what any has
+    (``heads_any``), the largest size and the earliest place.
     """
-    kin = members.groupBy("token", "kin").agg(F.sum("n").alias("size"), F.count("*").alias("m"))
-    kin = kin.select("token", "kin", "size", F.when(F.col("m") >= FAMILY, F.col("kin")).otherwise(0).alias("tribe"))
-    parts = kin.groupBy("token", "tribe").agg(F.ceil(F.sum("size") / TILE_TOKENS).cast("int").alias("parts"))
-    dealt = members.join(kin.join(parts, ["token", "tribe"]).select("token", "kin", "tribe", "parts"), ["token", "kin"])
-    part = F.pmod(F.xxhash64(F.coalesce(F.get("heads", F.lit(0)), F.col("x"))), F.col("parts"))
+    kin = places.select("token", *CLASS, "n").join(sets.select(*CLASS, "kin"), CLASS).groupBy("token", "kin").agg(F.sum("n").alias("size"), F.count("*").alias("m"))
+    kin = written(kin, "kin")
+    parts = F.ceil(F.sum("size") / TILE_TOKENS).cast("int")
+    tribes = written(kin.where(F.col("m") >= FAMILY).groupBy("token", "kin").agg(parts.alias("tribe_parts")), "tribes")
+    others = written(kin.where(F.col("m") < FAMILY).groupBy("token").agg(parts.alias("parts")).where("parts > 1"), "others")
+    dropped(kin)
+    heads = F.slice("listed", F.lit(1), F.array_position("listed", F.col("token")).cast("int") - 1)
+    members = places.join(sets, CLASS).select("token", *CLASS, "n", "left", "place", "ts", heads.alias("heads"), "kin")
+    dealt = members.join(tribes, ["token", "kin"], "left").join(others, "token", "left")
+    tribe = F.when(F.col("tribe_parts").isNotNull(), F.col("kin"))
+    part = F.pmod(F.xxhash64(F.coalesce(F.get("heads", F.lit(0)), F.col("x"))), F.coalesce("tribe_parts", "parts", F.lit(1)))
     member = F.struct(*CLASS, "n", "left", "place", "heads", "ts")
-    held = dealt.groupBy("token", F.xxhash64("tribe", part).alias("tile")).agg(F.collect_list(member).alias("held"))
+    held = dealt.groupBy("token", F.xxhash64(tribe, part).alias("tile")).agg(F.collect_list(member).alias("held"))
     shared = lambda c: F.aggregate("held", F.get("held", F.lit(0))[c], lambda a, m: F.when(F.size(a) > 0, F.array_intersect(a, m[c])).otherwise(a))
     each = lambda c: F.transform("held", lambda m: m[c])
     return held.select(
@@ -248,11 +258,8 @@ def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """
     places = _places(classes)
     sets = _sets(keyed, classes, places.select(*CLASS).distinct())
-    kin = F.xxhash64(F.slice("ts", F.greatest(F.size("ts") - KIN + 1, F.lit(1)), F.lit(KIN)))
-    heads = F.slice("listed", F.lit(1), F.array_position("listed", F.col("token")).cast("int") - 1)
-    members = written(places.join(sets, CLASS).select("token", *CLASS, "n", "left", "place", "ts", heads.alias("heads"), kin.alias("kin")), "members")
-    blocks = written(_blocks(members), "blocks")
-    dropped(places, sets, members)
+    blocks = written(_blocks(places, sets), "blocks")
+    dropped(places, sets)
 
     held, m, least = F.col("held"), F.col("m"), F.col("least")
     enough = (NUM + DEN) * F.size("core") >= NUM * 2 * F.col("most")
