@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite
 
+from .ordering import quantiles
+
 CORR_TOL = 1e-12
 
 
@@ -143,3 +145,51 @@ def bootstrap(df: DataFrame, unit: str, draws: DataFrame, pred: str, target: str
     cov = F.col("xy") / F.col("n") - F.col("x") / F.col("n") * F.col("y") / F.col("n")
     vx, vy = F.col("xx") / F.col("n") - F.pow(F.col("x") / F.col("n"), 2), F.col("yy") / F.col("n") - F.pow(F.col("y") / F.col("n"), 2)
     return s.select("rep", F.when((vx > CORR_TOL) & (vy > CORR_TOL), cov / F.sqrt(vx * vy)).alias("pcc"))
+
+
+def paired_bootstrap(df: DataFrame, unit: str, draws: DataFrame, pred_a: str, pred_b: str, target: str) -> DataFrame:
+    """Per replicate: ``pcc_a, pcc_b, delta`` of two predictions of one target, over the same units drawn.
+
+    One table of joint sums a unit serves both; rows with a null in any of the three are left out of both.
+    """
+    a, b, y = (F.col(c).cast("double") for c in (pred_a, pred_b, target))
+    parts = {"n": F.lit(1.0), "a": a, "b": b, "y": y, "aa": a * a, "bb": b * b, "yy": y * y, "ay": a * y, "by": b * y}
+    sums = df.where(a.isNotNull() & b.isNotNull() & y.isNotNull()).groupBy(unit).agg(*[F.sum(v).alias(k) for k, v in parts.items()])
+    s = sums.join(draws, unit).groupBy("rep").agg(*[F.sum(F.col(k) * F.col("times")).alias(k) for k in parts])
+    mean = lambda c: F.col(c) / F.col("n")
+    var = lambda c: mean(c + c) - mean(c) * mean(c)
+    pcc = lambda c: F.when((var(c) > CORR_TOL) & (var("y") > CORR_TOL), (mean(c + "y") - mean(c) * mean("y")) / F.sqrt(var(c) * var("y")))
+    return s.select("rep", pcc("a").alias("pcc_a"), pcc("b").alias("pcc_b")).withColumn("delta", F.col("pcc_a") - F.col("pcc_b"))
+
+
+def paired_delta(df: DataFrame, unit: str, draws: DataFrame, pred_a: str, pred_b: str, target: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row: ``delta`` over all rows, ``ci_low, ci_high`` over the replicates, ``paired_n``. Without a replicate the interval is the delta."""
+    once = df.select(unit).distinct().select(unit, F.lit(0).alias("rep"), F.lit(1).alias("times"))
+    keyed = lambda d: d.withColumn("_all", F.lit(1))
+    whole = keyed(paired_bootstrap(df, unit, once, pred_a, pred_b, target).select("delta"))
+    reps = keyed(paired_bootstrap(df, unit, draws, pred_a, pred_b, target).where("delta IS NOT NULL").withColumnRenamed("delta", "_d"))
+    ranks = nearest_ranks(reps, "_all", "_d", {"ci_low": low, "ci_high": high}).select("_all", "ci_low", "ci_high")
+    n = keyed(df.where(F.col(pred_a).isNotNull() & F.col(pred_b).isNotNull() & F.col(target).isNotNull()).agg(F.count("*").alias("paired_n")))
+    joined = n.join(whole, "_all", "left").join(ranks, "_all", "left")
+    return joined.select("delta", F.coalesce("ci_low", "delta").alias("ci_low"), F.coalesce("ci_high", "delta").alias("ci_high"), "paired_n")
+
+
+def gate_analysis(df: DataFrame, group: str, gate: str, against: dict[str, str], unsure: str, pred: str, target: str) -> DataFrame:
+    """A row a group: ``count, mean, std, q05, q25, q50, q75, q95`` of ``gate``, its correlations with the columns ``against`` by name,
+    and in each third by ``unsure`` the correlation of prediction and target (``low_pcc, low_n`` and so on).
+
+    Rows without a gate are left out. Thirds are cut at interpolated quantiles, which come from the neighbouring rows in a
+    range sort; no group is ordered in one task.
+    """
+    rows = df.where(F.col(gate).isNotNull())
+    pairs = rows.where(F.col(unsure).isNotNull() & F.col(pred).isNotNull() & F.col(target).isNotNull())
+    q = quantiles(rows, [group], gate, {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95})
+    base = rows.groupBy(group).agg(F.count("*").alias("count"), F.avg(gate).alias("mean"), F.stddev_pop(gate).alias("std"), *[safe_corr(gate, c).alias(n) for n, c in against.items()])
+    cuts = quantiles(pairs, [group], unsure, {"_low": 1 / 3, "_high": 2 / 3})
+    third = F.when(F.col(unsure) <= F.col("_low"), "low").when(F.col(unsure) <= F.col("_high"), "mid").otherwise("high")
+    met = pairs.join(cuts, group).withColumn("_third", third)
+    parts = []
+    for name in ("low", "mid", "high"):
+        own = F.col("_third") == name
+        parts += [safe_corr(F.when(own, F.col(pred)), F.when(own, F.col(target))).alias(f"{name}_pcc"), F.count_if(own).alias(f"{name}_n")]
+    return base.join(q, group).join(met.groupBy(group).agg(*parts), group, "left")
