@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, linejoin, ngramlm, packing, pii, rules, simhash, winnow
+from tidemark.llm import chat, langid, linejoin, ngramlm, packing, pii, queries, rules, simhash, winnow
 
 SCHEMA = "doc_id long, text string, place string, cls string, key string"
 
@@ -576,6 +576,15 @@ def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
     assert seen == [{"xx": 20, "yy": 3}]
 
 
+def test_language_sample_is_bounded_by_bytes_and_counts_copies_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", seen.append)
+    rows = [(1, "one text", "xx")] * 40 + [(2, "another", "xx"), (3, "y" * 500, "xx"), (4, "z" * 60, "yy"), (5, "w" * 60, "yy")]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=10, most_bytes=100)
+    (texts,) = seen
+    assert [t for t in texts if t[1] == "xx"] == [(b"another", "xx"), (b"one text", "xx")] and len([t for t in texts if t[1] == "yy"]) == 1
+
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -685,3 +694,19 @@ def test_regions_decode_as_a_whole_however_they_are_read(monkeypatch):
     whole = pii.spans(text, pii._Scores(weights), moves)
     monkeypatch.setattr(pii, "WINDOW", 7)
     assert pii.spans(text, pii._Scores(weights), moves) == whole
+
+
+def test_packing_query_keeps_every_token(spark, documents):
+    """The registered query itself: pieces of a document lie end to end, sequences have no gaps and at most 2,048 tokens."""
+    pieces = queries.op9_packing(spark, SF).collect()
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    assert set(by_doc) == {r.doc_id for r in documents.select("doc_id").collect()}
+    for own in by_doc.values():
+        own.sort(key=lambda p: p.start)
+        assert [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) == own[0].doc_tokens
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) <= 2048

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 LENGTH, FILTERS, DIM = 256, {2: 8, 3: 12, 4: 12}, 8
 WIDEST = max(FILTERS)
 STEP = LENGTH - WIDEST + 1
-#: The classifier is fitted on so many labelled texts of each language at most, and so many windows of each text.
-SAMPLE_PER_LANG, WINDOWS_PER_TEXT = 400, 4
+#: The classifier is fitted on all windows of so many labelled rows of each language at most, and of so many bytes together.
+SAMPLE_PER_LANG, BYTES_PER_LANG = 400, 4 << 20
 UNKNOWN = "und"
 
 
@@ -77,9 +77,8 @@ def fit(texts: list[tuple[bytes, str]], steps: int = 500, batch: int = 64, rate:
     for t, lang in texts:
         data = np.frombuffer(t, np.uint8)
         _, start, size = _windows(data, np.array([0, len(data)]))
-        pick = np.unique(np.linspace(0, len(start) - 1, WINDOWS_PER_TEXT).astype(int))
-        rows.append(_bytes(data, start[pick], size[pick]))
-        target += [labels.index(lang)] * len(pick)
+        rows.append(_bytes(data, start, size))
+        target += [labels.index(lang)] * len(start)
     x, y = np.concatenate(rows), np.array(target)
     members = [np.flatnonzero(y == k) for k in range(len(labels))]
     mask, n_filters = _filter_mask(), sum(FILTERS.values())
@@ -148,14 +147,24 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Network | None:
-    """Fitted on ``per_lang`` rows of each language at most, picked by a hash of id and text, repeated rows once; rows without a letter or a language teach nothing."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, most_bytes: int = BYTES_PER_LANG) -> Network | None:
+    """Fitted on rows of each language in the order of a hash of id and text: ``per_lang`` at most, and ``most_bytes`` together.
+
+    Repeated rows count once; a row that would exceed the bytes is passed over. Rows without a letter or a language teach
+    nothing. What the driver gets is bounded by these two for each language.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    once = rows.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("bytes"))
     rank = Window.partitionBy("lang").orderBy("h")  # each task keeps per_lang hashes of a language before the shuffle
-    chosen = rows.select("lang", "h").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang).select("lang", "h").distinct().collect()  # per_lang * languages at most
-    wanted = rows.where(F.col("h").isin([r.h for r in chosen])).groupBy("lang", "h").agg(F.first("text").alias("text"))  # repeated rows once
-    picked = wanted.collect()  # as many rows at most
+    listed = once.where(F.col("bytes") <= most_bytes).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= per_lang).collect()  # per_lang * languages at most
+    chosen, total = [], dict.fromkeys((r.lang for r in listed), 0)
+    for r in sorted(listed, key=lambda r: (r.lang, r.r)):
+        if total[r.lang] + r.bytes <= most_bytes:
+            total[r.lang] += r.bytes
+            chosen.append(r.h)
+    wanted = rows.where(F.col("h").isin(chosen)).groupBy("lang", "h").agg(F.first("text").alias("text"))  # repeated rows once
+    picked = wanted.collect()  # most_bytes * languages at most
     return fit(sorted((r.text.encode(), r.lang) for r in picked))
 
 
