@@ -703,7 +703,7 @@ def test_packing_query_keeps_every_token(spark, documents):
     for p in pieces:
         by_doc.setdefault(p.doc_id, []).append(p)
         by_sequence.setdefault(p.sequence_id, []).append(p)
-    assert set(by_doc) == {r.doc_id for r in documents.select("doc_id").collect()}
+    assert set(by_doc) == {r.doc_id for r in documents}
     for own in by_doc.values():
         own.sort(key=lambda p: p.start)
         assert [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) == own[0].doc_tokens
