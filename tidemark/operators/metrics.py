@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import finite
 
-from .ordering import quantiles
+from .ordering import numbered, quantiles, running
 
 CORR_TOL = 1e-12
 
@@ -88,12 +88,14 @@ def auroc(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
 
 
 def auprc(df: DataFrame, group: str, score: str, label: str, tie: Sequence[str]) -> DataFrame:
-    """Trapezoids of precision over recall, without a point at recall 0."""
-    w = Window.partitionBy(group).orderBy(F.desc(score), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    tp, k = F.sum(label).over(w), F.count("*").over(w)
-    total = F.sum(label).over(Window.partitionBy(group))
-    points = df.select(group, k.alias("k"), (tp / k).alias("precision"), F.try_divide(tp, total).alias("recall"))
-    return area(points, group, "recall", "precision", "k").withColumnRenamed("area", "auprc")
+    """Trapezoids of precision over recall, without a point at recall 0. Groups of any size: no task orders a whole one."""
+    each = running(df.select(group, score, label, *[t for t in tie if t not in (group, score, label)]), [group], [F.desc(score), *tie], label, "_tp")
+    total = df.groupBy(F.col(group).alias("_g")).agg(F.sum(label).alias("_total"))
+    met = each.join(total, F.col(group).eqNullSafe(F.col("_g")))
+    k, tp, before = F.col("place") + 1, F.col("_tp"), F.col("_tp") - F.coalesce(label, F.lit(0))
+    width = F.try_divide(tp, F.col("_total")) - F.try_divide(before, F.col("_total"))
+    height = tp / k + F.try_divide(before, k - 1)  # null for the first row, which has no trapezoid
+    return met.groupBy(group).agg(F.sum(width * height / 2).alias("auprc"))
 
 
 def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -108,11 +110,10 @@ def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float
 
 
 def top_confident(df: DataFrame, group: Sequence[str], conf: str, tie: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """For each share the rows among the ``ceil(n * share)`` most confident, with ``share``."""
-    w = Window.partitionBy(*group)
-    ranked = df.withColumn("_k", F.row_number().over(w.orderBy(F.desc(conf), *tie))).withColumn("_n", F.count("*").over(w))
+    """For each share the rows among the ``ceil(n * share)`` most confident, with ``share``. Groups of any size."""
+    ranked = numbered(df, group, [F.desc(conf), *tie], "_k", "_n")
     each = ranked.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
-    return each.where(F.col("_k") <= F.ceil(F.round(F.col("_n") * F.col("share"), 9))).drop("_k", "_n")
+    return each.where(F.col("_k") < F.ceil(F.round(F.col("_n") * F.col("share"), 9))).drop("_k", "_n")
 
 
 def last_word_safe(df: DataFrame, keys: Sequence[str], word: str, pred: str, target: str) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import folder
 
+#: Places of a group that one window adds up.
+STRETCH = 1 << 16
+
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], place: str = "place", size: str = "size") -> DataFrame:
     """``df`` with the place of each row in its group, from 0, and the group's size. ``group`` may be empty; null keys are a group.
@@ -39,3 +42,19 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str,
     kept = placed.where(reduce(lambda a, b: a | b, near))
     each = [F.sum(F.when(c, F.col(value) * (1 - F.abs(F.col("place") - at[n])))).alias(n) for c, n in zip(near, shares, strict=True)]
     return kept.groupBy(*group).agg(*each)
+
+
+def running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, total: str = "running") -> DataFrame:
+    """``numbered``, with the sum of ``value`` up to and with each row: within a stretch of places, and of the stretches before.
+
+    A stretch is STRETCH rows of a group, so windows never hold more.
+    """
+    placed = numbered(df, group, order).withColumn("_stretch", F.floor(F.col("place") / STRETCH))
+    keys = list(group)
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    sums = placed.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))  # a row a stretch
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_stretch") == F.col("_s"))
+    out = placed.withColumn("_inside", inside).join(sums, same).withColumn(total, F.coalesce("_inside", F.lit(0)) + F.col("_before"))
+    return out.drop("_inside", "_before", "_stretch", "_s", *[f"_k{i}" for i in range(len(keys))])

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .ordering import numbered
+
 
 def islands(df: DataFrame, key: str, order: Sequence[str], value: str, name: str = "island") -> DataFrame:
     """Numbers the runs of equal ``value`` within a key, from 0."""
@@ -79,9 +81,9 @@ def slope(y: str, x: str) -> Column:
 
 
 def vocabulary(df: DataFrame, value: str, order: str) -> DataFrame:
-    """``value, id``: dense ids from 0 by first appearance. The window runs over distinct values only."""
+    """``value, id``: dense ids from 0 by first appearance, of any number of values: no task orders them all."""
     firsts = df.groupBy(value).agg(F.min(order).alias("first"))
-    return firsts.select(value, (F.row_number().over(Window.orderBy("first", value)) - 1).alias("id"))
+    return numbered(firsts, [], ["first", value], "id", "_size").select(value, "id")
 
 
 def relative_to_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -95,7 +97,7 @@ def loop_kind(tokens: Column, repeats: int = 4, longest: int = 12, coverage: flo
     """Why a token array counts as looping, or null: ``cycle`` (a run that comes ``repeats`` times in a row), and if strict
     ``dominant`` (one token has the share ``ratio``, 8 times or twice ``repeats`` at least) or ``periodic`` (copies of one
     run, not overlapping, cover the share ``coverage``)."""
-    from collections import defaultdict
+    from collections import Counter, defaultdict
 
     def cycle(t: list[str]) -> bool:
         for n in range(1, min(longest, len(t) // repeats) + 1):
@@ -123,7 +125,7 @@ def loop_kind(tokens: Column, repeats: int = 4, longest: int = 12, coverage: flo
             return None
         if cycle(t):
             return "cycle"
-        top = max(map(t.count, set(t)))
+        top = max(Counter(t).values())
         if strict and top >= max(2 * repeats, 8) and top >= ratio * len(t):
             return "dominant"
         return "periodic" if strict and periodic(t) else None

@@ -125,13 +125,14 @@ def f23_auprc(t: Tables) -> DataFrame:
 
 @query()
 def f24_wer(t: Tables) -> DataFrame:
-    """Word error rate of each reply against the question, whole texts."""
+    """Word error rate of each turn against the turn before, whole texts."""
     from tidemark.operators.align import distance_rows
 
-    first = lambda role: t.conversations.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias(role))
+    from .sequence_queries import replies
+
     words = lambda c: F.filter(F.split(X.normalize_for_wer(F.col(c)), " "), lambda w: w != "")
-    pairs = first("user").join(first("assistant"), "conv_id").select("conv_id", words("user").alias("r"), words("assistant").alias("h"))
-    each = distance_rows(pairs, "conv_id", "r", "h").select(F.col("distance").alias("d"), F.greatest("size", F.lit(1)).alias("n"))
+    pairs = replies(t).select("reply", words("before").alias("r"), words("text").alias("h"))
+    each = distance_rows(pairs, "reply", "r", "h").select(F.col("distance").alias("d"), F.greatest("size", F.lit(1)).alias("n"))
     return each.agg(F.sum("d").alias("errors"), F.sum("n").alias("words"), F.round(F.sum("d") / F.sum("n"), 6).alias("wer"))
 
 

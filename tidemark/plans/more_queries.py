@@ -55,10 +55,11 @@ def g17_d9_loop_kind(t: Tables) -> DataFrame:
 
 @query()
 def e27_pad_to_reference(t: Tables) -> DataFrame:
-    c = t.conversations.groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    pairs = c.select("conv_id", X.tokenize(F.col("a")).alias("a"), X.tokenize(F.col("b")).alias("b"))
+    from .sequence_queries import replies
+
+    pairs = replies(t).select("reply", X.tokenize(F.col("before")).alias("a"), X.tokenize(F.col("text")).alias("b"))
     out = Q.pad_to_reference(F.col("a"), F.col("b"), F.transform("b", lambda w: F.length(w).cast("double")))
-    return pairs.select("conv_id", out.alias("scores"))
+    return pairs.select("reply", out.alias("scores"))
 
 
 @query("SELECT event_id, round(value, 6) AS value FROM events ORDER BY md5('3:' || event_id), event_id LIMIT 100")

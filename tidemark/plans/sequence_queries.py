@@ -185,24 +185,30 @@ def k_tumbling_stream(t: Tables) -> DataFrame:
     return out.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("ts_start"), "n", F.round("total", 4).alias("total"))
 
 
+def replies(t: Tables) -> DataFrame:
+    """``reply, before, text``: every turn but the first of a conversation, with the text of the turn before; null texts are empty."""
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    text = F.coalesce("text", F.lit(""))
+    rows = t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("reply"), F.lag(text).over(turns).alias("before"), text.alias("text"))
+    return rows.where("before IS NOT NULL")
+
+
 @query()
 def e23_lcs_align(t: Tables) -> DataFrame:
     from tidemark.operators.align import align_rows
 
-    first = lambda role: t.conversations.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias(role))
     words = lambda c: F.split(F.lower(F.col(c)), " ")
-    pairs = first("user").join(first("assistant"), "conv_id").select("conv_id", words("user").alias("a"), words("assistant").alias("b"))
-    return align_rows(pairs, "conv_id", "a", "b", "lcs")
+    pairs = replies(t).select("reply", words("before").alias("a"), words("text").alias("b"))
+    return align_rows(pairs, "reply", "a", "b", "lcs")
 
 
 @query()
 def e24_e28_edit_align(t: Tables) -> DataFrame:
     from tidemark.operators.align import align_rows
 
-    first = lambda role: t.conversations.where(F.col("role") == role).groupBy("conv_id").agg(F.min_by("text", "turn").alias(role))
     words = lambda c: F.split(F.lower(F.col(c)), " ")
-    pairs = first("user").join(first("assistant"), "conv_id").select("conv_id", words("user").alias("a"), words("assistant").alias("b"))
-    return align_rows(pairs, "conv_id", "a", "b", "edit")
+    pairs = replies(t).select("reply", words("before").alias("a"), words("text").alias("b"))
+    return align_rows(pairs, "reply", "a", "b", "edit")
 
 
 @query()

@@ -139,9 +139,10 @@ def b10_cache_keys(t: Tables) -> DataFrame:
     return t.part.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(lang || chr(10) || 'ASR: old' || chr(10) || source, 'ASR: old', 'ASR: ' || coalesce(item, '')) AS body FROM documents LEFT JOIN (SELECT item_id, substr(text, 1, 9) AS item FROM benchmark) ON doc_id = item_id WHERE lang IS NOT NULL AND source IS NOT NULL")
+@query("SELECT doc_id, lang || chr(10) || 'ASR: ' || coalesce(b.text, '') || chr(10) || source AS body FROM documents LEFT JOIN benchmark b ON doc_id = item_id WHERE lang IS NOT NULL AND source IS NOT NULL")
 def b11_text_patch(t: Tables) -> DataFrame:
-    b = t.benchmark.select("item_id", F.substring("text", 1, 9).alias("item"))
+    """Each document's record, its old text replaced by the whole text of the item with its id."""
+    b = t.benchmark.select("item_id", F.col("text").alias("item"))
     body = F.concat_ws("\n", "lang", F.lit("ASR: old"), "source")
     rows = t.documents.where("lang IS NOT NULL AND source IS NOT NULL").join(b, F.col("doc_id") == F.col("item_id"), "left")
     return rows.select("doc_id", F.replace(body, F.lit("ASR: old"), F.concat(F.lit("ASR: "), F.coalesce("item", F.lit("")))).alias("body"))

@@ -51,11 +51,6 @@ def c8_digits_to_words(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.digits_to_words(F.col("p_brand")).alias("spelled"))
 
 
-@query("SELECT doc_id, length(regexp_replace(strip_accents(substr(text, 1, 400)), '[^\\x00-\\x7F]', '', 'g')) AS n FROM documents WHERE lang IN ('fr', 'es')")
-def c9_ascii_fold(t: Tables) -> DataFrame:
-    return t.documents.where("lang IN ('fr', 'es')").select("doc_id", F.length(X.ascii_fold(F.substring("text", 1, 400))).cast("long").alias("n"))
-
-
 @query()
 def c9_whole_ascii_fold(t: Tables) -> DataFrame:
     """The whole text of every document; ``strip_accents`` differs from the fold outside of French and Spanish."""
@@ -157,10 +152,10 @@ def c24_mean_or(t: Tables) -> DataFrame:
     return j.select("o_orderkey", F.round(S.mean_or(F.coalesce("q", F.array().cast("array<double>")), -1.0), 6).alias("m"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(list_resize(embedding[1:3], 5, -1.0::FLOAT), lambda x: x::DOUBLE)), 5) AS s, 70 AS n FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(list_resize(embedding, 5, -1.0::FLOAT), lambda x: x::DOUBLE)), 5) AS s, 70 AS n FROM embeddings")
 def c25_fit_length(t: Tables) -> DataFrame:
     e = F.transform("embedding", lambda x: x.cast("double"))
-    total = F.aggregate(S.fit_length(F.slice(e, 1, 3), 5, F.lit(-1.0)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(S.fit_length(e, 5, F.lit(-1.0)), F.lit(0.0), lambda a, x: a + x)
     return t.embeddings.select("vec_id", F.round(total, 5).alias("s"), F.size(S.fit_length(e, 70, F.lit(0.0))).alias("n"))
 
 

@@ -61,10 +61,12 @@ def j16_supervision(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_linestatus").agg(w(True).alias("relaxed"), w(False).alias("original"))
 
 
-@query("SELECT l_orderkey, count(*) AS n, round(sum(l_quantity) + (20 - count(*)) * -1, 4) AS padded FROM lineitem GROUP BY 1 HAVING count(*) <= 20")
+@query("WITH x AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey, n, (SELECT max(n) FROM x) AS width, round(q - ((SELECT max(n) FROM x) - n), 4) AS padded FROM x")
 def j17_dense_padding(t: Tables) -> DataFrame:
-    per = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_list("l_quantity").alias("q")).where("n <= 20")
-    return per.select("l_orderkey", "n", F.round(V.total(S.fit_length(F.col("q"), 20, F.lit(-1.0))), 4).alias("padded"))
+    """Each order's quantities padded to the longest order's length with -1."""
+    per = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_list(F.col("l_quantity").cast("double")).alias("q"))
+    width = per.agg(F.coalesce(F.max("n"), F.lit(0)).alias("width")).first().width
+    return per.select("l_orderkey", "n", F.lit(width).cast("long").alias("width"), F.round(V.total(S.fit_length(F.col("q"), width, F.lit(-1.0))), 4).alias("padded"))
 
 
 @query("SELECT user_id, round(coalesce(regr_slope(value, k), 0), 6) AS slope, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_pop(value), 0), 6) AS std FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events) GROUP BY 1")
