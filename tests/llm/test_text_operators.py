@@ -710,3 +710,19 @@ def test_packing_query_keeps_every_token(spark, documents):
     for own in by_sequence.values():
         own.sort(key=lambda p: p.offset)
         assert [p.offset for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))] and sum(p.length for p in own) <= 2048
+
+
+def test_rows_keep_columns_of_any_name(spark):
+    """Columns named as inner ones are neither lost nor changed."""
+    schema = "doc_id long, text string, _mark string, _id int, id int, mark string, row string, root int, _md5 string, n_words string, text_md5 string"
+    data = [(k, prose(k % 2, 80), "m", 1, 2, "k", "r", 3, "h", "n", "t") for k in range(4)]
+    df = spark.createDataFrame(data, schema)
+    items = spark.createDataFrame([(1, prose(5, 20))], "item_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(df).collect())) == data[:2] and simhash.one_of_each(df).columns == df.columns
+    assert sorted(map(tuple, winnow.clean(df, items).collect())) == data and winnow.clean(df, items).columns == df.columns
+    assert sorted(map(tuple, rules.passing(df).collect())) == data and rules.passing(df).columns == df.columns
+
+
+def test_long_texts_have_no_say_in_the_order_of_rules(spark):
+    df = docs(spark, [(k, prose(k, 30_000, 10_000)) for k in range(30)])
+    assert [r.name for r in rules.ordered(df)] and rules.passing(df).count() == rules.quality(df).where("kept").count()

@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links of ``RADIUS`` bits or fewer, itself included; null if all ids
     there are null. ``root`` tells components apart whatever their ids. Null and empty texts have fingerprint zero and link
     like any other. Repeated rows and ids are rows of their own; other columns are ignored; an empty table gives no rows.
+    Texts of any length are read whole.
     """
     own = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
@@ -217,10 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of each component that of the smallest id, null last, and of rows with
-    that id that of the smallest hash of the text; of rows equal in both any one."""
+    that id that of the smallest hash of the text; of rows equal in both any one. Nulls, long texts and empty tables are as
+    in ``near_duplicates``; columns of any name are kept."""
     found = near_duplicates(docs, id_col, text_col)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("x"))
     keep = first.select(F.col("x.doc_id").alias("_id"), F.col("x.mark").alias("_mark"))
-    own = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_id"]) & (own == keep["_mark"]), "left_semi")
-    return rows.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).dropDuplicates([id_col, "_mark"]).drop("_mark")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no column's name can clash
+    rows = docs.select(whole.alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("mark"))
+    kept = rows.join(keep, rows["id"].eqNullSafe(keep["_id"]) & (rows["mark"] == keep["_mark"]), "left_semi")
+    return kept.dropDuplicates(["id", "mark"]).select("row.*")
