@@ -200,3 +200,20 @@ def test_draws_with_replacement(spark):
     assert max(max(x.values()) for x in by_rep.values()) >= 3 and min(len(x) for x in by_rep.values()) < 4
     assert all(250 < sum(x.get(u, 0) for x in by_rep.values()) < 350 for u in "abcd")
     assert M.draws(df.where("false"), "unit", 3, 5).count() == 0
+
+
+def test_ranking_pairs_against_all_pairs(spark):
+    import random
+
+    from tidemark.operators.joins import ranking_pairs
+
+    r = random.Random(7)
+    data = [(g, i, r.choice([None, r.uniform(-5, 5), 1.0]), r.choice([None, r.randint(0, top)])) for g, n, top in (("a", 60, 12), ("b", 40, 1), (None, 30, 30), ("one", 5, 0)) for i in range(n)]
+    got = {x.g: (x.pairs, x.loss) for x in ranking_pairs(spark.createDataFrame(data, "g string, i int, p double, t int"), "g", "i", "p", "t", 1.5).collect()}
+    for g in ("a", "b", None, "one"):
+        own = [(p, t) for k, _, p, t in data if k == g and p is not None and t is not None]
+        pairs = [(x, y) for k, x in enumerate(own) for y in own[:k] if x[1] != y[1]]
+        loss = sum(max(0, 1.5 - (1 if a[1] > b[1] else -1) * (a[0] - b[0])) for a, b in pairs)
+        assert (g in got) == bool(pairs)
+        if pairs:
+            assert got[g][0] == len(pairs) and abs(got[g][1] - loss) < 1e-6

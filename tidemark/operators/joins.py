@@ -101,13 +101,26 @@ def positional_join(left: DataFrame, right: DataFrame, group: str, left_order: S
 def ranking_pairs(rows: DataFrame, group: str, item: str, pred: str, target: str, margin: float) -> DataFrame:
     """Per group: the pairs with different targets, and the sum of their hinges ``max(0, margin - sign * difference)``.
 
-    The pairs are the result's definition; the join is on the group, which has to be small (a batch).
+    No pair is made. Targets of a group are ranked; two ranks part at one highest bit, so each pair is met once, in the node
+    of that bit and the bits above. In a node a hinge is ``max(0, low + margin - high)``, and the sum over all rows of the
+    higher side comes from running counts and sums in the order of the predictions. A row is in one node for each bit.
+    Groups without a pair are left out; rows with a null are in no pair; ``item`` tells rows apart and isn't needed here.
     """
-    a = rows.select(group, F.col(item).alias("i"), F.col(pred).alias("pi"), F.col(target).alias("ti"))
-    b = rows.select(group, F.col(item).alias("j"), F.col(pred).alias("pj"), F.col(target).alias("tj"))
-    both = a.join(b, group).where((F.col("i") < F.col("j")) & (F.col("ti") != F.col("tj")))
-    hinge = F.greatest(margin - F.signum(F.col("ti") - F.col("tj")) * (F.col("pi") - F.col("pj")), F.lit(0.0))
-    return both.groupBy(group).agg(F.count("*").alias("pairs"), F.sum(hinge).alias("loss"))
+    known = rows.where(F.col(pred).isNotNull() & F.col(target).isNotNull()).select(F.col(group).alias("g"), F.col(pred).cast("double").alias("p"), F.col(target).alias("t"))
+    levels = known.groupBy("g", "t").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("g")
+    levels = levels.select(F.col("g").alias("lg"), F.col("t").alias("lt"), (F.row_number().over(whole.orderBy("t")) - 1).alias("rank"), F.ceil(F.log2(F.count("*").over(whole).cast("double"))).cast("int").alias("bits"))
+    ranked = known.join(levels, F.col("g").eqNullSafe(F.col("lg")) & (F.col("t") == F.col("lt"))).select("g", "p", "rank", "bits").where("bits > 0")
+    bit = ranked.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    shift = lambda n: F.call_function("shiftright", F.col("rank"), n)
+    high = shift(F.col("b")).bitwiseAND(F.lit(1))
+    nodes = bit.select("g", "b", shift(F.col("b") + 1).alias("node"), high.alias("high"), (F.col("p") + F.when(high == 1, 0.0).otherwise(margin)).alias("at"), F.col("p"))
+    run = Window.partitionBy("g", "b", "node").orderBy("at", F.desc("high")).rowsBetween(Window.unboundedPreceding, 0)
+    side = F.col("high") == 1
+    met = nodes.withColumn("k", F.count(F.when(side, 1)).over(run)).withColumn("s", F.sum(F.when(side, F.col("p")).otherwise(0.0)).over(run)).withColumn("all", F.count(F.when(side, 1)).over(Window.partitionBy("g", "b", "node")))
+    lows = met.where(~side)
+    return lows.groupBy(F.col("g").alias(group)).agg(F.sum("all").alias("pairs"), F.sum(F.col("at") * F.col("k") - F.col("s")).alias("loss")).where("pairs > 0")
+
 
 
 def previous_slot(rows: DataFrame, key: str, chunk: str, slot: str, old_slot: str, value: str) -> DataFrame:
