@@ -3,7 +3,7 @@
 import pytest
 
 from tests.compare import connect, rows
-from tidemark.plans import balance_queries, binary_queries, chunk_queries, composite_queries, join_queries, metric_queries, more_queries, sequence_queries, source_queries, stream_queries, text_queries, vector_queries  # noqa: F401
+from tidemark.plans import balance_queries, binary_queries, build_queries, chunk_queries, composite_queries, join_queries, metric_queries, more_queries, sequence_queries, source_queries, stream_queries, text_queries, vector_queries  # noqa: F401
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

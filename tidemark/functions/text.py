@@ -127,3 +127,8 @@ def edit_distance(a: Column, b: Column) -> Column:
         return F.when(F.size(b) == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), start, step))
 
     return F.get(F.aggregate(a, first, row), F.size(b))
+
+
+def overridden(base: Column, own: Column) -> Column:
+    """The entries of two maps; where both have a key, that of ``own``, even if it is null."""
+    return F.map_from_entries(F.concat(F.filter(F.map_entries(base), lambda e: ~F.map_contains_key(own, e["key"])), F.map_entries(own)))
