@@ -1,4 +1,8 @@
-"""A corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing."""
+"""A corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+
+Each stage works on all rows that the one before kept and, but for the last, returns the columns of documents; other
+columns are ignored. An empty table gives an empty table in each. Texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -18,29 +22,34 @@ def _kept_text(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects. Null, empty and short texts go; repeated rows are judged alike; nulls in other columns stay."""
     return rules.passing(_kept_text(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches; a document left without a word goes. ``n_chars`` is counted anew."""
+    """Documents without the lines that an earlier line matches; a document left without a word goes. ``n_chars`` is counted anew.
+
+    Earlier: by document id, null ids last, then by a hash of the text, then by place; rows equal in id and text lose the
+    same lines. Null texts have no word.
+    """
     out = linejoin.dedup_lines(docs, extra=("lang", "source"))
     out = out.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     return _kept_text(out.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest id, null last; of equal ids that of the smallest hash of
+    the text, and of repeated rows any one. Texts without a word, null ones included, are one group."""
     return simhash.one_of_each(_kept_text(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate. Null and empty texts stay; repeated rows are judged alike."""
     return winnow.clean(_kept_text(docs), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences' pieces, with their token ids."""
+    """The packed sequences' pieces, with their token ids. A null or empty text is one end token; repeated rows and null ids are documents of their own."""
     return packing.pack(docs)
 
 

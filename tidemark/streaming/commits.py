@@ -91,20 +91,3 @@ def stream_state(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
 def stream_windows(rows: DataFrame, ts: str, value: str, size: str, late: str, keys: list[str]) -> DataFrame:
     """Tumbling windows with a watermark; rows later than ``late`` are dropped."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-
-
-def upsert(path: str, keys: list[str], order: str):
-    """A ``foreachBatch`` function that keeps, per key, the row of the greatest ``order`` in a Parquet folder a batch writes anew.
-
-    Writing the same batch again gives the same folder, so a restart after a failure repeats nothing.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if epoch > 0:
-            batch = spark.read.parquet(f"{path}/epoch={epoch - 1}").unionByName(batch)
-        rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return write
