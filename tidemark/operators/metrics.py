@@ -61,17 +61,16 @@ def ece(df: DataFrame, group: Sequence[str], conf: str, target: str) -> DataFram
 
 
 def risk_coverage(df: DataFrame, group: str, conf: str, error: str, tie: Sequence[str]) -> DataFrame:
-    """``coverage, risk`` after each row, the most confident first."""
-    w = Window.partitionBy(group).orderBy(F.desc(conf), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count("*").over(Window.partitionBy(group))
-    k = F.count("*").over(w)
-    return df.select(group, (k / n).alias("coverage"), (F.sum(error).over(w) / k).alias("risk"), k.alias("k"))
+    """``coverage, risk, k`` after each row, the most confident first, and ``risk_before`` it (null for the first). Groups of any size."""
+    each = running(df.select(group, conf, error, *[t for t in tie if t not in (group, conf, error)]), [group], [F.desc(conf), *tie], error, "_sum")
+    k = F.col("place") + 1
+    before = F.try_divide(F.col("_sum") - F.coalesce(error, F.lit(0)), F.col("place"))
+    return each.select(group, (k / F.col("size")).alias("coverage"), (F.col("_sum") / k).alias("risk"), before.alias("risk_before"), k.alias("k"), "size")
 
 
-def area(df: DataFrame, group: str, x: str, y: str, order: str) -> DataFrame:
-    """Trapezoids under ``y`` over ``x``."""
-    w = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("_a", (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2).groupBy(group).agg(F.sum("_a").alias("area"))
+def aurc(points: DataFrame, group: str) -> DataFrame:
+    """Trapezoids under the risk over the coverage of ``risk_coverage``."""
+    return points.groupBy(group).agg(F.sum((F.col("risk") + F.col("risk_before")) / (2 * F.col("size"))).alias("aurc"))
 
 
 def auroc(df: DataFrame, group: str, score: str, label: str) -> DataFrame:

@@ -99,7 +99,7 @@ def f20_brier(t: Tables) -> DataFrame:
 def f21_g14_aurc(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_id", (F.col("value") % 7).alias("conf"), F.abs(F.col("value") - 20).alias("err"))
     points = M.risk_coverage(rows, "user_id", "conf", "err", ["event_id"])
-    return M.area(points, "user_id", "coverage", "risk", "k").select("user_id", F.round("area", 6).alias("aurc"))
+    return M.aurc(points, "user_id").select("user_id", F.round("aurc", 6).alias("aurc"))
 
 
 _LAB = "(SELECT d.lang, d.n_chars, l.quality, d.doc_id FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL)"
