@@ -118,3 +118,20 @@ def test_idle_keys_are_flushed(spark, tmp_path):
             time.sleep(0.2)
         q.stop()
     assert sorted(got) == [(1, 0, "tick", 1.0, 1), (1, 1, "flush", 3.0, 2), (1, 1, "tick", 3.0, 2), (2, 0, "final", 5.0, 1)]
+
+
+def test_masks_of_moving_slots(spark):
+    """By hand: an insertion in front moves slots, a revised token drops its commit, whole words alone are new."""
+    state, first = C.next_masks(None, ["a", "b", "c"], [0, 0, 1], [True, True, False])
+    assert first == {"cumulative": [True, True, False], "new": [True, True, False], "old_slot": [-1, -1, -1], "dropped": 0}
+    state, second = C.next_masks(state, ["x", "a", "b", "c"], [0, 1, 1, 2], [True, False, False, True])
+    assert second == {"cumulative": [True, True, True, True], "new": [True, False, False, True], "old_slot": [-1, 0, 1, 2], "dropped": 0}
+    state, third = C.next_masks(state, ["x", "a", "z", "c"], [0, 1, 1, None], [False, False, True, False])
+    assert third == {"cumulative": [True, True, True, True], "new": [False] * 4, "old_slot": [0, 1, -1, 3], "dropped": 1}
+    assert C.next_masks(state, [], [], [])[1] == {"cumulative": [], "new": [], "old_slot": [], "dropped": 4}
+    r = random.Random(9)
+    data = [(u, k, [r.choice("abc") for _ in range(n)], [s // 2 for s in range(n)], [r.random() < 0.5 for _ in range(n)]) for u in (1, 2) for k in range(6) if (n := r.randint(0, 6)) >= 0]
+    schema = "u long, k long, tokens array<string>, words array<int>, candidate array<boolean>"
+    want = rows_of(C.chunk_masks(spark.createDataFrame(data, schema), "u", "k", "tokens", "words", "candidate"))
+    got = rows_of(drained(S.stream_masks(pieces(spark, sorted(data, key=lambda d: d[1]), schema, [4, 5]), "u", "k", "tokens", "words", "candidate"), "update"))
+    assert got == want and len(want) == 12

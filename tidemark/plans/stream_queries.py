@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import folder
@@ -36,6 +36,23 @@ def k6_k7_stream_commits(t: Tables) -> DataFrame:
     return out.drop("seen")
 
 
+@query(
+    f"WITH e AS (SELECT user_id, k AS e, event_id, value FROM {_K}), r AS (SELECT a.user_id, a.e AS k, b.e, (a.e + b.e) % 3 = 0 AND b.value > 5 AS c FROM e a JOIN e b ON a.user_id = b.user_id AND b.e BETWEEN a.e - 4 AND a.e WHERE a.e >= 4), u AS (SELECT *, bool_or(c) OVER (PARTITION BY user_id, e ORDER BY k) AS cum FROM r), m AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY user_id, e ORDER BY k), false) AS mapped FROM u), "
+    "n AS (SELECT *, bool_and(c) OVER w AND NOT bool_or(mapped) OVER w AS new FROM m WINDOW w AS (PARTITION BY user_id, k, e // 2)), g AS (SELECT user_id, k, string_agg(CASE WHEN cum THEN '1' ELSE '0' END, '' ORDER BY e) AS cumulative, string_agg(CASE WHEN new THEN '1' ELSE '0' END, '' ORDER BY e) AS new, bool_or(cum AND e = k - 4) AS first FROM n GROUP BY 1, 2) SELECT user_id, k, cumulative, new, CASE WHEN lag(first) OVER (PARTITION BY user_id ORDER BY k) THEN 1 ELSE 0 END AS dropped, CASE WHEN k = 4 THEN '-1,-1,-1,-1,-1' ELSE '1,2,3,4,-1' END AS old_slot FROM g"
+)
+def k6_k11_stream_masks(t: Tables) -> DataFrame:
+    """A window of five events that moves on by one: each chunk's slots lie one place further left, and the first is gone."""
+    w = Window.partitionBy("user_id").orderBy("k").rowsBetween(-4, 0)
+    ev = _ticks(t).select("piece", "user_id", F.col("k").cast("long").alias("k"), "event_id", "value")
+    item = F.collect_list(F.struct("k", "event_id", "value")).over(w)
+    rows = ev.select("piece", "user_id", "k", item.alias("x")).where("k >= 4")
+    candidate = F.transform("x", lambda e: ((e["k"] + F.col("k")) % 3 == 0) & (e["value"] > 5))
+    rows = rows.select("piece", "user_id", "k", F.col("x.event_id").alias("tokens"), F.transform("x", lambda e: F.floor(e["k"] / 2).cast("int")).alias("words"), candidate.alias("candidate"))
+    out = drained(S.stream_masks(in_pieces(rows, "piece", PIECES), "user_id", "k", "tokens", "words", "candidate"), "update")
+    mask = lambda c: F.array_join(F.transform(c, lambda v: F.when(v, "1").otherwise("0")), "").alias(c)
+    return out.select("user_id", "k", mask("cumulative"), mask("new"), "dropped", F.array_join(F.transform("old_slot", lambda v: v.cast("string")), ",").alias("old_slot"))
+
+
 @query(f"SELECT user_id, k, round(sum(value) OVER (PARTITION BY user_id ORDER BY k), 5) AS state_sum, k + 1 AS state_count FROM {_K}")
 def k8_stream_sums(t: Tables) -> DataFrame:
     rows = _ticks(t).select("piece", "user_id", F.col("k").cast("long").alias("k"), "value")

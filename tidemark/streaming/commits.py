@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import TIME_EPS
+from tidemark.operators.align import edit_pairs
 
 
 def commit_times(duration: Column, step: float) -> Column:
@@ -91,3 +92,49 @@ def stream_state(rows: DataFrame, key: str, order: str, value: str) -> DataFrame
 def stream_windows(rows: DataFrame, ts: str, value: str, size: str, late: str, keys: list[str]) -> DataFrame:
     """Tumbling windows with a watermark; rows later than ``late`` are dropped."""
     return rows.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def next_masks(before: tuple[list, list[int]] | None, tokens: list, words: list, candidate: list[bool]) -> tuple[tuple[list, list[int]], dict]:
+    """One chunk's masks from its slots and the state ``(tokens, committed slots)`` of the chunk before; the new state comes first.
+
+    Slots are mapped by a cheapest alignment of the tokens; a pair counts if its tokens are equal. ``cumulative``: candidates
+    and mapped committed slots. ``new``: the slots of words that are candidates as a whole and have no mapped slot.
+    ``old_slot``: the mapped slot of the chunk before, or -1. ``dropped``: committed slots that map to none. Words below 0
+    or null are none.
+    """
+    pairs = [(i, j) for i, j in edit_pairs(before[0], tokens) if i is not None and j is not None and before[0][i] == tokens[j]] if before else []
+    to = dict(pairs)
+    mapped = {to[s] for s in before[1] if s in to} if before else set()
+    cumulative = [bool(c) or s in mapped for s, c in enumerate(candidate)]
+    places: dict = {}
+    for s, w in enumerate(words):
+        if w is not None and w == w and w >= 0:
+            places.setdefault(w, []).append(s)
+    new = [False] * len(tokens)
+    for own in places.values():
+        if all(candidate[s] for s in own) and not mapped.intersection(own):
+            for s in own:
+                new[s] = True
+    old = dict((j, i) for i, j in pairs)
+    made = {"cumulative": cumulative, "new": new, "old_slot": [old.get(s, -1) for s in range(len(tokens))], "dropped": sum(s not in to for s in before[1]) if before else 0}
+    return (tokens, [s for s, c in enumerate(cumulative) if c]), made
+
+
+MASKS = "cumulative array<boolean>, new array<boolean>, old_slot array<int>, dropped int"
+
+
+def chunk_masks(chunks: DataFrame, key: str, order: str, tokens: str, words: str, candidate: str) -> DataFrame:
+    """``key, order`` and the masks of each chunk (``next_masks``), for slots that may move. ``tokens, words, candidate`` are arrays by slot.
+
+    A group is the chunks of one utterance, each with its slots.
+    """
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in (key, order))
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, out = None, []
+        for at, t, w, c in pdf.sort_values(order)[[order, tokens, words, candidate]].itertuples(index=False):
+            state, made = next_masks(state, list(t), list(w), list(c))
+            out.append({key: k[0], order: at, **made})
+        return pd.DataFrame(out)
+
+    return chunks.select(key, order, tokens, words, candidate).groupBy(key).applyInPandas(run, f"{kinds}, {MASKS}")

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from .commits import MASKS, next_masks
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -168,6 +170,24 @@ def stream_commits(rows: DataFrame, key: str, chunk: str, slot: str, old_slot: s
     return _run(rows, key, _Slots(key, chunk, slot, old_slot, committed, ttl_ms), out)
 
 
+class _Masks(_Ordered):
+    """Masks of chunks whose slots may move; the tokens and committed slots of the last chunk are the state."""
+
+    def __init__(self, key: str, order: str, tokens: str, words: str, candidate: str, token_kind: str, ttl_ms: int | None):
+        super().__init__(key, order, f"tokens array<{token_kind}>, committed array<int>", ttl_ms)
+        self.tokens, self.words, self.candidate = tokens, words, candidate
+
+    def step(self, values, row):
+        before = (list(values[0]), list(values[1])) if values else None
+        return next_masks(before, *(list(row[c]) for c in (self.tokens, self.words, self.candidate)))
+
+
+def stream_masks(chunks: DataFrame, key: str, order: str, tokens: str, words: str, candidate: str, ttl_ms: int | None = None) -> DataFrame:
+    """``commits.chunk_masks`` on a stream: a row a chunk."""
+    kind = chunks.schema[tokens].dataType.elementType.simpleString()
+    return _run(chunks, key, _Masks(key, order, tokens, words, candidate, kind, ttl_ms), f"{_kinds(chunks, key, order)}, {MASKS}")
+
+
 class _Online(_Ordered):
     """A record a tick with the time it took, and a last one when a key has been idle."""
 
