@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import balance as B
@@ -18,9 +17,7 @@ def rows(spark, n=400, seed=1):
     return data, spark.createDataFrame(data, "g string, v int, i int").repartition(5)
 
 
-@pytest.mark.parametrize("stretch", [1 << 16, 7])
-def test_places_and_running_sums(spark, monkeypatch, stretch):
-    monkeypatch.setattr(O, "STRETCH", stretch)
+def test_places_and_running_sums(spark):
     data, df = rows(spark)
     got = {r.i: r for r in O.running(df, ["g"], [F.desc("v"), "i"], "v").collect()}
     assert len(got) == len(data)

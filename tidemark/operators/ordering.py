@@ -10,8 +10,24 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import folder
 
-#: Places of a group that one window adds up.
-STRETCH = 1 << 16
+
+def _placed(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], place: str, size: str, sums: dict[str, str]) -> DataFrame:
+    """``numbered`` and, by name, the sums of columns up to and with each row."""
+    keys, spark, path = list(group), df.sparkSession, folder(df.sparkSession, "ordered")
+    by = [*[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order]]
+    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_task", F.shiftright("_at", 33))
+    counts = placed.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_here"), *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
+    whole = Window.partitionBy(*keys)
+    before = lambda c: F.coalesce(F.sum(c).over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = (before("_here") - F.col("_first")).alias("_shift")
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_task").alias("_t"), shift, F.sum("_here").over(whole).alias(size), *[before(f"_sum_{n}").alias(f"_before_{n}") for n in sums])
+    if sums:  # within a task, whose share of a group the range sort bounds
+        run = Window.partitionBy(*keys, "_task").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumns({n: F.coalesce(F.sum(c).over(run), F.lit(0)) for n, c in sums.items()})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_task") == F.col("_t"))
+    out = placed.join(counts, same).withColumns({place: F.col("_at") + F.col("_shift"), **{n: F.col(n) + F.col(f"_before_{n}") for n in sums}})
+    return out.drop("_at", "_task", "_t", "_shift", *[f"_k{i}" for i in range(len(keys))], *[f"_before_{n}" for n in sums])
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], place: str = "place", size: str = "size") -> DataFrame:
@@ -21,17 +37,12 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
     task and the rows of its group in earlier tasks, of which there is one count a group and task. Rows equal in ``order``
     get different places in no defined order.
     """
-    keys = list(group)
-    spark, path = df.sparkSession, folder(df.sparkSession, "ordered")
-    by = [*[F.col(k) for k in keys], *[F.col(o) if isinstance(o, str) else o for o in order]]
-    df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
-    placed = spark.read.parquet(path).withColumn("_task", F.shiftright("_at", 33))
-    counts = placed.groupBy(*keys, "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_here"))
-    whole = Window.partitionBy(*keys)
-    shift = F.coalesce(F.sum("_here").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_first")
-    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_task").alias("_t"), shift.alias("_shift"), F.sum("_here").over(whole).alias(size))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_task") == F.col("_t"))
-    return placed.join(counts, same).withColumn(place, F.col("_at") + F.col("_shift")).drop("_at", "_task", "_t", "_shift", *[f"_k{i}" for i in range(len(keys))])
+    return _placed(df, group, order, place, size, {})
+
+
+def running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, total: str = "running") -> DataFrame:
+    """``numbered``, with the sum of ``value`` up to and with each row: in its task, and of the group's rows in earlier tasks."""
+    return _placed(df, group, order, "place", "size", {total: value})
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -42,19 +53,3 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, shares: dict[str,
     kept = placed.where(reduce(lambda a, b: a | b, near))
     each = [F.sum(F.when(c, F.col(value) * (1 - F.abs(F.col("place") - at[n])))).alias(n) for c, n in zip(near, shares, strict=True)]
     return kept.groupBy(*group).agg(*each)
-
-
-def running(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], value: str, total: str = "running") -> DataFrame:
-    """``numbered``, with the sum of ``value`` up to and with each row: within a stretch of places, and of the stretches before.
-
-    A stretch is STRETCH rows of a group, so windows never hold more.
-    """
-    placed = numbered(df, group, order).withColumn("_stretch", F.floor(F.col("place") / STRETCH))
-    keys = list(group)
-    inside = F.sum(value).over(Window.partitionBy(*keys, "_stretch").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    sums = placed.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))  # a row a stretch
-    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), before.alias("_before"))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_stretch") == F.col("_s"))
-    out = placed.withColumn("_inside", inside).join(sums, same).withColumn(total, F.coalesce("_inside", F.lit(0)) + F.col("_before"))
-    return out.drop("_inside", "_before", "_stretch", "_s", *[f"_k{i}" for i in range(len(keys))])
