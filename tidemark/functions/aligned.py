@@ -38,20 +38,25 @@ def edit_alignment(a: Column, b: Column, mismatch: float = MISMATCH, reward: Cal
     in ``a``. Null arrays are empty; null items equal nothing.
     """
     a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in (a.cast("array<string>"), b.cast("array<string>")))
-    n, m = F.size(a), F.size(b)
+    return _let(F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("n"), F.size(b).alias("m")), lambda x: _aligned(x, mismatch, reward))
+
+
+def _aligned(x: Column, mismatch: float, reward: Callable[[Column, Column], Column] | None) -> Column:
+    """``edit_alignment`` of ``struct(a, b, n, m)``. What a lambda names is computed again for each item, so only bound values are named."""
+    n, m = x["n"], x["m"]
+    way = lambda cost, move: F.struct(cost.alias("cost"), F.lit(move).alias("move"))
+    far = F.lit(_FAR)
 
     def cell(d: Column, one: Column, two: Column, i: Column) -> Column:
         j = d - i
-        pair = F.when(F.coalesce(F.get(a, i - 1) == F.get(b, j - 1), F.lit(False)), F.lit(0.0)).otherwise(F.lit(mismatch))
+        pair = F.when(F.coalesce(F.get(x["a"], i - 1) == F.get(x["b"], j - 1), F.lit(False)), F.lit(0.0)).otherwise(F.lit(mismatch))
         if reward is not None:
             pair = F.greatest(pair - F.coalesce(reward(i - 1, j - 1), F.lit(0.0)), F.lit(0.0))
-        met = F.coalesce(F.get(two, i - 1) + pair, F.lit(_FAR))
-        gap_b, gap_a = F.coalesce(F.get(one, i - 1) + GAP, F.lit(_FAR)), F.coalesce(F.get(one, i) + GAP, F.lit(_FAR))
-        inside = (j >= 0) & (j <= m)
-        move = F.when((met <= gap_b) & (met <= gap_a), 0).when(gap_b <= gap_a, 1).otherwise(2)
-        return F.struct(F.when(inside, F.least(met, gap_b, gap_a)).otherwise(F.lit(_FAR)).alias("cost"), move.alias("move"))
+        met = F.when((i > 0) & (j > 0), F.get(two, i - 1) + pair).otherwise(far)
+        ways = F.least(way(met, 0), way(F.coalesce(F.get(one, i - 1) + GAP, far), 1), way(F.coalesce(F.get(one, i) + GAP, far), 2))
+        return F.when((j >= 0) & (j <= m), ways).otherwise(way(far, 0))
 
-    start = F.struct(F.array_repeat(F.lit(_FAR), n + 1).alias("two"), F.concat(F.array(F.lit(0.0)), F.array_repeat(F.lit(_FAR), n)).alias("one"), F.array().cast("array<array<int>>").alias("moves"))
+    start = F.struct(F.array_repeat(far, n + 1).alias("two"), F.concat(F.array(F.lit(0.0)), F.array_repeat(far, n)).alias("one"), F.array().cast("array<array<int>>").alias("moves"))
 
     def diagonal(s: Column, d: Column) -> Column:
         cells = F.transform(F.sequence(F.lit(0), n), lambda i: cell(d, s["one"], s["two"], i))
@@ -62,10 +67,12 @@ def edit_alignment(a: Column, b: Column, mismatch: float = MISMATCH, reward: Cal
 
         def step(s: Column, _: Column) -> Column:
             i, j = s["i"], s["j"]
-            move = F.get(F.get(moves, i + j - 1), i)
-            pair = F.struct(F.when(move != 2, i - 1).alias("a"), F.when(move != 1, j - 1).alias("b"))
-            moved = F.struct((i - F.when(move != 2, 1).otherwise(0)).alias("i"), (j - F.when(move != 1, 1).otherwise(0)).alias("j"), F.concat(s["pairs"], F.array(pair)).alias("pairs"))
-            return F.when(i + j == 0, s).otherwise(moved)
+
+            def moved(move: Column) -> Column:
+                pair = F.struct(F.when(move != 2, i - 1).alias("a"), F.when(move != 1, j - 1).alias("b"))
+                return F.struct((i - F.when(move != 2, 1).otherwise(0)).alias("i"), (j - F.when(move != 1, 1).otherwise(0)).alias("j"), F.concat(s["pairs"], F.array(pair)).alias("pairs"))
+
+            return F.when(i + j == 0, s).otherwise(_let(F.get(F.get(moves, i + j - 1), i), moved))
 
         return F.reverse(F.aggregate(_upto(n + m, 1), begin, step)["pairs"])
 
@@ -76,22 +83,23 @@ def edit_alignment(a: Column, b: Column, mismatch: float = MISMATCH, reward: Cal
 def overlap_and_confidence(a_times: Column, b_times: Column, confidence: Column, overlap_reward: float = OVERLAP_REWARD) -> Callable[[Column, Column], Column]:
     """A reward by the overlap of two intervals (structs of ``start, end``), as intersection over union, and the second's confidence."""
 
-    def reward(i: Column, j: Column) -> Column:
-        x, y = F.get(a_times, i), F.get(b_times, j)
+    def shared(t: Column) -> Column:
+        x, y = t["x"], t["y"]
         both = F.greatest(F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]), F.lit(0.0))
         whole = F.greatest(x["end"], y["end"]) - F.least(x["start"], y["start"])
-        share = F.when(whole > 0, both / whole).otherwise(F.lit(0.0))
+        return F.when(whole > 0, both / whole).otherwise(F.lit(0.0))
+
+    def reward(i: Column, j: Column) -> Column:
+        share = _let(F.struct(F.get(a_times, i).alias("x"), F.get(b_times, j).alias("y")), shared)
         sure = F.least(F.greatest(F.get(confidence, j), F.lit(0.0)), F.lit(1.0))
         return F.coalesce(share, F.lit(0.0)) * overlap_reward + F.coalesce(sure, F.lit(0.0)) * CONFIDENCE_REWARD
 
     return reward
 
 
-def partners(pairs: Column, slots: Column) -> Column:
-    """For each of ``slots`` places of the second sequence its partner's place in the first, or null."""
-    met = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
-    known = F.map_from_entries(F.transform(met, lambda p: F.struct(p["b"], p["a"])))
-    return F.transform(_upto(slots - 1, 0), lambda s: F.try_element_at(known, s))
+def partners(pairs: Column) -> Column:
+    """For each place of the second sequence its partner's place in the first, or null; an alignment has each place once, in order."""
+    return F.transform(F.filter(pairs, lambda p: p["b"].isNotNull()), lambda p: p["a"])
 
 
 def slot_targets(truth: Column, slots: Column, phones: list[str], seen_words: Column) -> Column:
@@ -103,24 +111,32 @@ def slot_targets(truth: Column, slots: Column, phones: list[str], seen_words: Co
     """
     listed = F.array(*[F.lit(p) for p in phones])
     names = F.transform(slots, lambda s: F.coalesce(s["phone"], F.lit("<eps>")))
-    of = partners(edit_alignment(F.transform(truth, lambda t: t["phone"]), names)["pairs"], F.size(slots))
+    of = partners(edit_alignment(F.transform(truth, lambda t: t["phone"]), names)["pairs"])
 
     def entropy(p: Column) -> Column:
         return -F.aggregate(F.filter(p, lambda x: x > 0), F.lit(0.0), lambda acc, x: acc + x * F.ln(x)) / F.ln(F.greatest(F.size(p), F.lit(2)).cast("double"))
 
     def target(s: Column, t: Column) -> Column:
         phone = F.array_position(listed, t["phone"]).cast("int") - 1
-        known = t.isNotNull() & (phone >= 0)
-        unsure = F.least(F.greatest(entropy(s["posterior"]), F.lit(0.0)), F.lit(1.0))
-        seen = F.array_contains(seen_words, t["word_id"])
         exact = F.coalesce(s["phone"] == t["phone"], F.lit(False))
-        likely, support = F.get(s["posterior"], phone), F.get(s["support"], phone)
-        done = s["committed"]
-        weight = F.when(done & seen & exact, 1.0).when(done & seen & (likely > 0), likely).otherwise(0.0)
+        facts = F.struct(phone.alias("phone"), F.array_contains(seen_words, t["word_id"]).alias("seen"), exact.alias("exact"), entropy(s["posterior"]).alias("entropy"))
+        return _let(facts, lambda f: weighed(s, t, f))
+
+    def weighed(s: Column, t: Column, f: Column) -> Column:
+        likely = F.get(s["posterior"], f["phone"])
+        done = s["committed"] & f["seen"]
+        weight = F.when(done & f["exact"], 1.0).when(done & (likely > 0), likely).otherwise(0.0)
+        return _let(weight, lambda w: fields(s, t, f, w))
+
+    def fields(s: Column, t: Column, f: Column, weight: Column) -> Column:
+        phone, seen, exact, done = f["phone"], f["seen"], f["exact"], s["committed"]
+        known = t.isNotNull() & (phone >= 0)
+        unsure = F.least(F.greatest(f["entropy"], F.lit(0.0)), F.lit(1.0))
+        support = F.get(s["support"], phone)
         no, yes = F.lit(0.0), F.lit(1.0)
         flag = lambda c: F.when(c, yes).otherwise(no)
         when = lambda value, other: F.when(known, value.cast("double")).otherwise(F.lit(other))
-        abstains = ~seen | (weight < WEAK_LABEL) | ((entropy(s["posterior"]) > UNSURE) & (s["divergence"] > DIVERGENT)) | (~exact & (support < UNSUPPORTED))
+        abstains = ~seen | (weight < WEAK_LABEL) | ((f["entropy"] > UNSURE) & (s["divergence"] > DIVERGENT)) | (~exact & (support < UNSUPPORTED))
         return F.struct(
             when(phone, -1.0).alias("phone_id"),
             when(t["phone_score"], -1.0).alias("phone_score"),
