@@ -92,3 +92,12 @@ def bce_with_logits(x: Column, y: Column) -> Column:
 def supervision_weight(original: Column, posterior: Column, acoustic: Column, relaxed: bool) -> Column:
     """The weight of a slot: the given one, or when that is 0 and the policy relaxed, the better share of the evidence."""
     return F.when(original > 0, original).otherwise(F.greatest(0.2 * posterior, 0.2 * acoustic)) if relaxed else original
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """As DuckDB rounds a double: scaled by a power of ten, rounded half away from zero, scaled back.
+
+    Spark's ``round`` goes by the decimal digits instead, so that 2.7009374999999998 to 6 digits gives 2.700937, not 2.700938.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(value * scale) / scale

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import aligned as A
+from tidemark.functions.scalars import rounded
 from tidemark.streaming import chunk_rows as K
 from tidemark.streaming import commits as C
 
@@ -54,12 +55,12 @@ def e24_reward_alignment(t: Tables) -> DataFrame:
     """The lines of an order by number and by part, aligned with rewards for overlap and confidence."""
     token = F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 3).cast("string"))
     start, end = F.col("l_linenumber").cast("double"), F.col("l_linenumber") + F.col("l_quantity").cast("double") / 20
-    item = lambda *order: F.array_sort(F.collect_list(F.struct(*order, token.alias("token"), F.struct(start.alias("start"), end.alias("end")).alias("time"), (F.col("l_discount").cast("double") * 10).alias("conf"))))
+    item = lambda *order: F.sort_array(F.collect_list(F.struct(*order, token.alias("token"), F.struct(start.alias("start"), end.alias("end")).alias("time"), (F.col("l_discount").cast("double") * 10).alias("conf"))))
     sides = t.lineitem.groupBy("l_orderkey").agg(item("l_linenumber", "l_partkey", "l_quantity").alias("a"), item("l_partkey", "l_linenumber", "l_quantity").alias("b"))
     reward = A.overlap_and_confidence(F.col("a")["time"], F.col("b")["time"], F.col("b")["conf"])
     out = sides.select("l_orderkey", A.edit_alignment(F.col("a")["token"], F.col("b")["token"], reward=reward).alias("r"))
     shown = F.transform(F.col("r.pairs"), lambda p: F.concat(F.coalesce(p["a"].cast("string"), F.lit("")), F.lit("-"), F.coalesce(p["b"].cast("string"), F.lit("")), F.lit(" ")))
-    return out.select("l_orderkey", F.round("r.cost", 6).alias("cost"), F.array_join(shown, "").alias("pairs"))
+    return out.select("l_orderkey", rounded(F.col("r.cost"), 6).alias("cost"), F.array_join(shown, "").alias("pairs"))
 
 
 @query()
@@ -72,6 +73,6 @@ def e28_slot_targets(t: Tables) -> DataFrame:
     posterior = F.transform(weights, lambda w: w / sums(weights))
     slot = F.struct("l_partkey", "l_linenumber", F.when(F.col("l_partkey") % 4 == 0, "N").when(F.col("l_partkey") % 9 != 0, F.col("l_returnflag")).alias("phone"), posterior.alias("posterior"), F.reverse(posterior).alias("support"), (F.col("l_tax").cast("double") * 10).alias("divergence"), (F.col("l_linenumber") <= 3).alias("committed"))
     seen = F.collect_set(F.when(F.col("l_partkey") % 5 != 0, (F.col("l_linenumber") % 3).cast("int")))
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(truth)).alias("truth"), F.array_sort(F.collect_list(slot)).alias("slots"), seen.alias("seen"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(truth)).alias("truth"), F.sort_array(F.collect_list(slot)).alias("slots"), seen.alias("seen"))
     out = rows.select("l_orderkey", F.posexplode(A.slot_targets(F.col("truth"), F.col("slots"), phones, F.col("seen"))).alias("slot", "target"))
     return out.select("l_orderkey", "slot", "target.*")
