@@ -135,3 +135,19 @@ def test_masks_of_moving_slots(spark):
     want = rows_of(C.chunk_masks(spark.createDataFrame(data, schema), "u", "k", "tokens", "words", "candidate"))
     got = rows_of(drained(S.stream_masks(pieces(spark, sorted(data, key=lambda d: d[1]), schema, [4, 5]), "u", "k", "tokens", "words", "candidate"), "update"))
     assert got == want and len(want) == 12
+
+
+def test_pieces_by_key_are_written_and_read_by_many_tasks(spark, tmp_path):
+    data = [(u, k, float(k), k // 3) for k in range(9) for u in range(40)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stream = in_pieces(spark.createDataFrame(data, "u long, k long, v double, piece int"), "piece", 3, "u")
+        seen = []
+        stream = stream.withColumn("file", F.input_file_name())
+        run_to_end(stream, lambda batch, epoch: seen.append(batch.select("u", "k", "file").collect()), f"file://{tmp_path}/state")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(seen) == 3 and all(len({r.file for r in b}) > 1 for b in seen)
+    assert [{r.k for r in b} for b in seen] == [{0, 1, 2}, {3, 4, 5}, {6, 7, 8}] and sum(map(len, seen)) == len(data)
+    assert all(len({r.file for r in b if r.u == u}) == 1 for b in seen for u in range(40))

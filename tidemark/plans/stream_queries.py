@@ -26,13 +26,13 @@ def _ticks(t: Tables) -> DataFrame:
 @query(ORACLE_SQL["k4_commit_gate"])
 def k4_stream_gate(t: Tables) -> DataFrame:
     rows = _ticks(t).select("piece", "user_id", F.col("k").cast("long").alias("k"), (F.col("k") + 1).cast("long").alias("eligible"), F.floor(F.col("value") / 10).alias("stable"), (F.col("k") + 1 == F.col("schedule_count")).alias("final"))
-    return drained(S.stream_gate(in_pieces(rows, "piece", PIECES), "user_id", "k", "eligible", "stable", "final"), "update")
+    return drained(S.stream_gate(in_pieces(rows, "piece", PIECES, "user_id"), "user_id", "k", "eligible", "stable", "final"), "update")
 
 
 @query(ORACLE_SQL["k6_k7_new_commits"])
 def k6_k7_stream_commits(t: Tables) -> DataFrame:
     rows = _ticks(t).select("piece", "user_id", F.floor(F.col("k") / 4).alias("chunk"), (F.col("k") % 4).alias("slot"), (F.col("k") % 4).alias("old"), (F.col("value") > 15).alias("c"))
-    out = latest(S.stream_commits(in_pieces(rows, "piece", PIECES), "user_id", "chunk", "slot", "old", "c"), ["user_id", "chunk"], "seen")
+    out = latest(S.stream_commits(in_pieces(rows, "piece", PIECES, "user_id"), "user_id", "chunk", "slot", "old", "c"), ["user_id", "chunk"], "seen")
     return out.drop("seen")
 
 
@@ -48,7 +48,7 @@ def k6_k11_stream_masks(t: Tables) -> DataFrame:
     rows = ev.select("piece", "user_id", "k", item.alias("x")).where("k >= 4")
     candidate = F.transform("x", lambda e: ((e["k"] + F.col("k")) % 3 == 0) & (e["value"] > 5))
     rows = rows.select("piece", "user_id", "k", F.col("x.event_id").alias("tokens"), F.transform("x", lambda e: F.floor(e["k"] / 2).cast("int")).alias("words"), candidate.alias("candidate"))
-    out = drained(S.stream_masks(in_pieces(rows, "piece", PIECES), "user_id", "k", "tokens", "words", "candidate"), "update")
+    out = drained(S.stream_masks(in_pieces(rows, "piece", PIECES, "user_id"), "user_id", "k", "tokens", "words", "candidate"), "update")
     mask = lambda c: F.array_join(F.transform(c, lambda v: F.when(v, "1").otherwise("0")), "").alias(c)
     return out.select("user_id", "k", mask("cumulative"), mask("new"), "dropped", F.array_join(F.transform("old_slot", lambda v: v.cast("string")), ",").alias("old_slot"))
 
@@ -56,7 +56,7 @@ def k6_k11_stream_masks(t: Tables) -> DataFrame:
 @query(f"SELECT user_id, k, round(sum(value) OVER (PARTITION BY user_id ORDER BY k), 5) AS state_sum, k + 1 AS state_count FROM {_K}")
 def k8_stream_sums(t: Tables) -> DataFrame:
     rows = _ticks(t).select("piece", "user_id", F.col("k").cast("long").alias("k"), "value")
-    out = drained(S.stream_sums(in_pieces(rows, "piece", PIECES), "user_id", "k", "value"), "update")
+    out = drained(S.stream_sums(in_pieces(rows, "piece", PIECES, "user_id"), "user_id", "k", "value"), "update")
     return out.select("user_id", "k", F.round("state_sum", 5).alias("state_sum"), "state_count")
 
 
@@ -68,7 +68,7 @@ class Killed(RuntimeError):
 def k13_resumed_build(t: Tables) -> DataFrame:
     """A build that dies after its second batch has written its rows, is started anew, and passes the gate on unfinished keys."""
     rows = _ticks(t).select("piece", "user_id", F.col("k").cast("long").alias("k"), "value")
-    stream = S.stream_sums(in_pieces(rows, "piece", PIECES), "user_id", "k", "value")
+    stream = S.stream_sums(in_pieces(rows, "piece", PIECES, "user_id"), "user_id", "k", "value")
     path = folder(t.spark, "resumed")
     sink = R.KeyedSink(f"{path}/sink", ["user_id"], "k", 16)
 
@@ -107,5 +107,5 @@ def k13_a19_progress(t: Tables) -> DataFrame:
 @query(f"SELECT user_id, k, CASE WHEN k + 1 = n THEN 'final' ELSE 'tick' END AS kind, round(sum(value) OVER (PARTITION BY user_id ORDER BY k), 5) AS state_sum, k + 1 AS state_count FROM {_K}")
 def k14_online_loop(t: Tables) -> DataFrame:
     rows = _ticks(t).select("piece", "user_id", F.col("k").cast("long").alias("k"), "value", (F.col("k") + 1 == F.col("schedule_count")).alias("final"))
-    out = drained(S.online(in_pieces(rows, "piece", PIECES), "user_id", "k", "value", "final", idle_ms=3_600_000), "update", timers=True)
+    out = drained(S.online(in_pieces(rows, "piece", PIECES, "user_id"), "user_id", "k", "value", "final", idle_ms=3_600_000), "update", timers=True)
     return out.select("user_id", "k", "kind", F.round("state_sum", 5).alias("state_sum"), "state_count")

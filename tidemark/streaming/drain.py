@@ -51,15 +51,24 @@ def drained(stream: DataFrame, mode: str, timers: bool = False) -> DataFrame:
     return rows.drop("epoch")
 
 
-def in_pieces(rows: DataFrame, piece: str, pieces: int) -> DataFrame:
-    """``rows`` as a stream of ``pieces`` triggers, by the column ``piece`` (from 0), which goes.
+def in_pieces(rows: DataFrame, piece: str, pieces: int, key: str | None = None) -> DataFrame:
+    """``rows`` as a stream of ``pieces`` triggers or some more, by the column ``piece`` (from 0), which goes.
 
-    The pieces are written one after the other, and a file stream reads files in the order of their times.
+    The pieces are written one after the other, and a file stream reads files in the order of their times. All rows that a
+    ``key`` has in a piece lie in one of the piece's files, so they come in order wherever a trigger ends; as many tasks
+    write and read a piece as its bytes ask for, and ``rows`` is computed once. Without a key, a piece is one file.
     """
-    path = folder(rows.sparkSession, "pieces")
+    spark = rows.sparkSession
+    path = folder(spark, "pieces")
+    kept = rows.drop(piece).schema
+    if key is not None:
+        rows.write.parquet(f"{path}-all")
+        rows = spark.read.schema(rows.schema).parquet(f"{path}-all")
     for k in range(pieces):
-        rows.where(F.col(piece) == k).drop(piece).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.drop(piece).schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = rows.where(F.col(piece) == k).drop(piece)
+        (part.coalesce(1) if key is None else part.repartition(key)).write.mode("append").parquet(path)
+    files = len(spark.read.schema(kept).parquet(path).inputFiles())
+    return spark.readStream.schema(kept).option("maxFilesPerTrigger", max(1, files // pieces)).parquet(path)
 
 
 def run_to_end(stream: DataFrame, write: Callable[[DataFrame, int], None], state: str) -> None:

@@ -32,6 +32,15 @@ def keyed_state(spark: SparkSession):
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
+def _columns(batches: Iterator[pd.DataFrame]) -> dict[str, list]:
+    """The columns of a key's rows as lists."""
+    columns: dict[str, list] = {}
+    for pdf in batches:
+        for name in pdf.columns:
+            columns.setdefault(name, []).extend(pdf[name].tolist())
+    return columns
+
+
 class _Ordered(StatefulProcessor):
     """Calls ``step`` for each row in order. ``self.now`` holds the last order value and the values that ``step`` carries on."""
 
@@ -42,12 +51,19 @@ class _Ordered(StatefulProcessor):
         self.handle = handle
         self.now = handle.getValueState("now", f"at double, {self.carried}", ttlDurationMs=self.ttl)
 
-    def rows(self, batches: Iterator[pd.DataFrame], after: float | None) -> list[dict]:
-        got = pd.concat(list(batches)).drop_duplicates(self.order).sort_values(self.order)
-        return [r for r in got.to_dict("records") if after is None or r[self.order] > after]
+    def rows(self, batches: Iterator[pd.DataFrame], after: float | None) -> Iterator[dict]:
+        """The rows later than ``after``, in order, the first of each place; lists, as a frame a key would cost more than its rows."""
+        columns = _columns(batches)
+        order, last = columns[self.order], None
+        for i in sorted(range(len(order)), key=lambda i: (order[i] != order[i], order[i])):
+            at = order[i]
+            again = last is not None and (at == last or at != at and last != last)
+            if not again and (after is None or at > after):
+                yield {name: values[i] for name, values in columns.items()}
+            last = at
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.now.get() if self.now.exists() else None
+        state = self.now.get()
         at, values = (state[0], tuple(state[1:])) if state else (None, None)
         out = []
         for r in self.rows(rows, at):
@@ -56,7 +72,7 @@ class _Ordered(StatefulProcessor):
             out.append({self.key: key[0], self.order: r[self.order], **made})
         if out:
             self.now.update((at, *values))
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({name: [r[name] for r in out] for name in out[0]})
 
     def step(self, values: tuple | None, row: dict) -> tuple[tuple, dict]:
         raise NotImplementedError
@@ -116,15 +132,13 @@ def stream_sums(rows: DataFrame, key: str, order: str, value: str, ttl_ms: int |
 
 
 class _Slots(StatefulProcessor):
-    """Committed slots of the chunk before and of the current one, as maps; a chunk's rows may come in several triggers."""
+    """Committed slots of the chunk before and all of the current one; a chunk's rows may come in several triggers."""
 
     def __init__(self, key: str, chunk: str, slot: str, old_slot: str, committed: str, ttl_ms: int | None):
         self.key, self.chunk, self.slot, self.old_slot, self.committed, self.ttl = key, chunk, slot, old_slot, committed, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "chunk long, seen long", ttlDurationMs=self.ttl)
-        self.before = handle.getMapState("before", "slot long", "committed boolean", ttlDurationMs=self.ttl)
-        self.current = handle.getMapState("current", "slot long", "old_slot long, committed boolean", ttlDurationMs=self.ttl)
+        self.at = handle.getValueState("at", "chunk long, seen long, before array<long>, slots array<long>, old array<long>, committed array<boolean>", ttlDurationMs=self.ttl)
 
     def _counts(self, before: set[int], current: dict[int, tuple[int, bool]]) -> tuple[int, int, int]:
         now = [old for old, committed in current.values() if committed]
@@ -132,29 +146,28 @@ class _Slots(StatefulProcessor):
         return len(now), len(now) - kept, len(before) - kept
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        got = pd.concat(list(rows)).sort_values([self.chunk, self.slot])
-        chunk, seen = self.at.get() if self.at.exists() else (None, 0)
-        before = {k[0] for k, v in self.before.iterator() if v[0]} if chunk is not None else set()
-        current = {k[0]: (v[0], v[1]) for k, v in self.current.iterator()} if chunk is not None else {}
-        out = {}
-        for r in got.to_dict("records"):
-            c, s = int(r[self.chunk]), int(r[self.slot])
+        columns = _columns(rows)
+        got = sorted(zip(*(columns[c] for c in (self.chunk, self.slot, self.old_slot, self.committed)), strict=True), key=lambda r: r[:2])
+        state = self.at.get()
+        chunk, seen = (state[0], state[1]) if state else (None, 0)
+        before = set(state[2]) if state else set()
+        current = {s: (old, done) for s, old, done in zip(*state[3:], strict=True)} if state else {}
+        out, grown = [], False
+        for c, s, old, done in got:
+            c, s = int(c), int(s)
             if chunk is not None and c < chunk or c == chunk and s in current:
                 continue  # late, or sent twice
             if c != chunk:
+                if grown:
+                    out.append((chunk, seen, *self._counts(before, current)))
                 before, current = {s for s, (_, done) in current.items() if done}, {}
-            chunk, seen = c, seen + 1
-            current[s] = (int(r[self.old_slot]), bool(r[self.committed]))
-            out[c] = (seen, *self._counts(before, current))
-        if out:
-            self.at.update((chunk, seen))
-            self.before.clear()
-            self.current.clear()
-            for s in before:
-                self.before.updateValue((s,), (True,))
-            for s, v in current.items():
-                self.current.updateValue((s,), v)
-            yield pd.DataFrame([{self.key: key[0], self.chunk: c, "seen": n, "committed": a, "new": b, "dropped": d} for c, (n, a, b, d) in out.items()])
+            chunk, seen, grown = c, seen + 1, True
+            current[s] = (int(old), bool(done))
+        if grown:
+            out.append((chunk, seen, *self._counts(before, current)))
+            self.at.update((chunk, seen, list(before), list(current), [v[0] for v in current.values()], [v[1] for v in current.values()]))
+            names = (self.chunk, "seen", "committed", "new", "dropped")
+            yield pd.DataFrame({self.key: [key[0]] * len(out), **{n: list(v) for n, v in zip(names, zip(*out, strict=True), strict=True)}})
 
     def close(self) -> None:
         pass
