@@ -6,6 +6,7 @@ import random
 import time
 from functools import cache
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import aligned as A
@@ -25,6 +26,18 @@ def test_alignment_is_the_table_s(spark):
         assert [tuple(p) for p in row.r.pairs] == edit_pairs(row.a or [], row.b or [])
 
 
+def test_short_tables_are_filled_as_long_ones():
+    from tidemark.operators import align
+
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 8))] for _ in range(2))
+        bonus = None if r.random() < 0.5 else np.array([[r.random() for _ in b] for _ in a]).reshape(len(a), len(b))
+        x, y = ([ord(c) for c in w] for w in (a, b))
+        few, many = align._few_moves(x, y, 1.0, bonus), align._moves(x, y, 1.0, bonus).tolist()
+        assert [m[1:] for m in few[1:]] == [m[1:] for m in many[1:]]
+
+
 def test_rewards_against_all_alignments(spark):
     r = random.Random(2)
     span = lambda: (a := r.random() * 4, a + r.random() * 3)
@@ -136,3 +149,12 @@ def test_windows_and_visible_slots(spark):
     slots = spark.createDataFrame([("a", k, 0.3 * (k + 1)) for k in range(5)], "u string, slot int, end double")
     seen = K.visible_slots(chunks, slots, "u", "end").groupBy("chunk_id").count().collect()
     assert {r.chunk_id: r["count"] for r in seen} == {0: 2, 1: 4, 2: 5}
+
+
+def test_tasks_grow_with_the_items(spark, monkeypatch):
+    monkeypatch.setattr(K, "ITEMS_PER_TASK", 50)
+    chunks = spark.createDataFrame([(u, c, float(c + 1)) for u in range(40) for c in range(4)], "u int, chunk int, audio_end double")
+    slots = spark.createDataFrame([(u, k, 0.5 * (k + 1)) for u in range(40) for k in range(8)], "u int, slot int, end double")
+    assert K.tasks(chunks, slots, "u") == 26  # 40 users with 4 chunks of 8 slots, by 50
+    seen = K.visible_slots(chunks, slots, "u", "end")
+    assert seen.rdd.getNumPartitions() == 26 and seen.count() == 40 * (2 + 4 + 6 + 8)

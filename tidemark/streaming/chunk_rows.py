@@ -9,9 +9,24 @@ from tidemark.functions import vectors as V
 from tidemark.functions.scalars import TIME_EPS
 
 
-def visible_slots(chunks: DataFrame, slots: DataFrame, key: str, end: str) -> DataFrame:
-    """Each slot in each chunk whose audio reaches its end; the rows of a chunk row, so their number is that of the result's items."""
-    return slots.join(chunks, key).where(F.col(end) <= F.col("audio_end") + TIME_EPS)
+#: Fixed value: pairs of slots and chunks that a task is to have at most, as far as keys allow.
+ITEMS_PER_TASK = 250_000
+
+
+def tasks(chunks: DataFrame, slots: DataFrame, key: str) -> int:
+    """How many tasks the pairs of slots and chunks of a key need: they grow from few bytes, so no size read before tells."""
+    sizes = slots.groupBy(key).agg(F.count("*").alias("_s")).join(chunks.groupBy(key).agg(F.count("*").alias("_c")), key)
+    pairs = sizes.agg(F.sum(F.col("_s") * F.col("_c"))).first()[0] or 0
+    return max(-(-pairs // ITEMS_PER_TASK), chunks.sparkSession.sparkContext.defaultParallelism)
+
+
+def visible_slots(chunks: DataFrame, slots: DataFrame, key: str, end: str, n: int | None = None) -> DataFrame:
+    """Each slot in each chunk whose audio reaches its end; the rows of a chunk row, so their number is that of the result's items.
+
+    The rows lie in ``n`` tasks (by default ``tasks``) by key, which serves the windows of ``committed_slots`` too.
+    """
+    n = n or tasks(chunks, slots, key)
+    return slots.repartition(n, key).join(chunks.repartition(n, key), key).where(F.col(end) <= F.col("audio_end") + TIME_EPS)
 
 
 def committed_slots(rows: DataFrame, key: str, chunk: str, slot: str, token: str, word: str, candidate: str) -> DataFrame:
@@ -34,22 +49,27 @@ def committed_slots(rows: DataFrame, key: str, chunk: str, slot: str, token: str
     return out.withColumn("new", new).drop("_same", "_island")
 
 
-def chunk_rows(chunks: DataFrame, rows: DataFrame, key: str, chunk: str, slot: str, token: str, word: str, extra: dict[str, Column] | None = None) -> DataFrame:
+def chunk_rows(chunks: DataFrame, rows: DataFrame, key: str, chunk: str, slot: str, token: str, word: str, extra: dict[str, Column] | None = None, n: int | None = None) -> DataFrame:
     """One row for each row of ``chunks``, those without a slot included: its columns and ``slots`` (structs by slot), counts and ``stability``.
 
     ``rows`` comes from ``committed_slots``. ``dropped`` counts slots committed in the chunk before that are revised or gone.
     ``stability``: the share of the tokens before that still begin this chunk's; 1 where there were none. ``extra``: more
-    fields of the slots.
+    fields of the slots. ``n``: the tasks that join and order the rows, as ``tasks`` gives them.
     """
     more = [c.alias(n) for n, c in (extra or {}).items()]
     item = F.struct(F.col(slot).alias("slot"), F.col(token).alias("token"), F.col(word).alias("word"), "cumulative", "new", "mapped", *more)
     per = rows.groupBy(key, chunk).agg(
-        F.array_sort(F.collect_list(item)).alias("slots"),  # the slots of one chunk of one utterance
+        F.sort_array(F.collect_list(item)).alias("slots"),  # the slots of one chunk of one utterance
         F.countDistinct(F.when(F.col("new"), F.col(word))).alias("new_words"),
         F.countDistinct(F.when(F.col("cumulative"), F.col(word))).alias("committed_words"),
         F.count_if("leaves").alias("_leaves"),
     )
-    out = chunks.join(per, [key, chunk], "left").withColumn("slots", F.coalesce("slots", F.array().cast(per.schema["slots"].dataType)))
+    if n:
+        chunks, per = chunks.repartition(n, key, chunk), per.repartition(n, key, chunk)
+    out = chunks.join(per, [key, chunk], "left")
+    if n:
+        out = out.repartition(n, key)
+    out = out.withColumn("slots", F.coalesce("slots", F.array().cast(per.schema["slots"].dataType)))
     order = Window.partitionBy(key).orderBy(chunk)
     before = F.lag(F.col("slots")["token"]).over(order)
     kept = F.when(F.size(before) > 0, V.common_prefix(before, F.col("slots")["token"]) / F.size(before)).otherwise(F.lit(1.0))
