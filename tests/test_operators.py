@@ -217,3 +217,38 @@ def test_ranking_pairs_against_all_pairs(spark):
         assert (g in got) == bool(pairs)
         if pairs:
             assert got[g][0] == len(pairs) and abs(got[g][1] - loss) < 1e-6
+
+
+def test_loops_against_a_plain_search(spark):
+    r = random.Random(9)
+    words = [[r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 30))] for _ in range(60)] + [["x", None] * 4, list("abcde" * 3) + list("fgh"), [f"w{i}" for i in range(50)]]
+
+    def plain(t):
+        if not t:
+            return None
+        if any(t[i : i + n] * 4 == t[i : i + 4 * n] for n in range(1, 13) for i in range(len(t) - 4 * n + 1)):
+            return "cycle"
+        top = max(t.count(w) for w in t)
+        if top >= 8 and top >= 0.5 * len(t):
+            return "dominant"
+        for n in range(2, min(12, len(t) // 4) + 1):
+            for gram in {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}:
+                i = times = 0
+                while i <= len(t) - n:
+                    hit = tuple(t[i : i + n]) == gram
+                    times, i = times + hit, i + (n if hit else 1)
+                if times >= 4 and times * n >= 0.6 * len(t):
+                    return "periodic"
+        return None
+
+    df = spark.createDataFrame(list(enumerate(words)), "i int, t array<string>")
+    assert {x.i: x.k for x in df.select("i", Q.loop_kind(F.col("t")).alias("k")).collect()} == {i: plain(t) for i, t in enumerate(words)}
+
+
+def test_summaries_are_not_a_file_an_experiment(spark, tmp_path, monkeypatch):
+    from tidemark.plans import build_queries as B
+    from tidemark.plans.registry import QUERIES
+
+    monkeypatch.setattr(B, "folder", lambda _, name: f"{tmp_path}/{name}")
+    assert QUERIES["f50_experiment_brief"](spark, "/root/testdata/sf0.01").count() == 80
+    assert len(list((tmp_path / "summaries").rglob("part-*"))) < 50

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -97,22 +98,25 @@ def loop_kind(tokens: Column, repeats: int = 4, longest: int = 12, coverage: flo
     """Why a token array counts as looping, or null: ``cycle`` (a run that comes ``repeats`` times in a row), and if strict
     ``dominant`` (one token has the share ``ratio``, 8 times or twice ``repeats`` at least) or ``periodic`` (copies of one
     run, not overlapping, cover the share ``coverage``)."""
-    from collections import Counter, defaultdict
+    from collections import defaultdict
 
-    def cycle(t: list[str]) -> bool:
+    def cycle(t: np.ndarray) -> bool:
         for n in range(1, min(longest, len(t) // repeats) + 1):
-            same = 0  # how many tokens in a row equal the one n places before
-            for a, b in zip(t, t[n:], strict=False):
-                same = same + 1 if a == b else 0
-                if same >= n * (repeats - 1):
+            same, need = t[:-n] == t[n:], n * (repeats - 1)  # tokens in a row that equal the one n places before
+            if len(same) and np.count_nonzero(same) >= need:
+                breaks = np.concatenate([[-1], np.flatnonzero(~same), [len(same)]])
+                if np.diff(breaks).max() - 1 >= need:
                     return True
         return False
 
-    def periodic(t: list[str]) -> bool:
+    def periodic(t: np.ndarray, counts: np.ndarray) -> bool:
         for n in range(2, min(longest, len(t) // repeats) + 1):
-            free, times = defaultdict(int), defaultdict(int)
-            for i in range(len(t) - n + 1):
-                gram = tuple(t[i : i + n])
+            need = max(repeats, int(coverage * len(t) / n))  # copies at least; each token of theirs comes as often
+            if counts[counts >= need].sum() < need * n:
+                continue
+            free, times, tokens = defaultdict(int), defaultdict(int), t.tolist()
+            for i in range(len(tokens) - n + 1):
+                gram = tuple(tokens[i : i + n])
                 if i >= free[gram]:
                     free[gram], times[gram] = i + n, times[gram] + 1
             best = max(times.values(), default=0)
@@ -120,19 +124,28 @@ def loop_kind(tokens: Column, repeats: int = 4, longest: int = 12, coverage: flo
                 return True
         return False
 
-    def kind(t: list[str]) -> str | None:
-        if not t or repeats < 1:
+    def kind(t: np.ndarray) -> str | None:
+        if not len(t) or repeats < 1:
             return None
         if cycle(t):
             return "cycle"
-        top = max(Counter(t).values())
-        if strict and top >= max(2 * repeats, 8) and top >= ratio * len(t):
+        if not strict:
+            return None
+        counts = np.unique(t, return_counts=True)[1]
+        top = counts.max()
+        if top >= max(2 * repeats, 8) and top >= ratio * len(t):
             return "dominant"
-        return "periodic" if strict and periodic(t) else None
-
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else kind(list(t)))
+        return "periodic" if periodic(t, counts) else None
+
+    @F.arrow_udf(StringType())
+    def run(arrays: pa.Array) -> pa.Array:
+        codes = arrays.flatten().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        sizes = arrays.value_lengths().to_pylist()
+        out, at = [], 0
+        for size in sizes:
+            out.append(None if size is None else kind(codes[at : at + size]))
+            at += size or 0
+        return pa.array(out, pa.string())
 
     return run(tokens)
 
