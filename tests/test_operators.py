@@ -252,3 +252,23 @@ def test_summaries_are_not_a_file_an_experiment(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "folder", lambda _, name: f"{tmp_path}/{name}")
     assert QUERIES["f50_experiment_brief"](spark, "/root/testdata/sf0.01").count() == 80
     assert len(list((tmp_path / "summaries").rglob("part-*"))) < 50
+
+
+def test_confusion_networks_of_many_keys(spark):
+    """Each key's rows are those of its network alone, also where keys have no slots; both groupings of the query lie on one shuffle."""
+    r = random.Random(3)
+    phones = lambda: [r.randint(0, 4) for _ in range(r.choice([0, 1, 2, 5, 30]))]
+    data = [(f"k{k}", rank, h, [r.random() for _ in h], r.random()) for k in range(50) for rank in range(r.randint(1, 4)) for h in [phones()]]
+    rows = spark.createDataFrame(data, "key string, rank int, h array<int>, q array<double>, w double")
+    want = {}
+    for k in {d[0] for d in data}:
+        own = sorted(d for d in data if d[0] == k)
+        net = A.confusion_network([list(zip(d[2], d[3], strict=True)) for d in own], [d[4] for d in own], 5)
+        want |= {(k, s): p for s, p in enumerate(net.tolist())}
+    got = A.confusion_rows(rows, "key", "rank", "h", "q", "w", 5).collect()
+    assert {(x.key, x.slot): x.posterior for x in got} == want and len(got) == len(want)
+
+    from __spark_entry__ import queries
+
+    plan = queries()["j8_j9_k11_confusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

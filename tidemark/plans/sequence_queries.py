@@ -223,6 +223,7 @@ def e25_o18_viterbi(t: Tables) -> DataFrame:
 def j8_j9_k11_confusion(t: Tables) -> DataFrame:
     from tidemark.operators.align import confusion_rows
 
-    rows = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 5).cast("int").alias("p"), (F.col("l_discount") * 10).alias("q")))).alias("x"))
+    rows = t.lineitem.repartition("l_orderkey")  # one shuffle for both groupings
+    rows = rows.groupBy("l_orderkey", "l_returnflag").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 5).cast("int").alias("p"), (F.col("l_discount") * 10).alias("q")))).alias("x"))
     hyps = rows.select("l_orderkey", F.ascii("l_returnflag").alias("rank"), F.col("x.p").alias("hyp"), F.col("x.q").alias("quality"), (1.0 / F.size("x")).alias("weight"))
     return confusion_rows(hyps, "l_orderkey", "rank", "hyp", "quality", "weight", 5)
