@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,53 @@ def test_pieces_by_key_are_written_and_read_by_many_tasks(spark, tmp_path):
     assert len(seen) == 3 and all(len({r.file for r in b}) > 1 for b in seen)
     assert [{r.k for r in b} for b in seen] == [{0, 1, 2}, {3, 4, 5}, {6, 7, 8}] and sum(map(len, seen)) == len(data)
     assert all(len({r.file for r in b if r.u == u}) == 1 for b in seen for u in range(40))
+
+
+def test_keys_share_the_state_of_their_group(spark, tmp_path):
+    """As many states as groups, however many keys; keys beyond 2^53 stay apart, beside a null key too."""
+    keys = [2**53 + u for u in range(3000)] + [None]
+    data = [(u, k, 1.0) for k in range(4) for u in keys]
+    stream = S.stream_sums(pieces(spark, data, "u long, k long, v double", [len(keys) * 2]), "u", "k", "v")
+    got = []
+    with S.keyed_state(spark):
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda b, e: got.extend(map(tuple, b.collect()))).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 1024
+    assert sorted(got, key=str) == sorted([(u, k, k + 1.0, k + 1) for u in keys for k in range(4)], key=str)
+
+
+class Held:
+    """A value of a state, without Spark."""
+
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_each_key_of_a_group_has_its_own_time_to_live():
+    p = S._Sums("u", "k", "v", 100)
+    p.held = Held()
+
+    def tick(now, *rows):
+        frame = pd.DataFrame(rows, columns=["u", "k", "v"]).assign(key_is_null=False)
+        return [tuple(r) for f in p.handleInputRows((0,), iter([frame]), Now(now)) for r in f.itertuples(index=False)]
+
+    assert tick(0, ("a", 1, 1.0), ("b", 1, 5.0)) == [("a", 1, 1.0, 1), ("b", 1, 5.0, 1)]
+    assert tick(60, ("a", 2, 1.0)) == [("a", 2, 2.0, 2)]
+    assert tick(120, ("a", 2, 9.0)) == []  # sent twice: nothing is returned
+    assert tick(140, ("b", 2, 5.0), ("a", 3, 1.0)) == [("b", 2, 5.0, 1), ("a", 3, 3.0, 3)]  # b began anew, a went on
