@@ -386,6 +386,19 @@ def test_encoder_on_random_texts(tokenizer):
         assert got.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID], repr(t)
 
 
+def test_encoder_meets_a_word_once(tokenizer, monkeypatch):
+    e = packing.Encoder(packing.tokenizer_path())
+    texts = ["Zorble%%% zorble### zorble,&&& ZORBLE. zörble!! zorb" for _ in range(50)]
+    words, chunks = [], []
+    monkeypatch.setattr(e, "_encode_words", lambda found, f=e._encode_words: (words.extend(found), f(found)))
+    monkeypatch.setattr(e, "_encode_chunks", lambda found, f=e._encode_chunks: (chunks.extend(found), f(found)))
+    got = e.encode(texts) + e.encode(texts)
+    assert sorted(words) == ["zorb", "zorble", "zörble"]
+    assert not any(c.isalpha() for x in chunks for c in x)
+    assert all(x.tolist() == [*tokenizer.encode(texts[0], add_special_tokens=False).ids, packing.END_ID] for x in got)
+    assert e.encode([]) == []
+
+
 def test_foreign_tokenizers_are_refused(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

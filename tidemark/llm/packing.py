@@ -11,10 +11,12 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Text that is split at once, about; each of its words is looked up once.
+SLICE_BYTES = 4 << 20
+
 #: A full stop or comma between a letter or digit and a blank.
 _STOP = re.compile(r"([.,])(?= )(?<=[^\W_][.,])")
 
 
+#: Marks that end a word and never join it: one piece of their own for the tokenizer, unless an apostrophe is among them.
+_MARKS = "".join(c for c in punctuation if c != "'")
+
+
 def prepared(text: str) -> str:
     """``text`` with the same ids and fewer different chunks: where normalisation only lowers it, it is lowered and stops are parted from words."""
     text = text.replace("\n", " ")
@@ -52,15 +61,21 @@ def prepared(text: str) -> str:
 
 
 #: Texts whose ids show whether a tokenizer works as ``Encoder`` takes it to.
-_PROBES = ("Words, THEN  more. It's 12.5 a,b", "Été\n\nÀ é. x... '.", "one,two .")
+_PROBES = ("Words, THEN  more. It's 12.5 a,b", "Été\n\nÀ é. x... '.", "one,two .", "AB ba, A.!? Ûa")
+
+
+def byte_letters() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level tokenizers: themselves where they print, else those from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in prints)}
 
 
 class Encoder:
     """Token ids of texts, chunk by chunk: the tokenizer drops blanks and line feeds and never joins what they part.
 
-    The tokenizer also lowers case and parts letters from a full stop or comma behind them, so chunks that differ in these
-    share an entry. Words of letters need no normalisation or splitting then: many go to the tokenizer's model at once,
-    and its end-of-word tokens tell them apart again.
+    The tokenizer also lowers case and parts letters from the marks behind them, so chunks that differ in these
+    share an entry. Arrow splits the texts and names their different chunks, so Python sees each once a slice. Words of
+    letters need no normalisation or splitting then and go straight to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -68,29 +83,23 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        suffix = json.loads(self.whole.to_str())["model"].get("end_of_word_suffix")
-        if not suffix:
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.bytes = self.whole.model, byte_letters()
+        if not json.loads(self.whole.to_str())["model"].get("end_of_word_suffix"):
             raise ValueError(f"{path}: not a tokenizer of words with an end-of-word suffix")
-        vocabulary = self.whole.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.always = {"": b"", "\n": array("I", [END_ID]).tobytes()}  # a line feed ends a text
+        self.known: dict[str, bytes] = dict(self.always)
         self.old: dict[str, bytes] = {}
         if any(x.tolist() != [*self.whole.encode(t, add_special_tokens=False).ids, END_ID] for t, x in zip(_PROBES, self.encode(list(_PROBES)), strict=True)):
             raise ValueError(f"{path}: its words can't be encoded one by one")
 
     def _encode_words(self, found: list[str]) -> None:
-        for i in range(0, len(found), 8192):
-            part = found[i : i + 8192]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])], strict=True))  # noqa: B905
+        known, tokenize = self.known, self.model.tokenize
+        for w in found:
+            plain = w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes)
+            known[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
 
     def _encode_chunks(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 4096):
@@ -106,8 +115,8 @@ class Encoder:
         found: set[str] = set()
         rest: set[str] = set()
         for c in chunks - again:
-            end = c[-1] if c[-1] in ".," else ""
-            core = c[:-1] if end else c
+            core = c.rstrip(_MARKS)
+            end = c[len(core) :]
             # a Greek capital sigma and a dotted capital I are lowered by rules of their own
             if core.isalpha() and (core.isascii() or (is_normalized("NFC", core) and "\u03a3" not in core and "\u0130" not in core)):
                 core = core.lower()
@@ -121,18 +130,28 @@ class Encoder:
         known.update(zip(again, map(old.__getitem__, again), strict=True))
         found -= again
         self._encode_words(list(found))
-        self._encode_chunks([*rest, *(x for x in (".", ",") if x not in known)])
+        rest.update(end for _, _, end in parts if end not in known)
+        self._encode_chunks(list(rest))
         for c, core, end in parts:
             known[c] = known[core] + known[end]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [prepared(t).split(" ") for t in texts]
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([prepared(t) + " \n" for t in texts], pa.string()), " ")
+        coded = split.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE:
-            self.known, self.old = {"": b""}, self.known
-        known = self.known
-        self._learn(set().union(*split) - known.keys())
-        end = array("I", [END_ID]).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)) + end, "<u4") for chunks in split]
+            self.known, self.old = dict(self.always), self.known
+        self._learn(set(chunks) - self.known.keys())
+        found = [self.known[c] for c in chunks]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        of = coded.indices.to_numpy()
+        n = sizes[of]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - n), n) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        return np.split(ids, ends[split.offsets.to_numpy()[1:-1] - 1])
 
 
 def encoder(path: str) -> Encoder:
@@ -199,12 +218,14 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, project = encoder(path).encode, projection()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 ids = encode([t or "" for t in part.column(1).to_pylist()])
+                curve = np.concatenate([hilbert(places(ids[k : k + 256], project)) for k in range(0, len(ids), 256)])
                 cuts = [(i, s) for i, x in enumerate(ids) for s in range(0, len(x), PART_IDS)]
                 of, starts = np.array([i for i, _ in cuts]), [s for _, s in cuts]
-                columns = [part.column(0).take(pa.array(of)), pa.array(hilbert(places(ids, project))[of], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(ids[i]) for i in of], pa.int64())]
+                columns = [part.column(0).take(pa.array(of)), pa.array(curve[of], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(ids[i]) for i in of], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([ids[i][s : s + PART_IDS].tobytes() for i, s in cuts], pa.binary())], ["doc_id", "curve", "start", "total", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, curve long, start long, total long, ids binary")
