@@ -202,3 +202,18 @@ def test_each_key_of_a_group_has_its_own_time_to_live():
     assert tick(60, ("a", 2, 1.0)) == [("a", 2, 2.0, 2)]
     assert tick(120, ("a", 2, 9.0)) == []  # sent twice: nothing is returned
     assert tick(140, ("b", 2, 5.0), ("a", 3, 1.0)) == [("b", 2, 5.0, 1), ("a", 3, 3.0, 3)]  # b began anew, a went on
+
+
+def test_a_trigger_has_few_tasks(spark):
+    from tidemark.streaming.stateful import TASKS_PER_CORE, keyed_state
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    try:
+        for given, want in ((10 * most, most), (2, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(given))
+            with keyed_state(spark):
+                assert int(spark.conf.get("spark.sql.shuffle.partitions")) == want
+            assert int(spark.conf.get("spark.sql.shuffle.partitions")) == given
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -21,7 +21,9 @@ from pyspark.sql.types import IntegralType, StructType
 
 from .commits import MASKS, next_masks
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+#: Tasks a core in each trigger of a query with a processor, at most.
+TASKS_PER_CORE = 3
 #: Columns that the rows get on their way: the group, and whether the key is null. PySpark renames names that begin with "_".
 _GROUP, _NONE = "group_of_keys", "key_is_null"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,13 +31,19 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 @contextmanager
 def keyed_state(spark: SparkSession):
-    """While a query with a processor starts: its state store has to be RocksDB. The setting before comes back."""
-    before = spark.conf.get(_PROVIDER, None)
+    """While a query with a processor starts: its state store has to be RocksDB. The settings before come back.
+
+    Each task of a trigger starts a Python worker, which costs more than its rows, so there are no more of them than
+    ``TASKS_PER_CORE`` ask for; a query that is started anew keeps the number of its checkpoint.
+    """
+    before = {name: spark.conf.get(name, None) for name in (_PROVIDER, _PARTITIONS)}
     spark.conf.set(_PROVIDER, _ROCKS)
+    spark.conf.set(_PARTITIONS, str(min(int(spark.conf.get(_PARTITIONS)), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
     try:
         yield
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 #: Fixed value: groups that keys are dealt to. Each trigger rewrites the states of the groups that it touches.
