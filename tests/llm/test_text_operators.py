@@ -200,6 +200,17 @@ def test_templates_against_all_pairs(spark, monkeypatch, tile_tokens, family):
         assert got[i].removed == ([0] if any(o == s or o in near for o in sets[:i]) else [])
 
 
+def test_near_copies_are_kept_as_differences(spark):
+    r = random.Random(8)
+    lines = [" ".join(f"w{i}" if r.random() > 0.04 else f"w{i}x{k}" for i in range(60)) for k in range(60)]
+    keyed = linejoin._keyed(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text")
+    classes = linejoin._lines(keyed, linejoin.rarity(keyed, "text"))
+    places = linejoin._places(classes)
+    blocks = linejoin._blocks(places, linejoin._sets(keyed, classes, places.select(*linejoin.CLASS).distinct()))
+    n, far = blocks.where("m >= 10").select(F.explode("near.held").alias("a")).agg(F.count("*"), F.max(F.size("a.far"))).first()
+    assert n >= 60 and far < 30  # a set has 60 tokens
+
+
 def test_many_lines_of_one_template(spark):
     words = " ".join(f"word{i}" for i in range(20))
     lines = spark.range(20_000).selectExpr("id AS doc_id", f"concat('{words} own', id) AS text")

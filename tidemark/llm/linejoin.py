@@ -34,6 +34,8 @@ TILE_TOKENS = 1 << 15
 COMMON_RANK = 36
 #: Lines of a token that have this many commonest tokens in common get blocks of their own if they are so many.
 KIN, FAMILY = 8, 256
+#: Blocks of so many members have a reference set.
+COPIES = 4
 #: The list of lines whose sets are compared is broadcast up to so many; a longer one is joined by a shuffle.
 BROADCAST_LINES, BROADCAST_BYTES = 400_000, 64 << 20
 
@@ -139,7 +141,8 @@ def _first_shared(token: Column, own: Column, other: Column) -> Column:
 def _places(classes: DataFrame) -> DataFrame:
     """``token, x, bits, n, left, listed``: the classes that have a possible partner at the first token that the two share.
 
-    At tokens of many classes all stay: a search for one partner could look at all of them, and summaries of blocks tell more.
+    Where many classes of a token have met at the same earlier one, as lines of a template have, all stay: a search for one
+    partner could look at all of them, and summaries of blocks tell more.
     """
     rows = classes.select(F.posexplode("prefix").alias("i", "token"), "x", *MAPS, "n").select("token", "x", *MAPS, "n", (F.col("n") - F.col("i")).alias("left"))
     # of the rows of common tokens, those whose size and position go with no other's leave before the search
@@ -153,11 +156,16 @@ def _places(classes: DataFrame) -> DataFrame:
     dropped(left)
     # for a linked pair, the first shared token is among these tokens of either class, and none before it is in both
     listed = found.groupBy(*CLASS).agg(F.sort_array(F.collect_list("token")).alias("listed"))  # at most a prefix
-    often = found.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > FAMILY).select("token", F.lit(True).alias("often"))
-    rows = found.join(listed, CLASS).join(often, "token", "left")
+    rows = written(found.join(listed, CLASS), "listed")
+    dropped(found)
+    # a search is in vain where all have met before: where many have the same token first, all rows stay
+    head = F.get("listed", F.lit(0))
+    often = rows.where(head != F.col("token")).groupBy("token", head.alias("head")).agg(F.count("*").alias("rows")).where(F.col("rows") > FAMILY)
+    often = often.select("token").distinct().withColumn("often", F.lit(True))
     first = _may_link() & _first_shared(F.col("a.token"), F.col("a.listed"), F.col("b.listed"))
+    rows = rows.join(often, "token", "left")
     out = written(_meets(rows, F.coalesce(F.col("a.often"), F.lit(False)) | first).select("token", *CLASS, "n", "left", "listed"), "places")
-    dropped(found)
+    dropped(rows)
     return out
 
 
@@ -177,13 +185,26 @@ def _sets(keyed: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """The tokens in one of two sets alone."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def _reference(held: Column) -> Column:
+    """What two of three members share, which is near all members if these are copies of one line; nothing in small blocks."""
+    some = [F.get(held, F.floor(k * (F.size(held) - 1) / 2).cast("int"))["ts"] for k in range(3)]
+    both = [F.array_intersect(some[i], some[k]) for i, k in ((0, 1), (0, 2), (1, 2))]
+    return F.when(F.size(held) >= COPIES, F.array_union(F.array_union(both[0], both[1]), both[2])).otherwise(F.array().cast("array<long>"))
+
+
 def _blocks(places: DataFrame, sets: DataFrame) -> DataFrame:
-    """``token, tile, held`` and a summary of each block: members of one token, of bounded size.
+    """``token, tile, near`` and a summary of each block: members of one token, of bounded size.
 
     Lines of one template share their commonest tokens, so where many do they get blocks of their own, in which lines with
     the same rarest tokens stay together; all others are dealt by hash. Only the few tokens with more than a block's share
     are in the tables of parts. The summary has what all members share (``core``, ``heads_core``), what any has
-    (``heads_any``), the largest size and the earliest place.
+    (``heads_any``), the largest size and the earliest place. ``near`` is a reference set ``ref`` and the members ``held``,
+    whose sets are kept as what differs from it (``far``).
     """
     kin = places.select("token", *CLASS, "n").join(sets.select(*CLASS, "kin"), CLASS).groupBy("token", "kin").agg(F.sum("n").alias("size"), F.count("*").alias("m"))
     kin = written(kin, "kin")
@@ -200,10 +221,11 @@ def _blocks(places: DataFrame, sets: DataFrame) -> DataFrame:
     held = dealt.groupBy("token", F.xxhash64(tribe, part).alias("tile")).agg(F.collect_list(member).alias("held"))
     shared = lambda c: F.aggregate("held", F.get("held", F.lit(0))[c], lambda a, m: F.when(F.size(a) > 0, F.array_intersect(a, m[c])).otherwise(a))
     each = lambda c: F.transform("held", lambda m: m[c])
+    member = lambda m, ref: F.struct(*[m[c].alias(c) for c in (*CLASS, "n", "left", "place", "heads")], _differing(m["ts"], ref).alias("far"))
     return held.select(
         "token",
         "tile",
-        "held",
+        let(_reference(F.col("held")), lambda ref: F.struct(ref.alias("ref"), F.transform("held", lambda m: member(m, ref)).alias("held"))).alias("near"),
         F.size("held").alias("m"),
         shared("ts").alias("core"),
         shared("heads").alias("heads_core"),
@@ -233,14 +255,20 @@ def _result(links: Column, earliest: Column) -> Column:
 
 
 def _count_links(a: Column, held: Column) -> Column:
-    """How many of the members ``held`` are linked to ``a`` at their token, and the earliest; no array of them is built."""
+    """How many of the members ``held`` are linked to ``a`` at their token, and the earliest; no array of them is built.
+
+    ``far`` of either is what differs from one reference, so its tokens on one side alone are those that differ between the
+    two; where both are near the reference, their sizes say enough.
+    """
 
     def link(b: Column) -> Column:
         sizes = a["n"] + b["n"]
         long_enough = (NUM + DEN) * F.least(a["left"], b["left"]) >= NUM * sizes
-        near = (NUM + DEN) * F.bit_count(a["bits"].bitwiseXOR(b["bits"])) <= (DEN - NUM) * sizes
+        linked = lambda d: (NUM + DEN) * d <= (DEN - NUM) * sizes
+        near = linked(F.bit_count(a["bits"].bitwiseXOR(b["bits"])))
+        most = F.size(a["far"]) + F.size(b["far"])
         other = (a["x"] != b["x"]) | (a["bits"] != b["bits"])
-        return long_enough & near & other & ~F.arrays_overlap(a["heads"], b["heads"]) & ((NUM + DEN) * F.size(F.array_intersect(a["ts"], b["ts"])) >= NUM * sizes)
+        return long_enough & near & other & ~F.arrays_overlap(a["heads"], b["heads"]) & (linked(most) | linked(most - 2 * F.size(F.array_intersect(a["far"], b["far"]))))
 
     return F.aggregate(held, _result(F.lit(0), a["place"]), lambda n, b: F.when(link(b), _result(n["links"] + 1, F.least(n["earliest"], b["place"]))).otherwise(n))
 
@@ -258,7 +286,7 @@ def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """
     places = _places(classes)
     sets = _sets(keyed, classes, places.select(*CLASS).distinct())
-    blocks = written(_blocks(places, sets), "blocks")
+    blocks = written(_blocks(places, sets), "blocks").select("*", "near.*")
     dropped(places, sets)
 
     held, m, least = F.col("held"), F.col("m"), F.col("least")
@@ -280,13 +308,13 @@ def linked(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = pairs.select("token", a["tile"].alias("tile"), b["tile"].alias("other"), (_enough(a, b) & _apart(a, b)).alias("whole"), b["m"].alias("m"), b["least"].alias("least"))
     pairs = written(pairs, "pairs")
     sums = pairs.where("whole").groupBy("token", "tile").agg(F.sum("m").alias("links"), F.min("least").alias("earliest"))
-    each = hot.select("token", "tile", F.explode("held").alias("a"))
+    each = hot.select("token", "tile", "ref", F.explode("held").alias("a"))
     between = _found(each.join(sums.select("token", "tile", F.struct("links", "earliest").alias("r")), ["token", "tile"]), a, F.col("r"))
 
-    asked = each.join(pairs.where("NOT whole").select("token", "tile", "other"), ["token", "tile"]).select("token", F.col("other").alias("tile"), "a")
-    facing = hot.select("token", "tile", "held", F.struct("core", "heads_any", "most", "m", "least").alias("b"))
-    mine = {"core": a["ts"], "heads_any": a["heads"], "most": a["n"]}
-    facing_a = F.when(_enough(mine, b) & _apart(mine, b), _result(b["m"], b["least"])).when(_enough(mine, b), _result(_not_met(a["heads"], held), b["least"])).otherwise(_count_links(a, held))
+    asked = each.join(pairs.where("NOT whole").select("token", "tile", "other"), ["token", "tile"]).select("token", F.col("other").alias("tile"), "a", F.explode(F.array(_differing(a["far"], F.col("ref")))).alias("ts"))
+    facing = hot.select("token", "tile", "held", "ref", F.struct("core", "heads_any", "most", "m", "least").alias("b"))
+    mine = {"core": F.col("ts"), "heads_any": a["heads"], "most": a["n"]}
+    facing_a = F.when(_enough(mine, b) & _apart(mine, b), _result(b["m"], b["least"])).when(_enough(mine, b), _result(_not_met(a["heads"], held), b["least"])).otherwise(let(F.struct(*[a[c].alias(c) for c in (*CLASS, "n", "left", "place", "heads")], _differing(F.col("ts"), F.col("ref")).alias("far")), lambda x: _count_links(x, held)))
     compared = _found(asked.join(facing, ["token", "tile"]).select("a", facing_a.alias("r")), a, F.col("r"))
 
     found = within.unionByName(between).unionByName(compared).where("links > 0")
