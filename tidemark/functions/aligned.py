@@ -35,7 +35,7 @@ def edit_alignment(a: Column, b: Column, mismatch: float = MISMATCH, reward: Cal
     """``struct(cost, pairs)``: a cheapest alignment, with places from 0 and null for a gap.
 
     ``reward(i, j)`` lowers the cost of pairing two places, to 0 at least. Ties prefer a pair, then a gap in ``b``, then one
-    in ``a``. Null arrays are empty; null items equal nothing.
+    in ``a``; two gaps tie by the costs before them. Null arrays are empty; null items equal nothing.
     """
     a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in (a.cast("array<string>"), b.cast("array<string>")))
     return _let(F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("n"), F.size(b).alias("m")), lambda x: _aligned(x, mismatch, reward))
@@ -44,7 +44,7 @@ def edit_alignment(a: Column, b: Column, mismatch: float = MISMATCH, reward: Cal
 def _aligned(x: Column, mismatch: float, reward: Callable[[Column, Column], Column] | None) -> Column:
     """``edit_alignment`` of ``struct(a, b, n, m)``. What a lambda names is computed again for each item, so only bound values are named."""
     n, m = x["n"], x["m"]
-    way = lambda cost, move: F.struct(cost.alias("cost"), F.lit(move).alias("move"))
+    way = lambda cost, move: F.struct(cost.alias("cost"), move.alias("move"))
     far = F.lit(_FAR)
 
     def cell(d: Column, one: Column, two: Column, i: Column) -> Column:
@@ -53,8 +53,9 @@ def _aligned(x: Column, mismatch: float, reward: Callable[[Column, Column], Colu
         if reward is not None:
             pair = F.greatest(pair - F.coalesce(reward(i - 1, j - 1), F.lit(0.0)), F.lit(0.0))
         met = F.when((i > 0) & (j > 0), F.get(two, i - 1) + pair).otherwise(far)
-        ways = F.least(way(met, 0), way(F.coalesce(F.get(one, i - 1) + GAP, far), 1), way(F.coalesce(F.get(one, i) + GAP, far), 2))
-        return F.when((j >= 0) & (j <= m), ways).otherwise(way(far, 0))
+        up, left = F.coalesce(F.get(one, i - 1), far), F.coalesce(F.get(one, i), far)
+        gap = way(F.least(up, left) + GAP, F.when(up <= left, 1).otherwise(2))  # compared before the sum, which rounds
+        return F.when((j >= 0) & (j <= m), F.least(way(met, F.lit(0)), gap)).otherwise(way(far, F.lit(0)))
 
     start = F.struct(F.array_repeat(far, n + 1).alias("two"), F.concat(F.array(F.lit(0.0)), F.array_repeat(far, n)).alias("one"), F.array().cast("array<array<int>>").alias("moves"))
 
