@@ -171,3 +171,19 @@ def test_tasks_grow_with_the_items(spark, monkeypatch):
     assert K.tasks(chunks, slots, "u") == 26  # 40 users with 4 chunks of 8 slots, by 50
     seen = K.visible_slots(chunks, slots, "u", "end")
     assert seen.rdd.getNumPartitions() == 26 and seen.count() == 40 * (2 + 4 + 6 + 8)
+
+
+def test_items_of_chunk_rows_are_not_shuffled(spark):
+    plan = QUERIES["k11_chunk_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")] and plan.count("Expand") == 0
+
+
+def test_chunks_without_a_slot_stay(spark):
+    chunks = C.windows(spark.createDataFrame([("a", 3.0), ("none", 1.5)], "u string, t double"), "u", "t", 0.64, 0.16)
+    slots = spark.createDataFrame([("a", k, k // 2, 1.0 + 0.3 * k, "xy"[k % 2]) for k in range(6)], "u string, slot int, word int, end double, token string")
+    out = []
+    for every in (False, True):
+        seen = K.visible_slots(chunks, slots, "u", "end", every=every).withColumn("candidate", (F.col("end") <= F.col("commit_time") - 0.3) | F.col("is_final"))
+        rows = K.committed_slots(seen, "u", "chunk_id", "slot", "token", "word", "candidate")
+        out.append(sorted(K.chunk_rows(chunks, rows, "u", "chunk_id", "slot", "token", "word").collect()))
+    assert out[0] == out[1] and len(out[1]) == 8 and [len(r.slots) for r in out[1]] == [0, 2, 4, 6, 6, 0, 0, 0]

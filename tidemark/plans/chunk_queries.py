@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import aligned as A
-from tidemark.functions.scalars import rounded
+from tidemark.functions.scalars import TIME_EPS, rounded
 from tidemark.streaming import chunk_rows as K
 from tidemark.streaming import commits as C
 
@@ -26,12 +26,13 @@ def k11_chunk_rows(t: Tables) -> DataFrame:
     """The last visible slot of a chunk is unsure and gets its token later, so each chunk revises one of the chunk before."""
     chunks = C.windows(_durations(t), "user_id", "t", 0.64, 0.16)
     slots = _ev(t).select("user_id", F.col("k").alias("slot"), F.floor(F.col("k") / 2).alias("word"), ((F.col("k") + 1) * F.lit(0.3)).alias("end"), "event_type")
-    n = K.tasks(chunks, slots, "user_id")
-    seen = K.visible_slots(chunks, slots, "user_id", "end", n)
+    slots = slots.withColumn("ends", F.collect_list("end").over(Window.partitionBy("user_id", "word")))  # two of a word: its last visible end needs no window over the pairs
+    seen = K.visible_slots(chunks, slots, "user_id", "end", every=True)
     token = F.when((F.col("end") > F.col("audio_end") - 0.3) & ~F.col("is_final"), "part").otherwise(F.col("event_type"))
-    seen = seen.withColumn("token", token).withColumn("candidate", (F.expr("max(end) OVER (PARTITION BY user_id, chunk_id, word)") <= F.col("commit_time") + 1e-6) | F.col("is_final"))
+    last = F.array_max(F.filter("ends", lambda e: e <= F.col("audio_end") + TIME_EPS))
+    seen = seen.withColumn("token", token).withColumn("candidate", (last <= F.col("commit_time") + 1e-6) | F.col("is_final"))
     rows = K.committed_slots(seen, "user_id", "chunk_id", "slot", "token", "word", "candidate")
-    out = K.chunk_rows(chunks, rows, "user_id", "chunk_id", "slot", "token", "word", {"target": F.col("cumulative") & (F.col("token") == F.col("event_type"))}, n)
+    out = K.chunk_rows(chunks, rows, "user_id", "chunk_id", "slot", "token", "word", {"target": F.col("cumulative") & (F.col("token") == F.col("event_type"))})
     mask = lambda c: F.array_join(F.transform(F.col("slots")[c], lambda x: F.when(x, "1").otherwise("0")), "").alias(c)
     long = lambda c: F.col(c).cast("long").alias(c)
     return out.select("user_id", long("chunk_id"), F.round("audio_end", 6).alias("audio_end"), "is_final", F.size("slots").cast("long").alias("n_slots"), F.array_join(F.col("slots")["token"], " ").alias("tokens"), mask("cumulative"), mask("new"), mask("mapped"), mask("target"), long("new_words"), long("committed_words"), long("dropped"))
